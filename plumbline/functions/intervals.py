@@ -16,6 +16,11 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(" \t\r\n\f\x0b"))
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so that filters on them do not copy their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def bin_of(pos: Column, bin_size: int) -> Column:
     """Bin number of a position, rounding down for negative positions too."""
     size = F.lit(bin_size).cast("bigint")
@@ -67,18 +72,18 @@ def parse_region(df: DataFrame, text: str) -> DataFrame:
     Like the 1-based rule it follows, a region whose start is not below its end is rejected.
     """
     stripped = strip(F.col(text))
-    first = F.regexp_replace(F.regexp_extract(stripped, REGION_PATTERN, 2), ",", "").try_cast("bigint")
-    last = F.regexp_replace(F.regexp_extract(stripped, REGION_PATTERN, 3), ",", "").try_cast("bigint")
+    number = lambda group: F.regexp_replace(
+        F.regexp_extract(stripped, REGION_PATTERN, group), ",", ""
+    ).try_cast("bigint")
+    parsed = computed_once(
+        df, _contig=F.regexp_extract(stripped, REGION_PATTERN, 1), _first=number(2), _last=number(3)
+    )
+    first, last = F.col("_first"), F.col("_last")
     error = F.when(first.isNull() | last.isNull(), F.lit("format")).when(first >= last, F.lit("order"))
     ok = error.isNull()
-    return df.withColumns(
-        {
-            "contig": F.when(ok, F.regexp_extract(stripped, REGION_PATTERN, 1)),
-            "start": F.when(ok, first - 1),
-            "end": F.when(ok, last),
-            "error": error,
-        }
-    )
+    return parsed.withColumns(
+        {"contig": F.when(ok, F.col("_contig")), "start": F.when(ok, first - 1), "end": F.when(ok, last), "error": error}
+    ).drop("_contig", "_first", "_last")
 
 
 def target_kind(text: Column) -> Column:

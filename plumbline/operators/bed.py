@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.intervals import bin_of
+from plumbline.functions.intervals import bin_of, computed_once
 from plumbline.operators.joins import chunk_of, running_totals
 from plumbline.params import DEFAULT_MAX_BED_BYTES, DEFAULT_MAX_TARGETS, DEFAULT_MAX_TOTAL_BP
 
@@ -24,19 +24,19 @@ def _split(lines: DataFrame) -> DataFrame:
         (text == "") | F.startswith(text, F.lit("#"))
         | F.startswith(text, F.lit("track")) | F.startswith(text, F.lit("browser"))
     )
-    parts = F.split(text, "\t")
-    start, end = _integer(F.get("_parts", F.lit(1))), _integer(F.get("_parts", F.lit(2)))
     reason = (
         F.when(F.size("_parts") < 3, "fewer than 3 columns")
         .when(F.col("start").isNull() | F.col("end").isNull(), "non-integer coordinates")
         .when(F.col("start") >= F.col("end"), "start >= end")
     )
-    return (
-        lines.where(~skipped)
-        .withColumn("_parts", parts)
-        .withColumns({"contig": F.get("_parts", F.lit(0)), "start": start, "end": end})
-        .withColumn("reason", reason)
+    split = computed_once(lines.where(~skipped), _parts=F.split(text, "\t"))
+    typed = computed_once(
+        split,
+        contig=F.get("_parts", F.lit(0)),
+        start=_integer(F.get("_parts", F.lit(1))),
+        end=_integer(F.get("_parts", F.lit(2))),
     )
+    return typed.withColumn("reason", reason)
 
 
 def parse_bed(lines: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ EXON_TAG = "MANE_Select"
 
 def _attribute(name: str) -> Column:
     """Value of a GTF attribute, unquoted; the last one counts, and a missing one is empty."""
-    items = F.transform(F.split(part(8), ";"), F.trim)
+    items = F.transform(F.split(part(8), ";"), lambda a: F.trim(a))
     named = F.filter(items, lambda a: (a == name) | F.startswith(a, F.lit(name + " ")))
     last = F.try_element_at(named, F.lit(-1))
     return F.coalesce(F.trim(F.substr(last, F.lit(len(name) + 2)), F.lit('"')), F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.intervals import computed_once
 from plumbline.operators.joins import keyed_join
 
 
@@ -32,7 +33,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def fields(lines: DataFrame, minimum: int) -> DataFrame:
     """Add the tab-separated ``parts`` of ``value``; rows with fewer than ``minimum`` are dropped."""
-    return lines.withColumn("parts", F.split(F.rtrim("value", F.lit("\r\n")), "\t")).where(F.size("parts") >= minimum)
+    split = computed_once(lines, parts=F.split(F.rtrim("value", F.lit("\r\n")), "\t"))
+    return split.where(F.size("parts") >= minimum)
 
 
 def part(i: int) -> Column:
