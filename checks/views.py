@@ -186,3 +186,16 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("contig"),
         start.alias("start"), (start + 1 + F.col("o_orderkey") % 40).alias("end"),
     )
+
+
+def pooled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments in two samples of unequal depth."""
+    pool = F.when(F.col("ln") % 7 == 0, "thin").otherwise("deep")
+    return placed_lines(spark, sf_dir).select(
+        pool.alias("sample"), "contig", "start", (F.col("start") + F.col("q")).alias("end")
+    )
+
+
+def pooled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = F.when(F.col("l_linenumber") % 7 == 0, "thin").otherwise("deep")
+    return table(spark, sf_dir, "lineitem").select(pool.alias("sample")).distinct()

@@ -155,20 +155,14 @@ def genes_in_region(
         .otherwise(F.concat(F.lit("chr"), "contig")).alias("contig"),
         F.col("start").alias("t_start"), F.col("end").alias("t_end"),
     )
-    places = interval_set(wanted, bin_size)
-    hits = _first_per_name(span_join(genes, places), order)
-    if builtins is None:
-        return hits
-    extra = _first_per_name(span_join(builtins, places), order)
-    unseen = extra.join(hits.select("region_ordinal", "gene_name"), ["region_ordinal", "gene_name"], "left_anti")
-    return hits.unionByName(unseen)
-
-
-def _first_per_name(hits: DataFrame, order: str) -> DataFrame:
+    known = genes.select(*GENE_COLUMNS, order, F.lit(0).alias("source"))
+    if builtins is not None:
+        known = known.unionByName(builtins.select(*GENE_COLUMNS, order, F.lit(1).alias("source")))
+    hits = span_join(known, interval_set(wanted, bin_size))
     record = F.struct("contig", "start", "end", "gene_id", "strand", "gene_type")
     return (
         hits.groupBy("region_ordinal", "gene_name")
-        .agg(F.min_by(record, F.struct("start", order)).alias("r"))
+        .agg(F.min_by(record, F.struct("source", "start", order)).alias("r"))
         .select("region_ordinal", "r.contig", "r.start", "r.end", "gene_name", "r.gene_id", "r.strand", "r.gene_type")
     )
 
@@ -199,7 +193,8 @@ def region_overlay(
 ) -> tuple[DataFrame, DataFrame]:
     """Genes of each region clipped to it, and their exons clipped to it.
 
-    First frame: ``region_ordinal, contig, start, end, gene_name, ...``; second: the same keys with exon columns.
+    First frame: ``region_ordinal`` and the gene columns; second: ``region_ordinal``, the gene's own name in
+    ``region_gene`` (exon tables may spell it in another case) and the exon columns.
     """
     found = genes_in_region(regions, genes, builtins, order, bin_size)
     spans = regions.select(
@@ -210,7 +205,7 @@ def region_overlay(
         {"start": F.greatest("start", "region_start"), "end": F.least("end", "region_end")}
     ).drop("region_start", "region_end")
     wanted = placed.select(
-        "region_ordinal", "contig", F.upper("gene_name").alias("name_key"),
+        "region_ordinal", "contig", F.upper("gene_name").alias("name_key"), F.col("gene_name").alias("region_gene"),
         F.col("start").alias("gene_start"), F.col("end").alias("gene_end"), "region_start", "region_end",
     )
     numbered = exons.withColumn("name_key", F.upper("gene_name")).withColumn("exon_number", exon_number("exon_number"))
@@ -219,7 +214,7 @@ def region_overlay(
         .where(overlaps(F.col("start"), F.col("end"), F.col("gene_start"), F.col("gene_end")))
         .withColumns({"start": F.greatest("start", "region_start"), "end": F.least("end", "region_end")})
         .where(F.col("start") < F.col("end"))
-        .select("region_ordinal", *EXON_COLUMNS)
+        .select("region_ordinal", "region_gene", *EXON_COLUMNS)
     )
     return clipped_genes, clipped_exons
 

@@ -283,11 +283,13 @@ def region_report(
     index = regions.withColumn("contig", translate_contig(F.col("contig"), "chr"))
     found_genes, found_exons = region_overlay(index, genes, builtins, exon_table, order, params.bin_size)
     styled = lambda df: df.withColumn("contig", translate_contig(F.col("contig"), contig_style))
-    gene_key = F.struct("region_ordinal", "gene_name")
+    gene_key = lambda name: F.struct("region_ordinal", F.col(name).alias("gene_name"))
     gene_targets = styled(found_genes).select(
-        gene_key.alias("ordinal"), F.col("gene_name").alias("target_id"), "contig", "start", "end", "strand", "gene_type"
+        gene_key("gene_name").alias("ordinal"), F.col("gene_name").alias("target_id"), "contig", "start", "end", "strand", "gene_type"
+    )
+    exon_targets = styled(found_exons).withColumn("gene_ordinal", gene_key("region_gene")).drop(
+        "region_ordinal", "region_gene"
     )
-    exon_targets = styled(found_exons).withColumn("gene_ordinal", gene_key).drop("region_ordinal")
     named = regions.withColumn("target_id", region_name(F.col("contig"), F.col("start"), F.col("end")))
     region_targets = styled(named).select("ordinal", "target_id", "contig", "start", "end")
     places = distinct_intervals(

@@ -45,7 +45,7 @@ def exon_rows(exons: DataFrame) -> DataFrame:
 
 def low_bed_rows(low: DataFrame) -> DataFrame:
     """BED rows of low blocks: place, target and mean depth."""
-    mean = F.format_number(ratio_round(F.col("depth_sum"), F.col("length"), 1), "0.0")
+    mean = F.format_string("%.1f", ratio_round(F.col("depth_sum"), F.col("length"), 1))
     return low.select(
         F.col("sample").alias("sample_name"), "contig", "start", "end", "target_id",
         F.concat(F.lit("mean_depth="), mean).alias("mean_depth"),
