@@ -15,7 +15,7 @@ from plumbline.operators.depth import (
     sample_grid,
 )
 from plumbline.operators.histogram import INTERVAL_KEYS, depth_histogram, median_interp, median_low, metrics
-from plumbline.operators.joins import distinct_intervals, interval_set, point_interval_join
+from plumbline.operators.joins import point_interval_join, target_places
 from plumbline.operators.runs import low_blocks, low_totals, merge_targets, zero_runs
 from plumbline.params import CoverageParams, parse_thresholds
 from plumbline.plans.report import attach, covered_segments, target_metrics
@@ -25,12 +25,12 @@ BIN, FINE = views.BIN, views.FINE_BIN
 
 
 def _places(targets, bin_size=BIN):
-    return interval_set(distinct_intervals(targets), bin_size)
+    return target_places(targets, bin_size)
 
 
 def _attached(rows, targets):
-    """Target ordinal and values, without the place columns."""
-    return attach(rows, targets.select("ordinal", "contig", "start", "end")).drop("contig", "t_start", "t_end")
+    """Target ordinal and values, without the place columns; ten targets per nation are few."""
+    return attach(rows, targets.select("ordinal", "contig", "start", "end"), small=True).drop("contig", "t_start", "t_end")
 
 
 def _histogram(spark, d, targets=None, bin_size=BIN):
@@ -232,7 +232,7 @@ def _per_target(select: str) -> str:
 @query("mean_depth", _per_target(f"{ratio('sum(d)', 'count(*)')} AS mean_depth"))
 def mean_depth(spark, d):
     hist, targets = _histogram(spark, d)
-    mean = ratio_round(F.sum(F.col("depth") * F.col("n")), F.sum("n"), 2)
+    mean = ratio_round("sum(depth * n)", "sum(n)", 2)
     return _attached(hist.groupBy(*INTERVAL_KEYS).agg(mean.alias("mean_depth")), targets)
 
 
@@ -245,9 +245,8 @@ def mean_depth(spark, d):
 )
 def stdev_depth(spark, d):
     hist, targets = _histogram(spark, d)
-    depth, n = F.col("depth"), F.col("n")
-    squares = F.sum((depth * depth).cast("decimal(20,0)") * n.cast("decimal(18,0)"))
-    value = double_round(population_stdev(F.sum("n"), F.sum(depth * n), squares), 4)
+    squares = "sum(CAST(depth * depth AS DECIMAL(20, 0)) * CAST(n AS DECIMAL(18, 0)))"
+    value = double_round(population_stdev("sum(n)", "sum(depth * n)", squares), 4)
     return _attached(hist.groupBy(*INTERVAL_KEYS).agg(value.alias("stdev_depth")), targets)
 
 
@@ -328,12 +327,11 @@ def all_metrics_shuffled(spark, d):
 )
 def rounding(spark, d):
     lines = views.table(spark, d, "lineitem")
-    n = F.count("*")
-    total = F.sum(F.col("l_quantity").cast("bigint"))
+    n, total = "count(*)", "sum(CAST(l_quantity AS BIGINT))"
     return lines.groupBy("l_orderkey").agg(
         ratio_round(total, n, 2).alias("mean_2"),
         ratio_round(total, n, 1).alias("mean_1"),
-        ratio_round(F.count(F.when(F.col("l_quantity") >= 20, 1)), n, 2, scale=100).alias("pct"),
+        ratio_round("count(IF(l_quantity >= 20, 1, NULL))", n, 2, scale=100).alias("pct"),
     )
 
 

@@ -13,7 +13,7 @@ from checks.registry import DEPTH, EXON_TABLE, PLACED, TARGETS, base, low_runs,
 from plumbline.operators.annotation import exon_lookup
 from plumbline.operators.classify import STATUS_TEXT, PAGE_SEVERITY, SUMMARY_SEVERITY, rationale, status_text
 from plumbline.operators.depth import bin_blocks, depth_blocks
-from plumbline.operators.joins import distinct_intervals, interval_set
+from plumbline.operators.joins import target_places
 from plumbline.operators.summary import (
     exon_bars, exon_table, gene_table, input_order, low_block_table, ordered_exons, page_summary, sample_summary,
     status_counts, target_table,
@@ -492,7 +492,7 @@ def streamed(spark, d):
 def streamed_histogram(spark, d):
     """Depth blocks arriving in batches, summed into target histograms."""
     targets = views.targets(spark, d)
-    places = interval_set(distinct_intervals(targets), BIN)
+    places = target_places(targets, BIN)
     blocks = _blocks(spark, d).drop("bin")
     folder = _staged(spark, blocks)
     arriving = bin_blocks(_stream(spark, folder, blocks.schema), BIN)

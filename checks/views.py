@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.joins import keyed_join
-
 BIN = 365
 FINE_BIN = 30
 
@@ -22,7 +20,7 @@ def _day(column: str):
 def placed_lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem") if lines is None else lines
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return keyed_join(lines, suppliers, ["l_suppkey"]).select(
+    return lines.join(suppliers, "l_suppkey").select(
         F.col("l_returnflag").alias("sample"),
         F.concat(F.lit("chr"), F.col("s_nationkey").cast("string")).alias("contig"),
         _day("l_shipdate").alias("start"),

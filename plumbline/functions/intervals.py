@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.numeric import int_div
-
 # Fixed value: the region string format, 1-based inclusive.
 REGION_PATTERN = r"^([^:]+):([0-9,]+)-([0-9,]+)$"
 
@@ -21,10 +19,14 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def bin_of(pos: Column, bin_size: int) -> Column:
-    """Bin number of a position, rounding down for negative positions too."""
-    size = F.lit(bin_size).cast("bigint")
-    return int_div(pos - F.pmod(pos, size), size)
+def bin_of(pos: str, bin_size: int) -> str:
+    """SQL of the bin number of a position, rounding down for negative positions too."""
+    return f"(({pos}) - pmod({pos}, {bin_size}L)) div {bin_size}L"
+
+
+def bins_of(start: str, end: str, bin_size: int) -> Column:
+    """The bins an interval touches, one row each."""
+    return F.expr(f"explode(sequence({bin_of(start, bin_size)}, {bin_of(f'{end} - 1', bin_size)}))")
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -44,14 +46,10 @@ def clip_interval(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
 
 def split_by_bin(df: DataFrame, bin_size: int) -> DataFrame:
     """Cut ``start``/``end`` intervals at bin edges: one row per touched bin, with its ``bin`` number."""
-    size = F.lit(bin_size).cast("bigint")
-    binned = df.where(F.col("start") < F.col("end")).withColumn(
-        "bin", F.explode(F.sequence(bin_of(F.col("start"), bin_size), bin_of(F.col("end") - 1, bin_size)))
-    )
-    return binned.withColumns(
+    return df.where("start < `end`").withColumn("bin", bins_of("start", "`end`", bin_size)).withColumns(
         {
-            "start": F.greatest(F.col("start"), F.col("bin") * size),
-            "end": F.least(F.col("end"), (F.col("bin") + 1) * size),
+            "start": F.expr(f"greatest(start, bin * {bin_size}L)"),
+            "end": F.expr(f"least(`end`, (bin + 1) * {bin_size}L)"),
         }
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.intervals import length_bp, overlaps, strip
-from plumbline.operators.joins import interval_set, keyed_join, span_join
+from plumbline.operators.joins import BROADCAST_ROWS, fits_broadcast, interval_set, keyed_join, span_join
 
 GENE_COLUMNS = ["contig", "start", "end", "gene_name", "gene_id", "strand", "gene_type"]
 EXON_COLUMNS = ["contig", "start", "end", "exon_id", "gene_name", "exon_number", "transcript_id"]
@@ -61,10 +61,10 @@ def gene_lookup(symbols: DataFrame, genes: DataFrame, aliases: DataFrame, order:
     canonical = aliases.groupBy("alias").agg(F.upper(F.max("gene_name")).alias("canonical_key"))
     direct = catalogue.select("name_key", F.struct(*GENE_COLUMNS).alias("own"))
     via = catalogue.select(F.col("name_key").alias("canonical_key"), F.struct(*GENE_COLUMNS).alias("via"))
-    found = keyed_join(
-        keyed_join(keyed_join(names, canonical, ["alias"], "left"), direct, ["name_key"], "left"),
-        via, ["canonical_key"], "left",
-    )
+    small = fits_broadcast(genes.select("gene_name").unionByName(aliases.select("gene_name")))
+    found = keyed_join(names, canonical, ["alias"], "left", small)
+    found = keyed_join(found, direct, ["name_key"], "left", small)
+    found = keyed_join(found, via, ["canonical_key"], "left", small)
     return found.withColumn("r", F.coalesce("own", "via")).select("ordinal", "symbol", "r.*")
 
 
@@ -123,14 +123,17 @@ def suggest_genes(
         .select("asked", "asked_len", "len", "i", F.substr("asked", F.col("at") + 1, F.col("size")).alias("piece"))
         .distinct()
     )
+    # a name of length n makes at most about n * n pieces
+    size = names.agg(F.coalesce(F.sum(F.length("gene_name") * F.length("gene_name")), F.lit(0))).first()[0]
+    small = size <= BROADCAST_ROWS
     similarity = 1.0 - F.levenshtein("asked", "name") / F.greatest("len", "asked_len")
     close = (
-        keyed_join(windows, pieces, ["len", "asked_len", "i", "piece"])
+        keyed_join(windows, pieces, ["len", "asked_len", "i", "piece"], small=small)
         .select("asked", "name", "len", "asked_len").distinct()
         .withColumn("similarity", similarity)
         .where(F.col("similarity") >= cutoff - 1e-9)
     )
-    best = keyed_join(close, known.select("name", "shown"), ["name"]).groupBy("asked", "shown").agg(
+    best = keyed_join(close, known.select("name", "shown"), ["name"], small=small).groupBy("asked", "shown").agg(
         F.max("similarity").alias("similarity")
     )
     ranked = best.withColumn(

@@ -102,7 +102,7 @@ def bed_sample(bed: DataFrame, max_targets: int, max_total_bp: int, seed: int =
     )
     ranked = running_totals(hashed, ["_chunk"], ["_hash", "line_no"], {"_n": "_one"})
     drawn = ranked.where(F.col("_n") <= max_targets).drop("_hash", "_one", "_chunk", "_n")
-    placed = drawn.withColumns({"_bp": F.col("end") - F.col("start"), "_at": bin_of(F.col("start"), 1 << 20)})
+    placed = drawn.withColumns({"_bp": F.col("end") - F.col("start"), "_at": F.expr(bin_of("start", 1 << 20))})
     totals = running_totals(placed, ["contig", "_at"], ["start", "line_no"], {"_total": "_bp"})
     return totals.where(F.col("_total") <= max_total_bp).drop("_bp", "_at", "_total")
 

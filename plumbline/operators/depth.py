@@ -56,12 +56,8 @@ def coverage_deltas(segments: DataFrame, bin_size: int, keys: tuple[str, ...] =
 
 def delta_events(pieces: DataFrame, keys: tuple[str, ...] = ("sample", "contig")) -> DataFrame:
     """The +1 and -1 rows of bin-cut segments."""
-    one = F.lit(1).cast("bigint")
-    events = F.array(
-        F.struct(F.col("start").alias("pos"), one.alias("delta")),
-        F.struct(F.col("end").alias("pos"), (-one).alias("delta")),
-    )
-    return pieces.select(*keys, "bin", F.explode(events).alias("e")).select(*keys, "bin", "e.pos", "e.delta")
+    events = "array(named_struct('pos', start, 'delta', 1L), named_struct('pos', `end`, 'delta', -1L))"
+    return pieces.selectExpr(*keys, "bin", f"inline({events})")
 
 
 def sum_deltas(events: DataFrame, keys: tuple[str, ...] = ("sample", "contig")) -> DataFrame:

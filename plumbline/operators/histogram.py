@@ -18,14 +18,9 @@ def zero_filled(clips: DataFrame, grid: DataFrame, keys: tuple[str, ...] = INTER
 
     Each target adds its whole length at depth 0 once, and each clip moves its length from depth 0 to its own depth.
     """
-    zero = F.lit(0).cast("bigint")
-    length = F.col("end") - F.col("start")
-    moves = F.array(
-        F.struct(F.col("depth").alias("depth"), length.alias("n")), F.struct(zero.alias("depth"), (-length).alias("n"))
-    )
-    moved = clips.select(*keys, F.explode(moves).alias("m")).select(*keys, "m.depth", "m.n")
-    whole = grid.select(*keys, zero.alias("depth"), (F.col("t_end") - F.col("t_start")).alias("n"))
-    return moved.unionByName(whole)
+    moves = "array(named_struct('depth', depth, 'n', `end` - start), named_struct('depth', 0L, 'n', start - `end`))"
+    moved = clips.selectExpr(*keys, f"inline({moves})")
+    return moved.unionByName(grid.selectExpr(*keys, "0L AS depth", "t_end - t_start AS n"))
 
 
 def sum_histogram(rows: DataFrame, keys: tuple[str, ...] = INTERVAL_KEYS) -> DataFrame:
@@ -38,12 +33,12 @@ def depth_histogram(blocks: DataFrame, targets: IntervalSet, samples: DataFrame)
     return sum_histogram(zero_filled(clip_to_intervals(blocks, targets), sample_grid(targets.intervals, samples)))
 
 
-def rollup_histogram(histogram: DataFrame, members: DataFrame, parent: str) -> DataFrame:
+def rollup_histogram(histogram: DataFrame, members: DataFrame, parent: str, small: bool | None = None) -> DataFrame:
     """Merge interval histograms into their parents: ``members`` maps ``contig, t_start, t_end`` to ``parent``.
 
     Two members at the same place both count, as two exons would.
     """
-    mapped = keyed_join(histogram, members, ["contig", "t_start", "t_end"])
+    mapped = keyed_join(histogram, members, ["contig", "t_start", "t_end"], small=small)
     return sum_histogram(mapped.select("sample", parent, "depth", "n"), ("sample", parent))
 
 
@@ -70,35 +65,30 @@ def metrics(histogram: DataFrame, params: CoverageParams, keys: tuple[str, ...]
 
     Every sum is an exact integer, so partial aggregation in any order gives the same rounded values.
     """
-    depth, n = F.col("depth"), F.col("n")
     if params.median == "low":
         histogram = _with_lower_half(histogram, keys)
-        median = F.min(F.when(F.col("_reached"), depth)).cast("double")
+        median = "CAST(min(CASE WHEN _reached THEN depth END) AS DOUBLE)"
     else:
-        median = F.percentile("depth", F.lit(0.5), n)
-    squares = (depth * depth).cast("decimal(20,0)") * n.cast("decimal(18,0)")
-    sums = histogram.groupBy(*keys).agg(
-        F.sum("n").alias("length_bp"),
-        F.sum(depth * n).alias("_total"),
-        F.sum(squares).alias("_squares"),
-        median.alias("median_depth"),
-        F.min("depth").alias("min_depth"),
-        F.max("depth").alias("max_depth"),
-        F.sum(F.when(depth == 0, n).otherwise(0)).alias("_zero"),
-        *[F.sum(F.when(depth >= t, n).otherwise(0)).alias(f"_ge_{t}") for t in sorted(params.thresholds)],
-    )
-    size = F.col("length_bp")
-    return sums.select(
+        median = "percentile(depth, 0.5D, n)"
+    steps = sorted(params.thresholds)
+    sums = {
+        "length_bp": "sum(n)",
+        "_total": "sum(depth * n)",
+        "_squares": "sum(CAST(depth * depth AS DECIMAL(20, 0)) * CAST(n AS DECIMAL(18, 0)))",
+        "_median": median,
+        "min_depth": "min(depth)",
+        "max_depth": "max(depth)",
+        "_zero": "sum(IF(depth = 0, n, 0L))",
+        **{f"_ge_{t}": f"sum(IF(depth >= {t}, n, 0L))" for t in steps},
+    }
+    return histogram.groupBy(*keys).agg(*[F.expr(f"{e} AS {name}") for name, e in sums.items()]).select(
         *keys,
-        size,
-        ratio_round(F.col("_total"), size, 2).alias("mean_depth"),
-        double_round(F.col("median_depth"), 1).alias("median_depth"),
+        "length_bp",
+        ratio_round("_total", "length_bp", 2).alias("mean_depth"),
+        double_round("_median", 1).alias("median_depth"),
         "min_depth",
         "max_depth",
-        double_round(population_stdev(size, F.col("_total"), F.col("_squares")), 2).alias("stdev_depth"),
-        ratio_round(F.col("_zero"), size, 2, scale=100).alias("pct_zero"),
-        *[
-            ratio_round(F.col(f"_ge_{t}"), size, 2, scale=100).alias(f"pct_ge_{t}")
-            for t in sorted(params.thresholds)
-        ],
+        double_round(population_stdev("length_bp", "_total", "_squares"), 2).alias("stdev_depth"),
+        ratio_round("_zero", "length_bp", 2, scale=100).alias("pct_zero"),
+        *[ratio_round(f"_ge_{t}", "length_bp", 2, scale=100).alias(f"pct_ge_{t}") for t in steps],
     )

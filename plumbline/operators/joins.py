@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.intervals import bin_of, overlaps, split_by_bin
-from plumbline.functions.numeric import int_div
+from plumbline.functions.intervals import bin_of, bins_of, overlaps, split_by_bin
 
 # A side is broadcast only when counted to hold at most this many narrow rows (some tens of MB).
 BROADCAST_ROWS = 250_000
@@ -22,14 +21,17 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 
 
 def keyed_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int | None = None
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", small: bool | None = None
 ) -> DataFrame:
-    """Join ``left`` to a lookup table: broadcast when the lookup is small, salted shuffle join otherwise.
+    """Join ``left`` to a lookup table. ``how`` is inner, left, left_semi or left_anti.
 
-    ``how`` is inner, left, left_semi or left_anti. The salt spreads a key that dominates ``left``.
+    ``small`` says what is known of the lookup: True (counted to fit) broadcasts it, False spreads each key over salts,
+    so that a key holding much of ``left`` does not land in one task. None leaves it to Spark, which measures the
+    shuffled sizes at run time and splits skewed partitions; it suits lookups that would cost much to count.
     """
-    limit = BROADCAST_ROWS if limit is None else limit
-    if fits_broadcast(right, limit):
+    if small is None:
+        return left.join(right, on, how)
+    if small:
         return left.join(F.broadcast(right), on, how)
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -55,7 +57,7 @@ class IntervalSet:
 
     def bins(self) -> DataFrame:
         """One row per interval and touched bin, with the part ``lo``..``hi`` of the interval in the bin."""
-        spans = self.intervals.withColumns({"start": F.col("t_start"), "end": F.col("t_end")})
+        spans = self.intervals.select("*", F.col("t_start").alias("start"), F.col("t_end").alias("end"))
         return split_by_bin(spans, self.bin_size).withColumnsRenamed({"start": "lo", "end": "hi"})
 
     def side(self, *dropped: str) -> DataFrame:
@@ -66,14 +68,26 @@ class IntervalSet:
 
 def interval_set(intervals: DataFrame, bin_size: int, limit: int | None = None) -> IntervalSet:
     """Count the bin rows of ``contig, t_start, t_end`` intervals without making them."""
-    touched = bin_of(F.col("t_end") - 1, bin_size) - bin_of(F.col("t_start"), bin_size) + 1
-    rows = intervals.agg(F.coalesce(F.sum(touched), F.lit(0))).first()[0]
-    return IntervalSet(intervals, bin_size, rows, BROADCAST_ROWS if limit is None else limit)
+    return IntervalSet(
+        intervals, bin_size, _count_bins(intervals, "t_start", "t_end", bin_size),
+        BROADCAST_ROWS if limit is None else limit,
+    )
+
 
+def target_places(targets: DataFrame, bin_size: int, limit: int | None = None, counted: DataFrame | None = None) -> IntervalSet:
+    """The distinct places of targets (``contig, start, end``): copies of a target are measured once.
+
+    The rows are counted before the distinct, an upper bound that needs no shuffle; ``counted`` may name a cheaper
+    superset to count. A set that is ``small`` therefore has few targets as well.
+    """
+    places = targets.select("contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")).distinct()
+    rows = _count_bins(targets if counted is None else counted, "start", "end", bin_size)
+    return IntervalSet(places, bin_size, rows, BROADCAST_ROWS if limit is None else limit)
 
-def distinct_intervals(targets: DataFrame) -> DataFrame:
-    """``contig, t_start, t_end`` of the targets, once each: copies of a target are measured once."""
-    return targets.select("contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")).distinct()
+
+def _count_bins(intervals: DataFrame, start: str, end: str, bin_size: int) -> int:
+    touched = f"{bin_of(f'`{end}` - 1', bin_size)} - {bin_of(start, bin_size)} + 1"
+    return intervals.agg(F.expr(f"coalesce(sum({touched}), 0)")).first()[0]
 
 
 def interval_join(pieces: DataFrame, targets: IntervalSet) -> DataFrame:
@@ -81,29 +95,18 @@ def interval_join(pieces: DataFrame, targets: IntervalSet) -> DataFrame:
 
     Every overlapping interval receives the piece, clipped to it. A piece lives in one bin, so no pair repeats.
     """
-    hit = overlaps(F.col("p.start"), F.col("p.end"), F.col("t.lo"), F.col("t.hi"))
-    same_bin = (F.col("p.contig") == F.col("t.contig")) & (F.col("p.bin") == F.col("t.bin"))
-    kept = [F.col(f"p.{c}") for c in pieces.columns if c not in ("start", "end")]
-    extra = [F.col(f"t.{c}") for c in targets.intervals.columns if c != "contig"]
-    return (
-        pieces.alias("p")
-        .join(targets.side().alias("t"), same_bin & hit)
-        .select(
-            *kept,
-            F.greatest("p.start", "t.lo").alias("start"),
-            F.least("p.end", "t.hi").alias("end"),
-            *extra,
-            F.col("t.lo"),
-            F.col("t.hi"),
-        )
+    kept = [f"p.{c}" for c in pieces.columns if c not in ("start", "end")]
+    extra = [f"t.{c}" for c in targets.intervals.columns if c != "contig"]
+    met = F.expr("p.contig = t.contig AND p.bin = t.bin AND p.start < t.hi AND p.`end` > t.lo")
+    return pieces.alias("p").join(targets.side().alias("t"), met).selectExpr(
+        *kept, "greatest(p.start, t.lo) AS start", "least(p.`end`, t.hi) AS `end`", *extra, "t.lo", "t.hi"
     )
 
 
 def point_interval_join(points: DataFrame, targets: IntervalSet) -> DataFrame:
     """Join positions (``contig, pos, ...``) to every interval with ``t_start <= pos < t_end``."""
-    binned = points.withColumn("bin", bin_of(F.col("pos"), targets.bin_size))
-    inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))
-    return binned.join(targets.side(), ["contig", "bin"]).where(inside).drop("bin", "lo", "hi")
+    binned = points.withColumn("bin", F.expr(bin_of("pos", targets.bin_size)))
+    return binned.join(targets.side(), ["contig", "bin"]).where("pos >= lo AND pos < hi").drop("bin", "lo", "hi")
 
 
 def span_join(left: DataFrame, targets: IntervalSet) -> DataFrame:
@@ -112,14 +115,12 @@ def span_join(left: DataFrame, targets: IntervalSet) -> DataFrame:
     Both are spread over bins and a pair is kept only in the first bin they share, so no distinct is needed.
     """
     size = targets.bin_size
-    spread = left.where(F.col("start") < F.col("end")).withColumn(
-        "bin", F.explode(F.sequence(bin_of(F.col("start"), size), bin_of(F.col("end") - 1, size)))
-    )
-    first_shared = F.greatest(bin_of(F.col("start"), size), bin_of(F.col("t_start"), size))
+    spread = left.where("start < `end`").withColumn("bin", bins_of("start", "`end`", size))
+    first_shared = f"greatest({bin_of('start', size)}, {bin_of('t_start', size)})"
     return (
         spread.join(targets.side("lo", "hi"), ["contig", "bin"])
         .where(overlaps(F.col("start"), F.col("end"), F.col("t_start"), F.col("t_end")))
-        .where(F.col("bin") == first_shared)
+        .where(f"bin = {first_shared}")
         .drop("bin")
     )
 
@@ -152,4 +153,4 @@ def running_totals(df: DataFrame, chunks: list[str], order: list[str], totals: d
 
 def chunk_of(number: str, size: int = 1 << 16) -> Column:
     """Chunk column for ``running_totals`` from a row number."""
-    return int_div(F.col(number), size)
+    return F.expr(f"{number} div {size}L")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.intervals import format_region
-from plumbline.functions.numeric import int_div, ratio_round
+from plumbline.functions.numeric import ratio_round
 from plumbline.operators.classify import (
     PAGE_SEVERITY, SUMMARY_SEVERITY, classify_exon, pct_ge_20, rationale, severity, status_text,
 )
@@ -23,11 +23,11 @@ def _hundredths(value: Column) -> Column:
     return F.round(value * 100).cast("bigint")
 
 
-def _weighted(total: Column, weight: Column) -> Column:
+def _weighted(total: str, weight: str) -> Column:
     """Length-weighted mean of hundredths, rounded half up to two decimals."""
-    return F.when(
-        weight > 0, int_div(total * 2 + weight, weight * F.lit(2).cast("bigint")).cast("double") / 100.0
-    ).otherwise(F.lit(0.0))
+    return F.expr(
+        f"CASE WHEN {weight} > 0 THEN CAST(({total} * 2 + {weight}) div (2L * {weight}) AS DOUBLE) / 100D ELSE 0D END"
+    )
 
 
 def _worst(order: dict[str, int]) -> Column:
@@ -55,9 +55,9 @@ def sample_summary(report: DataFrame, params: CoverageParams, order: dict[str, i
         "sample",
         "n_targets",
         "n_pass",
-        ratio_round(F.col("n_pass"), F.col("n_targets"), 2, scale=100).alias("pct_targets_pass"),
-        _weighted(F.col("_depth"), F.col("_bp")).alias("mean_depth"),
-        *([_weighted(F.col("_breadth"), F.col("_bp")).alias("pct_ge_20")] if has_20 else []),
+        ratio_round("n_pass", "n_targets", 2, scale=100).alias("pct_targets_pass"),
+        _weighted("_depth", "_bp").alias("mean_depth"),
+        *([_weighted("_breadth", "_bp").alias("pct_ge_20")] if has_20 else []),
         F.col("_worst.coverage_status").alias("worst_status"),
     )
 
@@ -128,7 +128,7 @@ def low_block_table(low: DataFrame) -> DataFrame:
     return low.select(
         "sample", "ordinal", "target_id",
         format_region(F.col("contig"), F.col("start"), F.col("end")).alias("region"),
-        "length", ratio_round(F.col("depth_sum"), F.col("length"), 1).alias("mean_depth"),
+        "length", ratio_round("depth_sum", "length", 1).alias("mean_depth"),
     )
 
 

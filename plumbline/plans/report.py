@@ -12,7 +12,7 @@ from plumbline.operators.annotation import exon_lookup, gene_lookup, genes_witho
 from plumbline.operators.classify import classify_exon, classify_target
 from plumbline.operators.depth import cigar_segments, depth_blocks, read_filter
 from plumbline.operators.histogram import INTERVAL_KEYS, depth_histogram, metrics, rollup_histogram
-from plumbline.operators.joins import IntervalSet, distinct_intervals, interval_set, keyed_join
+from plumbline.operators.joins import IntervalSet, keyed_join, target_places
 from plumbline.operators.runs import low_blocks
 from plumbline.params import ClassifyParams, CoverageParams
 
@@ -83,10 +83,10 @@ def with_low_totals(
     )
 
 
-def attach(rows: DataFrame, targets: DataFrame) -> DataFrame:
+def attach(rows: DataFrame, targets: DataFrame, small: bool | None = None) -> DataFrame:
     """Give interval results back to the targets at that place, however many share it."""
     placed = targets.withColumnsRenamed({"start": "t_start", "end": "t_end"})
-    return keyed_join(rows, placed, PLACE)
+    return keyed_join(rows, placed, PLACE, small=small)
 
 
 def _as_target(rows: DataFrame) -> DataFrame:
@@ -97,9 +97,9 @@ def target_metrics(
     segments: DataFrame, targets: DataFrame, samples: DataFrame, params: CoverageParams, limit: int | None = None
 ) -> DataFrame:
     """Metrics only, per sample and target."""
-    places = interval_set(distinct_intervals(targets), params.bin_size, limit)
+    places = target_places(targets, params.bin_size, limit)
     blocks = depth_blocks(segments, params.bin_size, targets=places)
-    return _as_target(attach(metrics(depth_histogram(blocks, places, samples), params), targets))
+    return _as_target(attach(metrics(depth_histogram(blocks, places, samples), params), targets, places.small))
 
 
 def coverage_report(
@@ -120,12 +120,13 @@ def coverage_report(
     """
     params, classify = params or CoverageParams(), classify or ClassifyParams()
     if exons is None:
-        places = interval_set(distinct_intervals(targets), params.bin_size, limit)
+        places = target_places(targets, params.bin_size, limit)
         found = measure(blocks, places, samples, params)
         rows = with_low_totals(found.metrics, found.low, INTERVAL_KEYS, classify)
-        report = classify_target(_as_target(attach(rows, targets)), classify).drop("has_dropout")
+        report = classify_target(_as_target(attach(rows, targets, places.small)), classify).drop("has_dropout")
         return CoverageReport(
-            report, attach_low(found.low, targets), attach_histogram(found.histogram, targets), params, classify
+            report, attach_low(found.low, targets, places.small),
+            attach_histogram(found.histogram, targets, places.small), params, classify,
         )
 
     whole = targets
@@ -133,17 +134,22 @@ def coverage_report(
         whole = genes_without_exons(targets.withColumnRenamed("ordinal", "gene_ordinal"), exons).withColumnRenamed(
             "gene_ordinal", "ordinal"
         )
-    measured = distinct_intervals(whole.select("contig", "start", "end").unionByName(exons.select("contig", "start", "end")))
-    found = measure(blocks, interval_set(measured, params.bin_size, limit), samples, params)
+    spans = exons.select("contig", "start", "end")
+    places = target_places(
+        whole.select("contig", "start", "end").unionByName(spans), params.bin_size, limit,
+        counted=targets.select("contig", "start", "end").unionByName(spans),
+    )
+    small = places.small
+    found = measure(blocks, places, samples, params)
     rows = with_low_totals(found.metrics, found.low, INTERVAL_KEYS, classify)
-    exon_rows = classify_exon(_as_target(attach(rows, exons)), classify).drop("has_dropout")
+    exon_rows = classify_exon(_as_target(attach(rows, exons, small)), classify).drop("has_dropout")
     low_exon = exon_rows.groupBy("sample", "gene_ordinal").agg(F.max(F.col("status") == "LOW_EXON").alias("has_low_exon"))
 
-    gene_rows = _as_target(attach(rows, whole))
-    low = attach_low(found.low, whole)
-    histogram = attach_histogram(found.histogram, whole)
+    gene_rows = _as_target(attach(rows, whole, small))
+    low = attach_low(found.low, whole, small)
+    histogram = attach_histogram(found.histogram, whole, small)
     if exon_only:
-        rolled = rollup(found, exons, targets, params, classify)
+        rolled = rollup(found, exons, targets, params, classify, small)
         gene_rows = gene_rows.unionByName(rolled[0].select(*gene_rows.columns))
         low = low.unionByName(rolled[1].select(*low.columns))
         histogram = histogram.unionByName(rolled[2].select(*histogram.columns))
@@ -154,46 +160,51 @@ def coverage_report(
     return CoverageReport(
         report, low, histogram, params, classify,
         exons=exon_rows,
-        exon_low_blocks=_exon_parts(found.low, exons),
-        exon_histogram=_exon_parts(found.histogram, exons),
+        exon_low_blocks=_exon_parts(found.low, exons, small),
+        exon_histogram=_exon_parts(found.histogram, exons, small),
     )
 
 
-def attach_low(low: DataFrame, targets: DataFrame) -> DataFrame:
+def attach_low(low: DataFrame, targets: DataFrame, small: bool | None = None) -> DataFrame:
     """Low blocks of the targets: ``sample, ordinal, target_id, contig, start, end, length, depth_sum``."""
     named = targets.select(
         "ordinal", "target_id", "contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")
     )
-    return keyed_join(low, named, PLACE).drop("t_start", "t_end")
+    return keyed_join(low, named, PLACE, small=small).drop("t_start", "t_end")
 
 
-def attach_histogram(histogram: DataFrame, targets: DataFrame) -> DataFrame:
+def attach_histogram(histogram: DataFrame, targets: DataFrame, small: bool | None = None) -> DataFrame:
     """``sample, ordinal, depth, n`` of the targets."""
     placed = targets.select("ordinal", "contig", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    return keyed_join(histogram, placed, PLACE).select("sample", "ordinal", "depth", "n")
+    return keyed_join(histogram, placed, PLACE, small=small).select("sample", "ordinal", "depth", "n")
 
 
-def _exon_parts(rows: DataFrame, exons: DataFrame) -> DataFrame:
+def _exon_parts(rows: DataFrame, exons: DataFrame, small: bool | None) -> DataFrame:
     placed = exons.select(
         "gene_ordinal", "exon_id", "contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")
     )
-    return keyed_join(rows, placed, PLACE)
+    return keyed_join(rows, placed, PLACE, small=small)
 
 
 def rollup(
-    found: Measured, exons: DataFrame, targets: DataFrame, params: CoverageParams, classify: ClassifyParams
+    found: Measured,
+    exons: DataFrame,
+    targets: DataFrame,
+    params: CoverageParams,
+    classify: ClassifyParams,
+    small: bool | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Gene rows, low blocks and histograms from their exons; start and end stay the gene's."""
     members = exons.select(
         "gene_ordinal", "contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")
     )
     keys = ("sample", "gene_ordinal")
-    merged = rollup_histogram(found.histogram, members, "gene_ordinal")
-    low = keyed_join(found.low, members, PLACE).drop("t_start", "t_end")
+    merged = rollup_histogram(found.histogram, members, "gene_ordinal", small)
+    low = keyed_join(found.low, members, PLACE, small=small).drop("t_start", "t_end")
     rows = with_low_totals(metrics(merged, params, keys), low, keys, classify)
     named = targets.withColumnRenamed("ordinal", "gene_ordinal")
-    genes = keyed_join(rows, named, ["gene_ordinal"]).withColumnRenamed("gene_ordinal", "ordinal")
-    low = keyed_join(low, named.select("gene_ordinal", "target_id"), ["gene_ordinal"]).withColumnRenamed(
+    genes = keyed_join(rows, named, ["gene_ordinal"], small=small).withColumnRenamed("gene_ordinal", "ordinal")
+    low = keyed_join(low, named.select("gene_ordinal", "target_id"), ["gene_ordinal"], small=small).withColumnRenamed(
         "gene_ordinal", "ordinal"
     )
     return genes, low, merged.withColumnRenamed("gene_ordinal", "ordinal")
@@ -292,31 +303,33 @@ def region_report(
     )
     named = regions.withColumn("target_id", region_name(F.col("contig"), F.col("start"), F.col("end")))
     region_targets = styled(named).select("ordinal", "target_id", "contig", "start", "end")
-    places = distinct_intervals(
+    places = target_places(
         region_targets.select("contig", "start", "end")
         .unionByName(gene_targets.select("contig", "start", "end"))
-        .unionByName(exon_targets.select("contig", "start", "end"))
+        .unionByName(exon_targets.select("contig", "start", "end")),
+        params.bin_size,
     )
-    found = measure(blocks, interval_set(places, params.bin_size), samples, params)
+    small = places.small
+    found = measure(blocks, places, samples, params)
     rows = with_low_totals(found.metrics, found.low, INTERVAL_KEYS, classify)
-    region_rows = classify_target(_as_target(attach(rows, region_targets)), classify).drop("has_dropout")
-    exon_rows = classify_exon(_as_target(attach(rows, exon_targets)), classify).drop("has_dropout")
+    region_rows = classify_target(_as_target(attach(rows, region_targets, small)), classify).drop("has_dropout")
+    exon_rows = classify_exon(_as_target(attach(rows, exon_targets, small)), classify).drop("has_dropout")
     low_exon = exon_rows.groupBy("sample", F.col("gene_ordinal").alias("ordinal")).agg(
         F.max(F.col("status") == "LOW_EXON").alias("has_low_exon")
     )
     gene_rows = classify_target(
-        _as_target(attach(rows, gene_targets)).join(low_exon, ["sample", "ordinal"], "left"), classify
+        _as_target(attach(rows, gene_targets, small)).join(low_exon, ["sample", "ordinal"], "left"), classify
     ).drop("has_dropout", "has_low_exon")
     return CoverageReport(
         region_rows,
-        attach_low(found.low, region_targets),
-        attach_histogram(found.histogram, region_targets),
+        attach_low(found.low, region_targets, small),
+        attach_histogram(found.histogram, region_targets, small),
         params,
         classify,
         genes=gene_rows,
-        gene_low_blocks=attach_low(found.low, gene_targets),
-        gene_histogram=attach_histogram(found.histogram, gene_targets),
+        gene_low_blocks=attach_low(found.low, gene_targets, small),
+        gene_histogram=attach_histogram(found.histogram, gene_targets, small),
         exons=exon_rows if exons else None,
-        exon_low_blocks=_exon_parts(found.low, exon_targets) if exons else None,
-        exon_histogram=_exon_parts(found.histogram, exon_targets) if exons else None,
+        exon_low_blocks=_exon_parts(found.low, exon_targets, small) if exons else None,
+        exon_histogram=_exon_parts(found.histogram, exon_targets, small) if exons else None,
     )

@@ -45,7 +45,7 @@ def exon_rows(exons: DataFrame) -> DataFrame:
 
 def low_bed_rows(low: DataFrame) -> DataFrame:
     """BED rows of low blocks: place, target and mean depth."""
-    mean = F.format_string("%.1f", ratio_round(F.col("depth_sum"), F.col("length"), 1))
+    mean = F.format_string("%.1f", ratio_round("depth_sum", "length", 1))
     return low.select(
         F.col("sample").alias("sample_name"), "contig", "start", "end", "target_id",
         F.concat(F.lit("mean_depth="), mean).alias("mean_depth"),
@@ -55,7 +55,7 @@ def low_bed_rows(low: DataFrame) -> DataFrame:
 def _low_array(low: DataFrame, keys: list[str]) -> DataFrame:
     item = F.struct(
         "contig", "start", "end", "length",
-        ratio_round(F.col("depth_sum"), F.col("length"), 2).alias("mean_depth"),
+        ratio_round("depth_sum", "length", 2).alias("mean_depth"),
     )
     return low.groupBy(*keys).agg(
         F.array_sort(F.collect_list(item), lambda a, b: F.when(a["start"] < b["start"], -1).when(
