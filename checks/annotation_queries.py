@@ -213,7 +213,7 @@ def in_region(spark, d):
 )
 def exons(spark, d):
     genes_ = views.genes(spark, d).withColumnRenamed("line_no", "gene_ordinal")
-    return exon_lookup(genes_, views.exons(spark, d)).drop("gene_start", "gene_end")
+    return exon_lookup(genes_, views.exons(spark, d)).drop("gene")
 
 
 @query(

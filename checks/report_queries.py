@@ -101,7 +101,7 @@ glow AS (
     return f"""{_HEAD}, {EXON_TABLE}, {exon_days}, {source},
 {_rows('xday', 'xlow', 'xrows', 'exon_id', p)},
 xreport AS (
-  SELECT xrows.*, gene_line, gene_name, contig, s, e, exon_number,
+  SELECT xrows.*, gene_line, upper(gene_name) AS gene_name, contig, s, e, exon_number,
          CASE WHEN {_EXON_LOW(p)} THEN 'LOW_EXON' ELSE 'OK' END AS status
   FROM xrows JOIN exons ON xrows.exon_id = exons.exon_id),
 {_rows('gday', 'glow', 'grows', 'k', p)},

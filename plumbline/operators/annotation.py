@@ -174,16 +174,17 @@ def exon_lookup(genes: DataFrame, exons: DataFrame) -> DataFrame:
     """Exons of each gene row: same contig and name (ignoring case), overlapping the gene span.
 
     ``genes`` has ``gene_ordinal``, ``contig``, ``start``, ``end``, ``gene_name``. A non-numeric exon number becomes 0.
+    ``gene`` is the gene's own name, as the exon table may spell it in another case.
     """
     wanted = genes.select(
-        "gene_ordinal", "contig", F.upper("gene_name").alias("name_key"),
+        "gene_ordinal", "contig", F.upper("gene_name").alias("name_key"), F.col("gene_name").alias("gene"),
         F.col("start").alias("gene_start"), F.col("end").alias("gene_end"),
     )
     numbered = exons.withColumn("name_key", F.upper("gene_name")).withColumn("exon_number", exon_number("exon_number"))
     joined = keyed_join(numbered, wanted, ["contig", "name_key"])
     return joined.where(
         overlaps(F.col("start"), F.col("end"), F.col("gene_start"), F.col("gene_end"))
-    ).select("gene_ordinal", *EXON_COLUMNS, "gene_start", "gene_end")
+    ).select("gene_ordinal", "gene", *EXON_COLUMNS)
 
 
 def exon_number(column: str) -> Column:

@@ -267,8 +267,9 @@ def gene_report(
     targets = renamed.select("ordinal", F.col("gene_name").alias("target_id"), "contig", "start", "end")
     if exon_table is None or not (exons or exon_only):
         return coverage_report(blocks, targets, samples, params, classify)
-    found = exon_lookup(genes.withColumnRenamed("ordinal", "gene_ordinal"), exon_table).drop("gene_start", "gene_end")
-    found = found.withColumn("contig", translate_contig(F.col("contig"), contig_style))
+    found = exon_lookup(genes.withColumnRenamed("ordinal", "gene_ordinal"), exon_table).withColumns(
+        {"gene_name": F.col("gene"), "contig": translate_contig(F.col("contig"), contig_style)}
+    ).drop("gene")
     report = coverage_report(blocks, targets, samples, params, classify, found, exon_only)
     return report if exons else replace(report, exons=None, exon_low_blocks=None, exon_histogram=None)
 
@@ -298,9 +299,9 @@ def region_report(
     gene_targets = styled(found_genes).select(
         gene_key("gene_name").alias("ordinal"), F.col("gene_name").alias("target_id"), "contig", "start", "end", "strand", "gene_type"
     )
-    exon_targets = styled(found_exons).withColumn("gene_ordinal", gene_key("region_gene")).drop(
-        "region_ordinal", "region_gene"
-    )
+    exon_targets = styled(found_exons).withColumns(
+        {"gene_ordinal": gene_key("region_gene"), "gene_name": F.col("region_gene")}
+    ).drop("region_ordinal", "region_gene")
     named = regions.withColumn("target_id", region_name(F.col("contig"), F.col("start"), F.col("end")))
     region_targets = styled(named).select("ordinal", "target_id", "contig", "start", "end")
     places = target_places(
