@@ -11,20 +11,20 @@ from plumbline.operators.joins import IntervalSet, interval_join, prune_to_inter
 # Fixed value: flag bits of reads that do not count (unmapped, secondary, QC fail, duplicate).
 EXCLUDED_FLAGS = 0x704
 
-_SEGMENTS = """
-CASE WHEN cigar RLIKE '^[0-9]+[M=X]$'
-THEN array(named_struct('start', start, 'end', start + CAST(substr(cigar, 1, length(cigar) - 1) AS BIGINT)))
+# reads with one aligned stretch, clipped or not, take the short way; the others walk the operations that advance
+_ONE_STRETCH = "regexp_extract(cigar, '^(?:[0-9]+[SH])*([0-9]+)[M=X](?:[0-9]+[SH])*$', 1)"
+_SEGMENTS = f"""
+CASE WHEN {_ONE_STRETCH} <> ''
+THEN array(named_struct('start', start, 'end', start + CAST({_ONE_STRETCH} AS BIGINT)))
 ELSE aggregate(
-  regexp_extract_all(cigar, '([0-9]+[MIDNSHP=X])', 1),
+  regexp_extract_all(cigar, '([0-9]+[MDN=X])', 1),
   CAST(named_struct('pos', start, 'segs', array())
        AS STRUCT<pos: BIGINT, segs: ARRAY<STRUCT<start: BIGINT, end: BIGINT>>>),
   (acc, op) -> named_struct(
-    'pos', acc.pos + IF(right(op, 1) IN ('M', '=', 'X', 'D', 'N'),
-                        CAST(substr(op, 1, length(op) - 1) AS BIGINT), 0L),
-    'segs', IF(right(op, 1) IN ('M', '=', 'X'),
-               concat(acc.segs, array(named_struct('start', acc.pos, 'end',
-                      acc.pos + CAST(substr(op, 1, length(op) - 1) AS BIGINT)))),
-               acc.segs)),
+    'pos', acc.pos + CAST(rtrim('MDN=X', op) AS BIGINT),
+    'segs', IF(endswith(op, 'D') OR endswith(op, 'N'), acc.segs,
+               array_append(acc.segs, named_struct(
+                 'start', acc.pos, 'end', acc.pos + CAST(rtrim('M=X', op) AS BIGINT))))),
   acc -> acc.segs)
 END
 """

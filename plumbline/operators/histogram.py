@@ -38,7 +38,7 @@ def rollup_histogram(histogram: DataFrame, members: DataFrame, parent: str, smal
 
     Two members at the same place both count, as two exons would.
     """
-    mapped = keyed_join(histogram, members, ["contig", "t_start", "t_end"], small=small)
+    mapped = keyed_join(histogram, members, ["contig", "t_start", "t_end"], small=small or None)
     return sum_histogram(mapped.select("sample", parent, "depth", "n"), ("sample", parent))
 
 

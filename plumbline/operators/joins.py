@@ -25,9 +25,10 @@ def keyed_join(
 ) -> DataFrame:
     """Join ``left`` to a lookup table. ``how`` is inner, left, left_semi or left_anti.
 
-    ``small`` says what is known of the lookup: True (counted to fit) broadcasts it, False spreads each key over salts,
-    so that a key holding much of ``left`` does not land in one task. None leaves it to Spark, which measures the
-    shuffled sizes at run time and splits skewed partitions; it suits lookups that would cost much to count.
+    ``small`` says what is known of the lookup: True (counted to fit) broadcasts it. False, for a lookup with unique
+    keys, spreads each key over salts, so that a key holding much of ``left`` does not land in one task. None leaves it
+    to Spark, which measures the shuffled sizes at run time and splits skewed partitions of either side; it suits
+    lookups with repeated keys or that would cost much to count.
     """
     if small is None:
         return left.join(right, on, how)

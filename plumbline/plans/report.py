@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,21 +30,28 @@ class Measured:
     low: DataFrame
 
 
-@dataclass(frozen=True)
 class CoverageReport:
-    """Lazy result tables of one report; ``exons`` and ``genes`` are None where the mode has none."""
+    """Result tables of one report. Each is planned when first asked for; a table the mode lacks is None."""
 
-    targets: DataFrame
-    low_blocks: DataFrame
-    histogram: DataFrame
-    params: CoverageParams
-    classify: ClassifyParams
-    exons: DataFrame | None = None
-    genes: DataFrame | None = None
-    exon_low_blocks: DataFrame | None = None
-    exon_histogram: DataFrame | None = None
-    gene_low_blocks: DataFrame | None = None
-    gene_histogram: DataFrame | None = None
+    TABLES = (
+        "targets", "low_blocks", "histogram", "exons", "exon_low_blocks", "exon_histogram",
+        "genes", "gene_low_blocks", "gene_histogram",
+    )
+
+    def __init__(self, params: CoverageParams, classify: ClassifyParams, **tables: DataFrame | Callable | None):
+        self.params, self.classify, self._tables = params, classify, tables
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name not in CoverageReport.TABLES:
+            raise AttributeError(name)
+        table = self._tables.get(name)
+        if callable(table):
+            table = self._tables[name] = table()
+        return table
+
+    def replace(self, **tables: DataFrame | None) -> CoverageReport:
+        """The same report with some tables given."""
+        return CoverageReport(self.params, self.classify, **{**self._tables, **tables})
 
 
 def samples_of(reads: DataFrame) -> DataFrame:
@@ -86,7 +94,7 @@ def with_low_totals(
 def attach(rows: DataFrame, targets: DataFrame, small: bool | None = None) -> DataFrame:
     """Give interval results back to the targets at that place, however many share it."""
     placed = targets.withColumnsRenamed({"start": "t_start", "end": "t_end"})
-    return keyed_join(rows, placed, PLACE, small=small)
+    return keyed_join(rows, placed, PLACE, small=small or None)
 
 
 def _as_target(rows: DataFrame) -> DataFrame:
@@ -123,10 +131,11 @@ def coverage_report(
         places = target_places(targets, params.bin_size, limit)
         found = measure(blocks, places, samples, params)
         rows = with_low_totals(found.metrics, found.low, INTERVAL_KEYS, classify)
-        report = classify_target(_as_target(attach(rows, targets, places.small)), classify).drop("has_dropout")
         return CoverageReport(
-            report, attach_low(found.low, targets, places.small),
-            attach_histogram(found.histogram, targets, places.small), params, classify,
+            params, classify,
+            targets=lambda: _classified(attach(rows, targets, places.small), classify),
+            low_blocks=lambda: attach_low(found.low, targets, places.small),
+            histogram=lambda: attach_histogram(found.histogram, targets, places.small),
         )
 
     whole = targets
@@ -143,47 +152,54 @@ def coverage_report(
     found = measure(blocks, places, samples, params)
     rows = with_low_totals(found.metrics, found.low, INTERVAL_KEYS, classify)
     exon_rows = classify_exon(_as_target(attach(rows, exons, small)), classify).drop("has_dropout")
-    low_exon = exon_rows.groupBy("sample", "gene_ordinal").agg(F.max(F.col("status") == "LOW_EXON").alias("has_low_exon"))
+    rolled = rollup(found, exons, targets, params, classify, small) if exon_only else None
+
+    def all_targets() -> DataFrame:
+        low_exon = exon_rows.groupBy("sample", F.col("gene_ordinal").alias("ordinal")).agg(
+            F.max(F.col("status") == "LOW_EXON").alias("has_low_exon")
+        )
+        gene_rows = _with_rolled(attach(rows, whole, small), rolled, "targets")
+        return _classified(gene_rows.join(low_exon, ["sample", "ordinal"], "left"), classify)
 
-    gene_rows = _as_target(attach(rows, whole, small))
-    low = attach_low(found.low, whole, small)
-    histogram = attach_histogram(found.histogram, whole, small)
-    if exon_only:
-        rolled = rollup(found, exons, targets, params, classify, small)
-        gene_rows = gene_rows.unionByName(rolled[0].select(*gene_rows.columns))
-        low = low.unionByName(rolled[1].select(*low.columns))
-        histogram = histogram.unionByName(rolled[2].select(*histogram.columns))
-    flagged = gene_rows.join(
-        low_exon.withColumnRenamed("gene_ordinal", "ordinal"), ["sample", "ordinal"], "left"
-    )
-    report = classify_target(flagged, classify).drop("has_dropout", "has_low_exon")
     return CoverageReport(
-        report, low, histogram, params, classify,
+        params, classify,
+        targets=all_targets,
+        low_blocks=lambda: _with_rolled(attach_low(found.low, whole, small), rolled, "low_blocks"),
+        histogram=lambda: _with_rolled(attach_histogram(found.histogram, whole, small), rolled, "histogram"),
         exons=exon_rows,
-        exon_low_blocks=_exon_parts(found.low, exons, small),
-        exon_histogram=_exon_parts(found.histogram, exons, small),
+        exon_low_blocks=lambda: _exon_parts(found.low, exons, small),
+        exon_histogram=lambda: _exon_parts(found.histogram, exons, small),
     )
 
 
+def _classified(rows: DataFrame, classify: ClassifyParams) -> DataFrame:
+    return classify_target(_as_target(rows), classify).drop("has_dropout", "has_low_exon")
+
+
+def _with_rolled(rows: DataFrame, rolled: CoverageReport | None, table: str) -> DataFrame:
+    """Whole-gene rows and, in the exon-only mode, the rolled-up genes."""
+    return rows if rolled is None else rows.unionByName(getattr(rolled, table).select(*rows.columns))
+
+
 def attach_low(low: DataFrame, targets: DataFrame, small: bool | None = None) -> DataFrame:
     """Low blocks of the targets: ``sample, ordinal, target_id, contig, start, end, length, depth_sum``."""
     named = targets.select(
         "ordinal", "target_id", "contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")
     )
-    return keyed_join(low, named, PLACE, small=small).drop("t_start", "t_end")
+    return keyed_join(low, named, PLACE, small=small or None).drop("t_start", "t_end")
 
 
 def attach_histogram(histogram: DataFrame, targets: DataFrame, small: bool | None = None) -> DataFrame:
     """``sample, ordinal, depth, n`` of the targets."""
     placed = targets.select("ordinal", "contig", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    return keyed_join(histogram, placed, PLACE, small=small).select("sample", "ordinal", "depth", "n")
+    return keyed_join(histogram, placed, PLACE, small=small or None).select("sample", "ordinal", "depth", "n")
 
 
 def _exon_parts(rows: DataFrame, exons: DataFrame, small: bool | None) -> DataFrame:
     placed = exons.select(
         "gene_ordinal", "exon_id", "contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")
     )
-    return keyed_join(rows, placed, PLACE, small=small)
+    return keyed_join(rows, placed, PLACE, small=small or None)
 
 
 def rollup(
@@ -193,25 +209,23 @@ def rollup(
     params: CoverageParams,
     classify: ClassifyParams,
     small: bool | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Gene rows, low blocks and histograms from their exons; start and end stay the gene's."""
+) -> CoverageReport:
+    """Gene rows (not yet classified), low blocks and histograms from their exons; start and end stay the gene's."""
     members = exons.select(
         "gene_ordinal", "contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")
+    ).withColumnRenamed("gene_ordinal", "ordinal")
+    keys = ("sample", "ordinal")
+    merged = rollup_histogram(found.histogram, members, "ordinal", small)
+    low = keyed_join(found.low, members, PLACE, small=small or None).drop("t_start", "t_end")
+    places = targets.withColumnsRenamed({"start": "t_start", "end": "t_end"})
+    return CoverageReport(
+        params, classify,
+        targets=lambda: keyed_join(
+            with_low_totals(metrics(merged, params, keys), low, keys, classify), places, ["ordinal"], small=small
+        ),
+        low_blocks=lambda: keyed_join(low, targets.select("ordinal", "target_id"), ["ordinal"], small=small),
+        histogram=merged,
     )
-    keys = ("sample", "gene_ordinal")
-    merged = rollup_histogram(found.histogram, members, "gene_ordinal", small)
-    low = keyed_join(found.low, members, PLACE, small=small).drop("t_start", "t_end")
-    rows = with_low_totals(metrics(merged, params, keys), low, keys, classify)
-    named = targets.withColumnRenamed("ordinal", "gene_ordinal")
-    genes = keyed_join(rows, named, ["gene_ordinal"], small=small).withColumnRenamed("gene_ordinal", "ordinal")
-    low = keyed_join(low, named.select("gene_ordinal", "target_id"), ["gene_ordinal"], small=small).withColumnRenamed(
-        "gene_ordinal", "ordinal"
-    )
-    return genes, low, merged.withColumnRenamed("gene_ordinal", "ordinal")
-
-
-class UnknownTargets(ValueError):
-    """Some targets could not be resolved."""
 
 
 def resolve_targets(
@@ -271,7 +285,7 @@ def gene_report(
         {"gene_name": F.col("gene"), "contig": translate_contig(F.col("contig"), contig_style)}
     ).drop("gene")
     report = coverage_report(blocks, targets, samples, params, classify, found, exon_only)
-    return report if exons else replace(report, exons=None, exon_low_blocks=None, exon_histogram=None)
+    return report if exons else report.replace(exons=None, exon_low_blocks=None, exon_histogram=None)
 
 
 def region_report(
@@ -313,24 +327,26 @@ def region_report(
     small = places.small
     found = measure(blocks, places, samples, params)
     rows = with_low_totals(found.metrics, found.low, INTERVAL_KEYS, classify)
-    region_rows = classify_target(_as_target(attach(rows, region_targets, small)), classify).drop("has_dropout")
     exon_rows = classify_exon(_as_target(attach(rows, exon_targets, small)), classify).drop("has_dropout")
-    low_exon = exon_rows.groupBy("sample", F.col("gene_ordinal").alias("ordinal")).agg(
-        F.max(F.col("status") == "LOW_EXON").alias("has_low_exon")
-    )
-    gene_rows = classify_target(
-        _as_target(attach(rows, gene_targets, small)).join(low_exon, ["sample", "ordinal"], "left"), classify
-    ).drop("has_dropout", "has_low_exon")
+
+    def all_genes() -> DataFrame:
+        low_exon = exon_rows.groupBy("sample", F.col("gene_ordinal").alias("ordinal")).agg(
+            F.max(F.col("status") == "LOW_EXON").alias("has_low_exon")
+        )
+        return _classified(attach(rows, gene_targets, small).join(low_exon, ["sample", "ordinal"], "left"), classify)
+
+    shown = {
+        "exons": exon_rows,
+        "exon_low_blocks": lambda: _exon_parts(found.low, exon_targets, small),
+        "exon_histogram": lambda: _exon_parts(found.histogram, exon_targets, small),
+    }
     return CoverageReport(
-        region_rows,
-        attach_low(found.low, region_targets, small),
-        attach_histogram(found.histogram, region_targets, small),
-        params,
-        classify,
-        genes=gene_rows,
-        gene_low_blocks=attach_low(found.low, gene_targets, small),
-        gene_histogram=attach_histogram(found.histogram, gene_targets, small),
-        exons=exon_rows if exons else None,
-        exon_low_blocks=_exon_parts(found.low, exon_targets, small) if exons else None,
-        exon_histogram=_exon_parts(found.histogram, exon_targets, small) if exons else None,
+        params, classify,
+        targets=lambda: _classified(attach(rows, region_targets, small), classify),
+        low_blocks=lambda: attach_low(found.low, region_targets, small),
+        histogram=lambda: attach_histogram(found.histogram, region_targets, small),
+        genes=all_genes,
+        gene_low_blocks=lambda: attach_low(found.low, gene_targets, small),
+        gene_histogram=lambda: attach_histogram(found.histogram, gene_targets, small),
+        **(shown if exons else {}),
     )

@@ -189,7 +189,7 @@ def write_reports(report: CoverageReport, stem: str, formats: str = "tsv", **run
     if "multiqc" in paths:
         multiqc_document(targets, report.params).write.mode("overwrite").text(paths["multiqc"])
     if "json" in paths:
-        kept = CoverageReport(**{**report.__dict__, "targets": targets})
+        kept = report.replace(targets=targets)
         documents = report_documents(kept).orderBy("sample", "ordinal").select("document")
         documents.write.mode("overwrite").text(paths["json"] + "/targets")
         run_documents(kept, **run).select("document").write.mode("overwrite").text(paths["json"] + "/run")
