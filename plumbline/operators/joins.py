@@ -41,15 +41,18 @@ def keyed_join(
 
 @dataclass(frozen=True)
 class IntervalSet:
-    """Target intervals ``contig, t_start, t_end`` with the counted number of their bin rows.
+    """Target intervals ``contig, t_start, t_end`` with the counted number of their join rows.
 
     The count decides once how every join with them runs: broadcast up to the limit, sort-merge (which AQE can split
-    where a bin is skewed) beyond it.
+    where a bin is skewed) beyond it. Joins use two widths of cells: whole bins for long intervals and sixteenths for
+    short ones, so that a bin crowded with short intervals is not compared with all of them.
     """
 
     intervals: DataFrame
     bin_size: int
     rows: int
+    n_short: int
+    n_long: int
     limit: int
 
     @property
@@ -61,53 +64,115 @@ class IntervalSet:
         spans = self.intervals.select("*", F.col("t_start").alias("start"), F.col("t_end").alias("end"))
         return split_by_bin(spans, self.bin_size).withColumnsRenamed({"start": "lo", "end": "hi"})
 
-    def side(self, *dropped: str) -> DataFrame:
-        """The bin rows as a join side, hinted by their counted size."""
-        bins = self.bins().drop(*dropped)
-        return F.broadcast(bins) if self.small else bins.hint("merge")
+    def cells(self) -> DataFrame:
+        """The intervals spread over their cells, as a join side hinted by the counted size."""
+        fine = _fine(self.bin_size)
+        narrow = _sequence("t_start", "t_end", fine)
+        wide = _sequence("t_start", "t_end", self.bin_size)
+        spread = (
+            f"IF({_is_short('t_start', 't_end', self.bin_size)}, transform({narrow}, c -> {_cell(1, 'c')}), "
+            f"transform({wide}, c -> {_cell(0, 'c')}))"
+        )
+        cells = self.intervals.where("t_start < t_end").selectExpr("*", f"inline({spread})")
+        return F.broadcast(cells) if self.small else cells.hint("merge")
+
+    def to_cells(self, pieces: DataFrame) -> DataFrame:
+        """Pieces (``bin, start, end``) cut to the cell widths in use, each with ``level`` and ``cell``."""
+        fine = _fine(self.bin_size)
+        first, last = bin_of("start", fine), bin_of("`end` - 1", fine)
+        wide, narrow = _cell(0, "bin"), _cell(1, first)
+        many = f"transform(sequence({first}, {last}), c -> {_cell(1, 'c')})"
+        if not self.n_short:
+            return pieces.selectExpr("*", "0 AS level", "bin AS cell")
+        if self.n_long:
+            one, many = f"array({wide}, {narrow})", f"concat(array({wide}), {many})"
+        else:
+            one = f"array({narrow})"
+        spread = pieces.selectExpr("*", f"inline(IF({first} = {last}, {one}, {many}))")
+        return spread.withColumns(
+            {
+                "start": F.expr(f"IF(level = 1, greatest(start, cell * {fine}L), start)"),
+                "end": F.expr(f"IF(level = 1, least(`end`, (cell + 1) * {fine}L), `end`)"),
+            }
+        )
+
+
+def _fine(bin_size: int) -> int:
+    return max(bin_size // 16, 1)
+
+
+def _is_short(start: str, end: str, bin_size: int) -> str:
+    return f"{end} - {start} <= {2 * _fine(bin_size)}L"
+
+
+def _sequence(start: str, end: str, size: int) -> str:
+    return f"sequence({bin_of(start, size)}, {bin_of(f'{end} - 1', size)})"
+
+
+def _cell(level: int, cell: str) -> str:
+    return f"named_struct('level', {level}, 'cell', {cell})"
 
 
 def interval_set(intervals: DataFrame, bin_size: int, limit: int | None = None) -> IntervalSet:
-    """Count the bin rows of ``contig, t_start, t_end`` intervals without making them."""
-    return IntervalSet(
-        intervals, bin_size, _count_bins(intervals, "t_start", "t_end", bin_size),
-        BROADCAST_ROWS if limit is None else limit,
-    )
+    """Count the join rows of ``contig, t_start, t_end`` intervals without making them."""
+    return _counted(intervals, intervals, "t_start", "t_end", bin_size, limit)
 
 
-def target_places(targets: DataFrame, bin_size: int, limit: int | None = None, counted: DataFrame | None = None) -> IntervalSet:
+def target_places(
+    targets: DataFrame, bin_size: int, limit: int | None = None, counted: DataFrame | None = None
+) -> IntervalSet:
     """The distinct places of targets (``contig, start, end``): copies of a target are measured once.
 
     The rows are counted before the distinct, an upper bound that needs no shuffle; ``counted`` may name a cheaper
     superset to count. A set that is ``small`` therefore has few targets as well.
     """
     places = targets.select("contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")).distinct()
-    rows = _count_bins(targets if counted is None else counted, "start", "end", bin_size)
-    return IntervalSet(places, bin_size, rows, BROADCAST_ROWS if limit is None else limit)
+    return _counted(places, targets if counted is None else counted, "start", "`end`", bin_size, limit)
 
 
-def _count_bins(intervals: DataFrame, start: str, end: str, bin_size: int) -> int:
-    touched = f"{bin_of(f'`{end}` - 1', bin_size)} - {bin_of(start, bin_size)} + 1"
-    return intervals.agg(F.expr(f"coalesce(sum({touched}), 0)")).first()[0]
+def _counted(
+    intervals: DataFrame, counted: DataFrame, start: str, end: str, bin_size: int, limit: int | None
+) -> IntervalSet:
+    short = _is_short(start, end, bin_size)
+    touched = f"({bin_of(f'{end} - 1', bin_size)} - {bin_of(start, bin_size)} + 1)"
+    # a short interval touches at most three fine cells
+    row = counted.where(f"{start} < {end}").selectExpr(
+        f"coalesce(sum(IF({short}, greatest(3L, {touched}), {touched})), 0L) AS n_rows",
+        f"count(IF({short}, 1, NULL)) AS n_short", f"count(IF({short}, NULL, 1)) AS n_long",
+    ).first()
+    limit = BROADCAST_ROWS if limit is None else limit
+    return IntervalSet(intervals, bin_size, row.n_rows, row.n_short, row.n_long, limit)
 
 
 def interval_join(pieces: DataFrame, targets: IntervalSet) -> DataFrame:
     """Overlap join of bin-cut pieces (``contig, bin, start, end, ...``) with target intervals.
 
-    Every overlapping interval receives the piece, clipped to it. A piece lives in one bin, so no pair repeats.
+    Every overlapping interval receives the piece, clipped to it; ``lo`` and ``hi`` bound the interval in the piece's
+    bin. A piece may come in several adjoining parts, and no position of it comes twice.
     """
+    size = targets.bin_size
     kept = [f"p.{c}" for c in pieces.columns if c not in ("start", "end")]
     extra = [f"t.{c}" for c in targets.intervals.columns if c != "contig"]
-    met = F.expr("p.contig = t.contig AND p.bin = t.bin AND p.start < t.hi AND p.`end` > t.lo")
-    return pieces.alias("p").join(targets.side().alias("t"), met).selectExpr(
-        *kept, "greatest(p.start, t.lo) AS start", "least(p.`end`, t.hi) AS `end`", *extra, "t.lo", "t.hi"
+    met = F.expr(
+        "p.contig = t.contig AND p.level = t.level AND p.cell = t.cell AND p.start < t.t_end AND p.`end` > t.t_start"
+    )
+    return targets.to_cells(pieces).alias("p").join(targets.cells().alias("t"), met).selectExpr(
+        *kept, "greatest(p.start, t.t_start) AS start", "least(p.`end`, t.t_end) AS `end`", *extra,
+        f"greatest(t.t_start, p.bin * {size}L) AS lo", f"least(t.t_end, (p.bin + 1) * {size}L) AS hi",
     )
 
 
 def point_interval_join(points: DataFrame, targets: IntervalSet) -> DataFrame:
     """Join positions (``contig, pos, ...``) to every interval with ``t_start <= pos < t_end``."""
-    binned = points.withColumn("bin", F.expr(bin_of("pos", targets.bin_size)))
-    return binned.join(targets.side(), ["contig", "bin"]).where("pos >= lo AND pos < hi").drop("bin", "lo", "hi")
+    columns = points.columns
+    spans = points.selectExpr("*", f"{bin_of('pos', targets.bin_size)} AS bin", "pos AS start", "pos + 1 AS `end`")
+    extra = [c for c in targets.intervals.columns if c != "contig"]
+    return (
+        targets.to_cells(spans)
+        .join(targets.cells(), ["contig", "level", "cell"])
+        .where("pos >= t_start AND pos < t_end")
+        .select(*columns, *extra)
+    )
 
 
 def span_join(left: DataFrame, targets: IntervalSet) -> DataFrame:
@@ -117,9 +182,11 @@ def span_join(left: DataFrame, targets: IntervalSet) -> DataFrame:
     """
     size = targets.bin_size
     spread = left.where("start < `end`").withColumn("bin", bins_of("start", "`end`", size))
+    bins = targets.bins().drop("lo", "hi")
+    side = F.broadcast(bins) if targets.small else bins.hint("merge")
     first_shared = f"greatest({bin_of('start', size)}, {bin_of('t_start', size)})"
     return (
-        spread.join(targets.side("lo", "hi"), ["contig", "bin"])
+        spread.join(side, ["contig", "bin"])
         .where(overlaps(F.col("start"), F.col("end"), F.col("t_start"), F.col("t_end")))
         .where(f"bin = {first_shared}")
         .drop("bin")

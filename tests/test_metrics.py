@@ -1,13 +1,16 @@
 """Hand-computed depths."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.depth import bin_blocks, cigar_segments, depth_blocks, read_filter
+from plumbline.operators.depth import bin_blocks, cigar_segments, depth_blocks, per_base_depth, read_filter
 from plumbline.operators.histogram import depth_histogram, metrics
-from plumbline.operators.joins import target_places
+from plumbline.operators.joins import point_interval_join, target_places
 from plumbline.operators.runs import low_blocks, merge_targets
 from plumbline.params import CoverageParams, parse_thresholds
+from plumbline.plans.report import coverage_report
 
 BLOCKS = "sample string, contig string, start bigint, end bigint, depth bigint"
 
@@ -132,3 +135,49 @@ def test_merge_joins_touching_and_nested(spark):
     rows = [("c", 0, 5), ("c", 5, 9), ("c", 20, 40), ("c", 22, 23), ("c", 41, 42), ("d", 3, 4)]
     merged = merge_targets(spark.createDataFrame(rows, "contig string, start bigint, end bigint"), 4)
     assert sorted(tuple(r) for r in merged.collect()) == [("c", 0, 9), ("c", 20, 40), ("c", 41, 42), ("d", 3, 4)]
+
+
+@pytest.mark.parametrize("lengths", [(1, 3), (40, 90), (1, 90)])
+@pytest.mark.parametrize("limit", [None, 0])
+def test_crowded_bins_equal_brute_force(spark, lengths, limit):
+    """Short and long targets, many in one bin, copies among them, in both join forms."""
+    rng = random.Random(7)
+    reads = [(rng.choice("ST"), "c", s, s + rng.randint(1, 30)) for s in (rng.randint(-20, 150) for _ in range(300))]
+    spans = [(s, s + rng.randint(*lengths)) for s in (rng.choice((rng.randint(-9, 160), 64, 70)) for _ in range(80))]
+    depth = {}
+    for sample, _, s, e in reads:
+        for p in range(s, e):
+            depth[sample, p] = depth.get((sample, p), 0) + 1
+    want_hist, want_low = {}, set()
+    for i, (s, e) in enumerate(spans):
+        for sample in "ST":
+            run = None
+            for p in range(s, e + 1):
+                d = depth.get((sample, p), 0)
+                if p < e:
+                    want_hist[sample, i, d] = want_hist.get((sample, i, d), 0) + 1
+                if p < e and d < 12:
+                    run = run or [p, 0]
+                    run[1] += d
+                elif run:
+                    want_low.add((sample, i, run[0], p, run[1]))
+                    run = None
+    rows = spark.createDataFrame(reads, "sample string, contig string, start bigint, end bigint")
+    targets = spark.createDataFrame(
+        [(i, "t", "c", s, e) for i, (s, e) in enumerate(spans)],
+        "ordinal bigint, target_id string, contig string, start bigint, end bigint",
+    )
+    samples = spark.createDataFrame([("S",), ("T",)], "sample string")
+    params = CoverageParams(bin_size=32, low_threshold=12, low_min_len=1)
+    places = target_places(targets, 32, limit)
+    blocks = depth_blocks(rows, 32, targets=places)
+    report = coverage_report(blocks, targets, samples, params, limit=limit)
+    assert {(r.sample, r.ordinal, r.depth): r.n for r in report.histogram.collect()} == want_hist
+    low = {(r.sample, r.ordinal, r.start, r.end, r.depth_sum) for r in report.low_blocks.collect()}
+    assert low == want_low
+    by_base = per_base_depth(blocks, places, samples).collect()
+    assert len(by_base) == 2 * sum(e - s for s, e in set(spans))
+    assert all(r.depth == depth.get((r.sample, r.pos), 0) for r in by_base)
+    points = rows.select("contig", F.col("start").alias("pos"))
+    joined = point_interval_join(points, places)
+    assert joined.count() == sum(1 for r in reads for s, e in set(spans) if s <= r[2] < e)
