@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.depth import bin_blocks
+from plumbline.operators.joins import IntervalSet, prune_to_intervals
 from plumbline.sources.lines import fields, part
 
+# Up to this many targets are sent to the scan as predicates.
+MAX_RANGES = 64
+
 
 def parse_depth_lines(lines: DataFrame, sample: str = "NA") -> DataFrame:
     """``sample, contig, pos, depth`` of per-position lines; 1-based positions become 0-based."""
@@ -42,5 +46,34 @@ def read_depth_blocks(spark: SparkSession, path: str, sample: str = "NA") -> Dat
     return parse_depth_blocks(spark.read.text(path), sample)
 
 
+def write_depth_store(blocks: DataFrame, path: str) -> None:
+    """Keep depth blocks as a table sorted by place, so that many reports share one computation.
+
+    Range partitions spread a dominant contig over files, and min/max statistics let scans skip what targets do not
+    touch.
+    """
+    blocks.repartitionByRange("contig", "start", "sample").sortWithinPartitions("contig", "start").write.mode(
+        "overwrite"
+    ).parquet(path)
+
+
+def read_depth_store(spark: SparkSession, path: str, targets: IntervalSet | None = None) -> DataFrame:
+    """Blocks of a depth store; with ``targets``, only those of bins they touch.
+
+    A few targets, as of a gene list, become range predicates that reach the Parquet scan. More are joined by bin.
+    """
+    blocks = spark.read.parquet(path)
+    if targets is None:
+        return blocks
+    if targets.n_short + targets.n_long > MAX_RANGES:
+        return prune_to_intervals(blocks, targets)
+    wanted = F.lit(False)
+    for t in targets.intervals.select("contig", "t_start", "t_end").collect():
+        wanted = wanted | (
+            (F.col("contig") == t.contig) & (F.col("start") < t.t_end) & (F.col("end") > t.t_start)
+        )
+    return blocks.where(wanted)
+
+
 def _sample(lines: DataFrame, sample: str) -> list:
     return ["sample"] if "sample" in lines.columns else [F.lit(sample).alias("sample")]

@@ -19,7 +19,10 @@ from plumbline.sources.bed import bed_bytes, read_bed, read_bed_rejects
 from plumbline.sources.catalogue import (
     builtin_aliases, builtin_genes, read_alias_map, read_exon_table, read_gene_table, read_gtf, write_catalogue,
 )
-from plumbline.sources.depth_files import read_depth_blocks, read_depth_lines, positions_to_blocks
+from plumbline.operators.joins import target_places
+from plumbline.sources.depth_files import (
+    positions_to_blocks, read_depth_blocks, read_depth_lines, read_depth_store, write_depth_store,
+)
 from plumbline.sources.lines import read_lines
 
 
@@ -280,3 +283,35 @@ def test_formats():
     for bad in ("", "pdf"):
         with pytest.raises(ValueError):
             parse_formats(bad)
+
+
+def test_depth_store_reads_only_target_ranges(spark, tmp_path, capsys):
+    blocks = depth_blocks(
+        spark.range(5000).select(
+            F.lit("S").alias("sample"), F.concat(F.lit("c"), F.col("id") % 3).alias("contig"),
+            F.col("id").alias("start"), (F.col("id") + 5).alias("end"),
+        ), 64,
+    )
+    path = str(tmp_path / "store")
+    write_depth_store(blocks, path)
+    samples = spark.createDataFrame([("S",)], "sample string")
+    params = CoverageParams(bin_size=64)
+
+    def report(n):
+        targets = spark.range(n).select(
+            F.col("id").alias("ordinal"), F.lit("t").alias("target_id"), F.concat(F.lit("c"), F.col("id") % 2).alias("contig"),
+            (F.col("id") * 40).alias("start"), (F.col("id") * 40 + 30).alias("end"),
+        )
+        places = target_places(targets, 64)
+        stored = read_depth_store(spark, path, places)
+        rows = coverage_report(stored, targets, samples, params).targets
+        want = coverage_report(blocks, targets, samples, params).targets
+        assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))
+        return stored
+
+    few = report(3)
+    assert few.where("contig = 'c2'").count() == 0
+    few.explain("formatted")
+    pushed = next(line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line)
+    assert "EqualTo(contig,c0)" in pushed and "GreaterThan(end,40)" in pushed
+    assert report(90).where("contig = 'c2'").count() == 0
