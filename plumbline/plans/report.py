@@ -16,6 +16,7 @@ from plumbline.operators.histogram import INTERVAL_KEYS, depth_histogram, metric
 from plumbline.operators.joins import IntervalSet, keyed_join, target_places
 from plumbline.operators.runs import low_blocks
 from plumbline.params import ClassifyParams, CoverageParams
+from plumbline.session import cut_lineage
 
 TARGET_COLUMNS = ["ordinal", "target_id", "contig", "start", "end"]
 PLACE = ["contig", "t_start", "t_end"]
@@ -307,7 +308,10 @@ def region_report(
     """
     params, classify = params or CoverageParams(), classify or ClassifyParams()
     index = regions.withColumn("contig", translate_contig(F.col("contig"), "chr"))
-    found_genes, found_exons = region_overlay(index, genes, builtins, exon_table, order, params.bin_size)
+    # the overlay feeds the count, the places and every table, so it is computed once
+    found_genes, found_exons = map(
+        cut_lineage, region_overlay(index, genes, builtins, exon_table, order, params.bin_size)
+    )
     styled = lambda df: df.withColumn("contig", translate_contig(F.col("contig"), contig_style))
     gene_key = lambda name: F.struct("region_ordinal", F.col(name).alias("gene_name"))
     gene_targets = styled(found_genes).select(
