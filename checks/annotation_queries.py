@@ -275,9 +275,6 @@ def catalogue(spark, d):
     return views.genes(spark, d).select("gene_name", catalogue_rank(contig).alias("contig_rank"))
 
 
-_GTF_LINE = "gene_id {q}{id}{q}; gene_type {q}protein_coding{q}; gene_name {q}{name}{q};"
-
-
 def _gtf(spark, d):
     """GTF text: gene and exon features, comments, and unnamed genes."""
     rows = views.genes(spark, d)

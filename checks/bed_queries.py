@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from checks import views
 from checks.registry import DAY, query
 from plumbline.operators.bed import bed_clip, bed_message, bed_rejects, bed_sample, bed_stats, parse_bed
@@ -111,5 +109,3 @@ def within(spark, d):
     rows = bed(spark, d)
     return bed_message(bed_stats(rows, 0, 10**9, 10**12), rows, "clip", 10**9, 10**12)
 
-
-_ = F

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from checks import views
-from checks.annotation_queries import _GENE_OUT, _IN_REGION, _REGIONS, _regions
-from checks.registry import DEPTH, EXON_TABLE, PLACED, TARGETS, base, low_runs, metric_columns, query, ratio, genes
-from plumbline.operators.annotation import exon_lookup
+from checks.annotation_queries import _IN_REGION, _REGIONS, _regions
+from checks.registry import DEPTH, EXON_TABLE, PLACED, TARGETS, low_runs, metric_columns, query, ratio
 from plumbline.operators.classify import STATUS_TEXT, PAGE_SEVERITY, SUMMARY_SEVERITY, rationale, status_text
 from plumbline.operators.depth import bin_blocks, depth_blocks
 from plumbline.operators.joins import target_places
@@ -405,7 +403,6 @@ _XDOC = _json(
     "xreport", "r.exon_id", "xlow", "xday", "exon_id", "''",
     ", 'exon_number': CAST(r.exon_number AS BIGINT), 'status': r.status",
 )
-_DOC_FIELDS = "'target_id', 'contig'"
 
 
 @query(
@@ -464,7 +461,6 @@ def _stream(spark, folder: str, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
-@lru_cache(maxsize=None)
 def _block_sql() -> str:
     return f"""SELECT sample, contig, CAST(p // {BIN} AS BIGINT) AS bin, CAST(min(p) AS BIGINT) AS start,
            CAST(max(p) + 1 AS BIGINT) AS "end", CAST(d AS BIGINT) AS depth
@@ -500,6 +496,3 @@ def streamed_histogram(spark, d):
     rows = read_histogram(spark, f"{folder}/histogram", places, views.pooled_samples(spark, d))
     placed = targets.select("ordinal", "contig", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
     return rows.join(placed, ["contig", "t_start", "t_end"]).select("sample", "ordinal", "depth", "n")
-
-
-_ = (_GENE_OUT, base, genes, exon_lookup)
