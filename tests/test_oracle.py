@@ -4,6 +4,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from checks.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,13 +14,14 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), FOLDER) == ""
+    assert compare(spark, con, name, QUERIES[name], SQL.get(name), FOLDER) == ""
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
