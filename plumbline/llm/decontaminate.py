@@ -122,8 +122,9 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int =
     )
 
     # confirm on the text: every window of every shift; what remains are the starts of real occurrences
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), token_words(F.col("text")).alias("words"))
-    rows = rows.join(places_of_doc, rows["id"].eqNullSafe(places_of_doc["doc_id"]), "left").drop("doc_id")
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.join(places_of_doc, F.col("row.doc_id").eqNullSafe(places_of_doc["doc_id"]), "left").drop("doc_id")
+    rows = rows.withColumn("words", token_words(F.col("row.text")))  # after the shuffle, which so carries the texts once
 
     def confirmed(s: Column) -> Column:
         fits = lambda j: (s["shift"] + j >= 0) & (
