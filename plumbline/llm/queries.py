@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.common import read_table
 from plumbline.llm.decontaminate import decontamination_report
 from plumbline.llm.near_dup import near_duplicates
+from plumbline.llm.secrets import secret_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +68,8 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.node = doc_id"""
 @query("op3_minhash", OP3)
 def op3(spark, d):
     return near_duplicates(read_table(spark, d, "documents"), size=4)
+
+
+@query("op9_secrets")
+def op9(spark, d):
+    return secret_report(read_table(spark, d, "documents"))
