@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import read_table
 from plumbline.llm.decontaminate import decontamination_report
+from plumbline.llm.fertility import fertility_rules
 from plumbline.llm.near_dup import near_duplicates
 from plumbline.llm.secrets import secret_report
 
@@ -73,3 +74,8 @@ def op3(spark, d):
 @query("op9_secrets")
 def op9(spark, d):
     return secret_report(read_table(spark, d, "documents"))
+
+
+@query("op2_fertility")
+def op2(spark, d):
+    return fertility_rules(read_table(spark, d, "documents"))
