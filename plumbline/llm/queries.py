@@ -11,6 +11,7 @@ from plumbline.llm.decontaminate import decontamination_report
 from plumbline.llm.fertility import fertility_rules
 from plumbline.llm.near_dup import near_duplicates
 from plumbline.llm.secrets import secret_report
+from plumbline.llm.warc import page_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +80,16 @@ def op9(spark, d):
 @query("op2_fertility")
 def op2(spark, d):
     return fertility_rules(read_table(spark, d, "documents"))
+
+
+OP8 = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+SELECT page_id, b AS payload_bytes, d AS payload_digest,
+       CASE WHEN b >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m"""
+
+
+@query("op8_warc", OP8)
+def op8(spark, d):
+    return page_records(spark, read_table(spark, d, "pages"))
