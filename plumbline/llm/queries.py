@@ -11,6 +11,7 @@ from plumbline.llm.decontaminate import decontamination_report
 from plumbline.llm.fertility import fertility_rules
 from plumbline.llm.near_dup import near_duplicates
 from plumbline.llm.secrets import secret_report
+from plumbline.llm.toxicity import toxicity
 from plumbline.llm.warc import page_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,8 @@ FROM m"""
 @query("op8_warc", OP8)
 def op8(spark, d):
     return page_records(spark, read_table(spark, d, "pages"))
+
+
+@query("op10_toxicity")
+def op10(spark, d):
+    return toxicity(read_table(spark, d, "documents"), read_table(spark, d, "labels"))

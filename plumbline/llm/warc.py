@@ -49,8 +49,9 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of payload beginnings; empty when there is too little to learn from."""
     rows = pages.filter(F.length("html") > 0).select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(SAMPLE_PAGES).collect()
+    samples = [r.html.encode() for r in rows]
     try:
-        return zstandard.train_dictionary(DICTIONARY, [r.html.encode() for r in rows]).as_bytes() if len(rows) >= 16 else b""
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
         return b""
 
