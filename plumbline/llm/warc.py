@@ -90,7 +90,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes = b"", archi
             for page, url, html, digest, refers in zip(*(batch.column(i) for i in range(5))):
                 if out is None:
                     name, n = f"{uuid.uuid4().hex}.warc.zst", 0
-                    out = system.open_output_stream(f"{top}/.{name}")
+                    out = system.open_output_stream(f"{top}/.{name}", compression=None)
                     if dictionary:
                         out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
                 payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
@@ -191,7 +191,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, name = _open(path)
                 rows, size = [], 0
-                with system.open_input_stream(name) as stream:
+                with system.open_input_stream(name, compression=None) as stream:
                     for n, raw in enumerate(_frames(stream.read)):
                         row = {"problem": raw} if isinstance(raw, str) else parse_record(raw)
                         if not payloads:
