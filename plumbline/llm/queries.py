@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.common import read_table
 from plumbline.llm.decontaminate import decontamination_report
 from plumbline.llm.fertility import fertility_rules
+from plumbline.llm.mixing import mixing_report
 from plumbline.llm.near_dup import near_duplicates
 from plumbline.llm.secrets import secret_report
 from plumbline.llm.toxicity import toxicity
@@ -99,3 +100,8 @@ def op8(spark, d):
 @query("op10_toxicity")
 def op10(spark, d):
     return toxicity(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+@query("op5_mixing")
+def op5(spark, d):
+    return mixing_report(read_table(spark, d, "documents"))
