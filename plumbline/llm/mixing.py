@@ -116,7 +116,7 @@ def mix(
     before = F.sum("n").over(W.partitionBy("source").orderBy(turn, "block").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
     blocks = blocks.withColumn("before", before)
     # blocks before the end of the rest go whole, the one that crosses it by documents, the others not at all
-    fate = F.when(F.col("before") + F.col("n") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0)
+    fate = F.when(F.col("rest") <= 0, 0).when(F.col("before") + F.col("n") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0)
     blocks = stored(blocks.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "before", fate.alias("fate")), "blocks")
     cut = blocks.filter("fate = 1")
     n_cut = cut.count()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.common import read_table
 from plumbline.llm.decontaminate import decontamination_report
 from plumbline.llm.fertility import fertility_rules
+from plumbline.llm.line_dedup import line_report
 from plumbline.llm.mixing import mixing_report
 from plumbline.llm.near_dup import near_duplicates
 from plumbline.llm.secrets import secret_report
@@ -105,3 +106,25 @@ def op10(spark, d):
 @query("op5_mixing")
 def op5(spark, d):
     return mixing_report(read_table(spark, d, "documents"))
+
+
+OP6 = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+t AS (SELECT doc_id, no, list_sort(list_distinct(list_filter(string_split_regex(
+        translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws FROM l),
+c AS (SELECT row_number() OVER () AS c, ws, len(ws) AS n, min({'d': doc_id, 'l': no}) AS f FROM t WHERE len(ws) > 0 GROUP BY ws),
+w AS (SELECT c, n, unnest(ws) AS w FROM c),
+o AS (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY k, w) AS i FROM w JOIN (SELECT w, count(*) AS k FROM w GROUP BY w) USING (w)),
+p AS (SELECT * FROM o WHERE i <= n - (n * 80 + 99) // 100 + 1),
+q AS (SELECT DISTINCT x.c AS a, y.c AS b FROM p x JOIN p y ON x.w = y.w AND x.c < y.c AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+m AS (SELECT CASE WHEN x.f < y.f THEN b ELSE a END AS late FROM q JOIN c x ON x.c = a JOIN c y ON y.c = b
+      WHERE 100 * len(list_intersect(x.ws, y.ws)) >= 80 * (x.n + y.n - len(list_intersect(x.ws, y.ws)))),
+k AS (SELECT l.doc_id, l.no, line, len(t.ws) > 0 AND (c.c IN (SELECT late FROM m) OR c.f <> {'d': l.doc_id, 'l': l.no}) AS gone
+      FROM l JOIN t USING (doc_id, no) LEFT JOIN c ON c.ws = t.ws)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256
+FROM k GROUP BY doc_id"""
+
+
+@query("op6_line_dedup", OP6)
+def op6(spark, d):
+    return line_report(read_table(spark, d, "documents"))
