@@ -6,12 +6,12 @@ judged on the input, so the order of removal does not matter.
 
 The join is a prefix join. Words are ordered by rarity, rarest first. Of n words the first n - ceil(s n) + 1 are posted, and
 a pair is compared only if it shares one of these, if its sizes fit (length filter), and if the places of the word leave
-room for the overlap it needs (positional filter; it holds at the rarest common word). Then the whole sets are compared.
+room for the overlap it needs (positional filter; it holds at the rarest common word). Each posting also carries 64 bits
+that its words set; bits that differ cannot be more than the words that may. Then the whole sets are compared.
 
-Rarity comes from counts of hashed words. The counts of the frequent ones, a table of fixed size, are a constant of the plan;
-all others rank before them. A frequent word is posted in pairs with the words behind it: two sets whose rarest common word
-is in the prefix have their second one in the prefix that is one longer. So the long lists of frequent words are never
-paired up.
+Rarity comes from counts of hashed words, a table of fixed size that is a constant of the plan. A frequent word is posted in
+pairs with the words behind it: two sets whose rarest common word is in the prefix have their second one in the prefix that
+is one longer. So the long lists of frequent words are never paired up.
 """
 
 from __future__ import annotations
@@ -21,50 +21,51 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BLANKS, ascii_lower, hex_sha256, stored, words
+from plumbline.llm.common import BLANKS, hex_sha256, small, stored, words
 
-BUCKETS, SLOTS = 1 << 20, 1 << 17
+BUCKETS = 1 << 17
 HASH_BITS = 54
 STEPS = 8  # rarity levels per doubling of the count
-FREQUENT = 512  # the least count of a frequent word; in large corpora it is such that fewer than 2^18 buckets reach it
+FREQUENT = 512  # a frequent bucket has at least this count and three times the median one
 
 
-def _frequent(docs: DataFrame) -> Column:
-    """A constant array of SLOTS numbers: for the most frequent bucket of the slot 8 * level + the bucket's upper bits."""
-    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")
-    counts = docs.select(F.explode(words(ascii_lower(F.col("text")), BLANKS)).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
-    counts = stored(counts, "counts")  # at most BUCKETS rows
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    table = [0] * SLOTS
-    for r in counts.filter(F.col("n") > max(FREQUENT, total >> 18)).orderBy("n", "bucket").collect():
-        table[r.bucket % SLOTS] = 8 * (1 + int(math.log2(r.n) * STEPS)) + r.bucket // SLOTS
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
+def line_words(line: Column) -> Column:
+    return words(F.lower(line), BLANKS)
 
 
-def _lines(docs: DataFrame, table: Column) -> DataFrame:
-    """(doc_id, line_no, tokens) of every line with words; tokens are sorted numbers, rarest first."""
+def _rarity(docs: DataFrame) -> tuple[Column, int]:
+    """A constant array with the rarity level of every bucket of words, and the first level that is frequent."""
+    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    counts = docs.select(F.explode(line_words(F.col("text"))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
+    found = {r.bucket: r.n for r in counts.collect()}  # at most BUCKETS rows
+    level = lambda n: 1 + int(math.log2(n) * STEPS)
+    median = sorted(found.values())[len(found) // 2] if found else 0
+    table = [level(found[b]) if b in found else 0 for b in range(BUCKETS)]
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>"), level(max(FREQUENT, 3 * median))
 
-    def number(w: Column) -> Column:
-        slot = F.get(table, F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
-        own = slot.bitwiseAND(7) == F.shiftright(F.pmod(F.xxhash64(w), F.lit(BUCKETS)), SLOTS.bit_length() - 1)
-        level = F.when(own, F.shiftright(slot, 3)).otherwise(0).cast("bigint")
-        return F.shiftleft(level, HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
 
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", words(ascii_lower(F.col("line")), BLANKS).alias("w")).filter(F.size("w") > 0)
-    return lines.select("doc_id", "line_no", F.array_sort(F.array_distinct(F.transform("w", number))).alias("tokens"))
+def _tokens(line: str, table: Column) -> Column:
+    """The words of the column ``line`` as sorted numbers, rarest first."""
+    hashes = F.transform(line_words(F.col(line)), lambda w: F.xxhash64(w))
+    rank = lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("bigint"), HASH_BITS)
+    numbers = F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS)))
+    return F.sort_array(F.array_distinct(numbers))
 
 
-def _keys(percent: int) -> Column:
-    """The posted keys of ``tokens``: (key, place of the rarest word in it)."""
+def _prefix(percent: int) -> Column:
     n = F.size("tokens")
-    length = n - F.floor((n * percent + 99) / 100).cast("int") + 1
+    return n - F.floor((n * percent + 99) / 100).cast("int") + 1
+
+
+def _keys(frequent: int) -> Column:
+    """The posted keys of ``head`` (the prefix and one more word): (key, place of the rarest word in it)."""
+    length = F.col("length")
 
     def posted(i: Column) -> Column:
-        token = F.get("tokens", i)
-        alone = F.array(F.struct(token.alias("key"), i.alias("place")))
-        behind = F.transform(F.slice("tokens", i + 2, length - i), lambda u: F.struct(F.xxhash64(token, u).alias("key"), i.alias("place")))
-        return F.when(F.shiftright(token, HASH_BITS) == 0, alone).otherwise(behind)
+        token = F.get("head", i)
+        alone = F.array(F.struct(F.hash(token).alias("key"), i.alias("place")))
+        behind = F.transform(F.slice("head", i + 2, length - i), lambda u: F.struct(F.hash(token, u).alias("key"), i.alias("place")))
+        return F.when(F.shiftright(token, HASH_BITS) < frequent, alone).otherwise(behind)
 
     return F.flatten(F.transform(F.sequence(F.lit(0), length - 1), posted))
 
@@ -74,39 +75,47 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Lines without words are never removed. Places compare by doc_id and line; a null doc_id comes before all others.
     """
-    table = _frequent(docs)
-    lines = _lines(docs, table)
-    mark = [F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(7), "tokens").alias("g")]
-    place = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    can_match = F.size("tokens") * 100 >= percent * (F.size("tokens") + 1)
+    table, frequent = _rarity(docs)
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    n = F.size("tokens")
+    can_match = n * 100 >= percent * (n + 1)  # otherwise only an equal set is alike enough
     seen = stored(
-        lines.select("doc_id", "line_no", *mark, F.size("tokens").alias("n"), F.when(can_match, _keys(percent)).alias("keys")), "lines"
-    )
-    # classes of equal sets; only the earliest line of a class posts
+        lines.select("doc_id", "line_no", _tokens("line", table).alias("tokens")).select(
+            "doc_id", "line_no", F.xxhash64("tokens").alias("h"), n.alias("n"),
+            F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(
+                F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(63).cast("int")))).alias("bits"),
+            F.when(can_match, _prefix(percent)).alias("length"),
+            F.when(can_match, F.slice("tokens", 1, _prefix(percent) + 1)).alias("head"),
+        ),
+        "lines",
+    ).filter("n > 0")
+    # classes of equal sets (equal hash, size and bits); the earliest line of a class stands for it
+    least = F.min(F.struct("doc_id", "line_no", "length", "head")).alias("f")
+    classes = seen.groupBy("h", "n", "bits").agg(least, F.count("*").alias("size"))
+    place = lambda c: F.struct(F.col(f"{c}doc_id").alias("d"), F.col(f"{c}line_no").alias("l"))
     classes = stored(
-        seen.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("size")).select(
-            F.monotonically_increasing_id().alias("class"), "h", "g", "first", "size"), "classes"
+        classes.select(F.monotonically_increasing_id().alias("class"), "h", "n", "bits", "size", place("f.").alias("first"), "f.length", "f.head"), "classes"
     )
-    lead = seen.filter("keys IS NOT NULL").alias("s").join(
-        classes.alias("c"), (F.col("s.h") == F.col("c.h")) & (F.col("s.g") == F.col("c.g")) & place.eqNullSafe(F.col("first"))
-    ).select("class", "n", "keys").dropDuplicates(["class"])
-    posts = lead.select("class", "n", F.explode("keys").alias("k")).select("k.key", "class", "n", "k.place")
-    x = posts.select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    y = posts.select(F.col("key").alias("same"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    posts = classes.filter("length IS NOT NULL").select("class", "n", "bits", F.explode(_keys(frequent)).alias("k"))
+    posts = posts.select("k.key", "class", "n", "k.place", "bits")
+    x = posts.toDF("key", "a", "na", "pa", "ba")
+    y = posts.toDF("same", "b", "nb", "pb", "bb")
+    # with an overlap of o: o (100 + s) >= s (na + nb), o <= na - pa and o <= nb - pb, and at most na + nb - 2 o words differ
     fits = F.expr(f"""key = same AND (na > nb OR (na = nb AND a < b)) AND 100 * nb >= {percent} * na
-      AND {100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)""")
+      AND {100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)
+      AND {100 + percent} * bit_count(ba ^ bb) <= {100 - percent} * (na + nb)""")
     pairs = stored(x.join(y, fits).select("a", "b").distinct(), "pairs")
 
     # whole sets of the candidates, read at their first lines
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    at = stored(ends.join(classes, "class").select("class", F.col("first.d").alias("d"), F.col("first.l").alias("l")), "places")
-    wanted = docs.join(at.select("d").distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    sets = (
-        _lines(wanted.select("doc_id", "text"), table)
-        .join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")))
-        .groupBy("class").agg(F.first("tokens").alias("tokens"))
-    )
-    sets = stored(sets, "sets")
+    at = ends.join(classes, "class").groupBy(F.col("first.d").alias("d")).agg(F.collect_list(F.struct(F.col("first.l").alias("l"), "class")).alias("at"))
+    at = stored(at, "places")
+    n_places = at.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    wanted = docs.join(small(at, n_places), F.col("doc_id").eqNullSafe(F.col("d")))
+    wanted = wanted.select(F.split("text", "\n", -1).alias("line"), F.explode("at").alias("at"))
+    wanted = wanted.select("at.class", F.get("line", F.col("at.l")).alias("line")).select("class", _tokens("line", table).alias("tokens"))
+    # a repeated row gives its lines again
+    sets = stored(wanted, "sets").dropDuplicates(["class"])
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
@@ -117,9 +126,9 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         both.join(classes.select(F.col("class").alias("a"), "first"), "a").join(other, "b")
         .filter(F.col("before") < F.col("first")).select(F.col("a").alias("late")).distinct()
     )
-    judged = classes.join(late, classes["class"] == late["late"], "left").filter("late IS NOT NULL OR size > 1")
-    gone = seen.select("doc_id", "line_no", "h", "g").join(judged, ["h", "g"])
-    gone = gone.filter(F.col("late").isNotNull() | ~place.eqNullSafe(F.col("first")))
+    judged = classes.select("class", "h", "n", "bits", "first", "size").join(late, F.col("class") == F.col("late"), "left").filter("late IS NOT NULL OR size > 1")
+    gone = seen.select("doc_id", "line_no", "h", "n", "bits").join(judged, ["h", "n", "bits"])
+    gone = gone.filter(F.col("late").isNotNull() | ~place("").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 

@@ -110,7 +110,7 @@ def op5(spark, d):
 
 OP6 = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
 t AS (SELECT doc_id, no, list_sort(list_distinct(list_filter(string_split_regex(
-        translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws FROM l),
+        lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws FROM l),
 c AS (SELECT row_number() OVER () AS c, ws, len(ws) AS n, min({'d': doc_id, 'l': no}) AS f FROM t WHERE len(ws) > 0 GROUP BY ws),
 w AS (SELECT c, n, unnest(ws) AS w FROM c),
 o AS (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY k, w) AS i FROM w JOIN (SELECT w, count(*) AS k FROM w GROUP BY w) USING (w)),
