@@ -12,6 +12,7 @@ from plumbline.llm.fertility import fertility_rules
 from plumbline.llm.line_dedup import line_report
 from plumbline.llm.mixing import mixing_report
 from plumbline.llm.near_dup import near_duplicates
+from plumbline.llm.pitman_yor import score_texts
 from plumbline.llm.secrets import secret_report
 from plumbline.llm.toxicity import toxicity
 from plumbline.llm.warc import page_records
@@ -128,3 +129,8 @@ FROM k GROUP BY doc_id"""
 @query("op6_line_dedup", OP6)
 def op6(spark, d):
     return line_report(read_table(spark, d, "documents"))
+
+
+@query("op7_pitman_yor")
+def op7(spark, d):
+    return score_texts(read_table(spark, d, "documents"))
