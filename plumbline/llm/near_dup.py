@@ -6,8 +6,11 @@ join on these terms:
 
 * Prefix: with terms ordered by frequency, rarest first, texts with ``matches`` common terms share at least ``overlap`` of
   their first ``coords - matches + overlap`` ones. Only those are posted, and of them only terms that occur twice.
-* Skip: in every list the two outermost texts are compared with the others first. What those links already join is
-  skipped afterwards: a list is merged again only for texts outside its largest class, and collisions are counted there.
+* Skip: in every list the text with the most shared terms, which is nearest to what a family has in common, is the pivot
+  and compared with the others first. What those links already join is skipped afterwards. Texts of one list share its
+  pivot, so what is left is merged by pivots: texts outside a pivot's largest class against all others of the pivot. A
+  bound on their similarity spares nearly all of these pairs: of the pivot's shingles they have in common none that one of
+  them lacks (a bitmap of the missing ones tells how many at least), and of the rest none that no other open text has.
 * Pairs with ``matches`` equal coordinates are confirmed on their full shingle sets.
 
 Equal texts are one class from the start. No group is expanded into all its pairs, and no list is cut.
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import UPPER, stored
+from plumbline.llm.common import UPPER, small, stored
 from plumbline.llm.components import components
 
 COORDS, MATCHES, OVERLAP = 64, 36, 4
@@ -93,23 +96,48 @@ def prints(docs: DataFrame, size: int, coords: int = COORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(work, _PRINTS)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity. ``texts`` has (rep, text)."""
+_BITS = [f"m{i}" for i in range(4)]
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) with the sizes of their shingle sets (n_a, n_b) and of what is ``common``.
+
+    m0 to m3 are 256 bits that the shingles of a set which b lacks. ``texts`` has (rep, text).
+    """
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
+    names = ["a", "b", "n_a", "n_b", "common", *_BITS]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            rows = np.zeros((batch.num_rows, 7), dtype=np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 p, q = (shingle_hashes(text_words(t.as_py()), size, hashes) for t in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                lacked = np.setdiff1d(p, q, assume_unique=True)
+                bits = np.zeros(256, dtype=np.uint8)
+                bits[lacked & np.uint64(255)] = 1
+                rows[i, :3] = len(p), len(q), len(p) - len(lacked)
+                rows[i, 3:] = np.packbits(bits).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in rows.T.copy())], names=names)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(work, "a bigint, b bigint")
+    return joined.mapInArrow(work, ", ".join(f"{c} bigint" for c in names))
+
+
+def _own_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, n, own): the size of each text's shingle set and how many of these no other of ``texts`` has."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_hashes(text_words(t.as_py()), size, hashes).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "s"])
+
+    rows = texts.select("rep", "text").mapInArrow(work, "rep bigint, s array<bigint>").select("rep", F.explode("s").alias("s"))
+    once = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1")
+    own = once.groupBy("rep").agg(F.count("*").alias("own"))
+    return rows.groupBy("rep").agg(F.count("*").alias("n")).join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
@@ -147,40 +175,46 @@ def near_duplicates(
     ordered = terms.join(shared, "term").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "term"))).alias("t"))
     # terms of one text only come first in the order; they fill the prefix without being posted
     room = F.lit(coords - matches + overlap) - (F.lit(coords) - F.size("t"))
-    posted = ordered.filter(room >= overlap).select("rep", F.explode(F.slice("t", 1, room)).alias("t"))
-    lists = stored(posted.select("rep", F.col("t.term").alias("term")), "lists")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        near = stored(_alike(pairs, sigs, matches), "pairs")
-        ends = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-        found = texts.join(ends, "rep", "left_semi").dropDuplicates(["rep"])
-        return stored(_confirmed(near, stored(found, "texts"), size, percent), "links")
-
-    ends = lists.groupBy("term").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last")
-    star = lists.join(ends, "term")
-    pairs = star.select(F.col("first").alias("a"), F.col("rep").alias("b")).union(star.select("rep", "last")).filter("a < b").distinct()
-    links = checked(pairs)
+    posted = ordered.filter(room >= overlap).select("rep", F.size("t").alias("m"), F.explode(F.slice("t", 1, room)).alias("t"))
+    lists = stored(posted.select("rep", "m", F.col("t.term").alias("term")), "lists")
+    all_texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
+    listed = lists.select("rep").distinct()
+    texts = stored(all_texts.join(small(listed, listed.count()), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+
+    linked = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
+    pivots = lists.groupBy("term").agg(F.min(F.struct(-F.col("m"), "rep"))["rep"].alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    star = stored(lists.join(pivots, "term").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    near = stored(_compared(star, texts, size), "near")
+    links = near.filter(linked).select("a", "b")
     labels = components(links)
 
-    # what the first links left apart: texts outside the largest class of a list against all others of the list
-    placed = lists.join(labels, lists["rep"] == labels["node"], "left").select("term", "rep", F.coalesce("label", "rep").alias("label"))
+    # what the first links left apart: texts outside the largest class of a pivot against all others of the pivot
+    members_of = near.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "n_a", F.col("n_b").alias("n"), (F.col("n_b") - F.col("common")).alias("extra"), *_BITS)
+    own_rows = near.select("a", "n_a").distinct().select(F.col("a").alias("pivot"), F.col("a").alias("rep"), "n_a", F.col("n_a").alias("n"), *[F.lit(0).cast("bigint").alias(c) for c in ("extra", *_BITS)])
+    placed = members_of.union(own_rows).join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
     placed = stored(placed, "placed")
     largest = (
-        placed.groupBy("term", "label").agg(F.count("*").alias("n"))
-        .groupBy("term").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
-        .filter("labels > 1").select("term", F.col("top.label").alias("top"))
+        placed.groupBy("pivot", "label").agg(F.count("*").alias("n"))
+        .groupBy("pivot").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("labels"))
+        .filter("labels > 1").select("pivot", "top")
     )
-    open_lists = stored(placed.join(largest, "term"), "open")
-    outside = open_lists.filter("label <> top").select("term", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    others = open_lists.select(F.col("term").alias("same"), F.col("rep").alias("y"), F.col("label").alias("ly"), "top")
-    met = outside.join(others, (F.col("term") == F.col("same")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y"))))
-    counted = (
-        met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= overlap)
+    open_rows = stored(placed.join(largest, "pivot"), "open")
+    own = stored(_own_shingles(texts.join(open_rows.select("rep").distinct(), "rep", "left_semi"), size).select("rep", "own"), "own")
+    entries = stored(open_rows.join(own, "rep").withColumn("extra", F.col("extra") - F.col("own")), "entries")
+    columns = ("rep", "label", "n", "extra", *_BITS)
+    outside = entries.filter("label <> top").select("pivot", "n_a", *[F.col(c).alias(c + "_x") for c in columns])
+    others = entries.select(F.col("pivot").alias("same"), "top", *[F.col(c).alias(c + "_y") for c in columns])
+    lacked = " + ".join(f"bit_count({m}_x | {m}_y)" for m in _BITS)
+    common = f"(n_a - ({lacked}) + least(extra_x, extra_y))"
+    met = outside.join(
+        others,
+        F.expr(f"""pivot = same AND label_x <> label_y AND (label_y = top OR rep_x < rep_y)
+          AND 100 * {common} >= {percent} * (n_x + n_y - {common})"""),
     )
-    links = links.union(checked(counted.select("a", "b")))
-    labels = components(links)
+    pairs = met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    pairs = stored(_alike(pairs, sigs, matches), "pairs")
+    rest = stored(_compared(pairs, texts, size).filter(linked).select("a", "b"), "rest")
+    labels = components(links.union(rest))
 
     out = members.join(labels, members["rep"] == labels["node"], "left")
     component = F.coalesce("label", "rep", "doc_id")
