@@ -139,8 +139,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     one doc_id are one document, whose equal lines at the same place are the same line. Other columns are carried along
     whatever their names; those of the two results are replaced.
     """
-    gone = removed_lines(docs.select("doc_id", "text"), percent).select(F.col("doc_id").alias("id"), "removed")
-    rows = docs.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    gone = stored(removed_lines(docs.select("doc_id", "text"), percent).select(F.col("doc_id").alias("id"), "removed"), "removed")
+    n_gone = gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
+    rows = docs.select(F.struct("*").alias("row")).join(small(gone, n_gone), F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
     lines = F.split(F.col("row.text"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left)
