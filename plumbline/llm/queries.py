@@ -14,6 +14,7 @@ from plumbline.llm.mixing import mixing_report
 from plumbline.llm.near_dup import near_duplicates
 from plumbline.llm.pitman_yor import score_texts
 from plumbline.llm.secrets import secret_report
+from plumbline.llm.substring_dedup import remove_repeats
 from plumbline.llm.toxicity import toxicity
 from plumbline.llm.warc import page_records
 
@@ -134,3 +135,8 @@ def op6(spark, d):
 @query("op7_pitman_yor")
 def op7(spark, d):
     return score_texts(read_table(spark, d, "documents"))
+
+
+@query("op4_suffix_array")
+def op4(spark, d):
+    return remove_repeats(read_table(spark, d, "documents")).drop("kept")
