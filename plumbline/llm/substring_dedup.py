@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import small, stored
 
-LENGTH, SEED = 200, 40
+LENGTH, SEED = 200, 100
 MOST = 256
 BUCKET_ROWS = 20_000
 RUN_ROWS = 20_000
+PLACES = 2_000_000  # of 28 bytes; a list of places to visit is broadcast up to this number
 _MULT = 0x9E3779B97F4A7C15 | 1
 
 
@@ -305,30 +306,42 @@ def _counted(rows: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def repeated_stretches(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(key, stretches): per text of ``docs`` (key, text) with repeats, its (start, end) byte stretches, not yet united."""
-    found = stored(_text_anchors(docs, length, seed), "anchors")
-    groups = found.groupBy("seed", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first"))
+    """(key, stretches): per text of ``docs`` (key, text) with repeats, its united (start, end) byte stretches.
+
+    Rows with one key have one text; each of them counts as a text. An end can lie behind that of the text.
+    """
+    every = stored(_text_anchors(docs, length, seed), "anchors")
+    again = every.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    found = stored(every.join(again, "seed", "left_semi"), "repeated")
+    groups = found.groupBy("seed", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key", "at")).alias("first"))
     groups = stored(groups, "contexts")
-    seeds = groups.groupBy("seed").agg(F.sum("n").alias("n"), F.count("*").alias("contexts")).filter("n > 1")
-    shared = stored(groups.select("seed", "context", "first", F.col("n").alias("copies")).join(seeds, "seed"), "shared")
+    shared = stored(groups.join(groups.groupBy("seed").agg(F.count("*").alias("contexts")), "seed"), "shared")
     # one text stands for all places with the same context
     wanted = shared.filter("contexts > 1").select("first.key", "contexts", F.struct(F.col("first.at").alias("at"), "seed", "context").alias("p"))
-    n_wanted = wanted.count()
+    few, many = wanted.filter(F.col("contexts") <= MOST), wanted.filter(F.col("contexts") > MOST)
 
-    def with_texts(part: DataFrame) -> DataFrame:
+    def with_texts(part: DataFrame, n: int) -> DataFrame:
         places = part.groupBy(F.col("key").alias("k")).agg(F.collect_list("p").alias("places"))
-        return docs.join(small(places, n_wanted), F.col("key") == F.col("k")).select("text", "places")
+        return docs.join(small(places, n, PLACES), F.col("key") == F.col("k")).select("text", "places")  # a repeated row adds what is repeated anyway
 
-    n_buckets = max(1, n_wanted // BUCKET_ROWS)
-    merged = _merged(_sorted_runs(with_texts(wanted.filter(F.col("contexts") <= MOST)), length, seed, n_buckets), length, seed)
-    counted = _counted(with_texts(wanted.filter(F.col("contexts") > MOST)), length, seed)
-    partial = stored(merged.unionByName(counted), "reaches")
+    n_few, n_many = few.count(), many.count()
+    runs = _sorted_runs(with_texts(few, n_few), length, seed, max(1, n_few // BUCKET_ROWS))
+    partial = _merged(runs, length, seed).unionByName(_counted(with_texts(many, n_many), length, seed))
+    partial = stored(partial, "reaches")
     # a context that occurs twice is repeated as far as it goes
     whole = shared.filter("copies > 1").select("seed", "context", F.lit(length - seed).alias("left"), F.lit(length).alias("right"))
     spans = partial.unionByName(whole).groupBy("seed", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     hit = found.join(spans, ["seed", "context"])
     span = F.struct(F.greatest(F.col("at") - F.col("left"), F.lit(0)).alias("a"), (F.col("at") + F.col("right")).alias("b"))
-    return hit.groupBy("key").agg(F.sort_array(F.collect_set(span)).alias("stretches"))
+    lists = hit.groupBy("key").agg(F.sort_array(F.collect_set(span)).alias("l"))
+    # unite what touches; the last stretch of the result is the one that can still grow
+    last = lambda acc: F.element_at(acc, -1)
+    united = F.aggregate(
+        F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), F.slice("l", 1, 1),
+        lambda acc, x: F.when(x["a"] > last(acc)["b"], F.array_append(acc, x)).otherwise(
+            F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], x["b"]).alias("b")))),
+    )
+    return lists.select("key", united.alias("stretches"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -338,32 +351,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     elsewhere, in the same text or another. Rows are texts of their own, also where doc_id or text repeat or are null, so a
     repeated row of at least ``length`` bytes loses all. Cut bytes may split characters. More columns are ignored.
     """
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("bigint"), F.col("text").cast("string")), "texts")
-    spans = repeated_stretches(keyed, length, seed).withColumnRenamed("key", "k")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    spans = stored(repeated_stretches(keyed, length, seed).withColumnRenamed("key", "k"), "stretches")
+    n_spans = spans.agg(F.coalesce(F.sum(F.size("stretches")), F.lit(0))).first()[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, stretches in zip(batch.column(1), batch.column(2)):
-                raw, kept, end, removed, n = _raw(text), [], 0, 0, 0
-                for s in stretches.as_py() or []:
-                    a, b = s["a"], min(s["b"], len(raw))
-                    if a > end or not n:
-                        kept.append(raw[end:a])
-                        n += 1
-                        removed += b - a
-                        end = b
-                    elif b > end:
-                        removed += b - end
-                        end = b
+                raw, kept, end, removed = _raw(text), [], 0, 0
+                found = stretches.as_py() or []
+                for s in found:
+                    kept.append(raw[end : s["a"]])
+                    end = min(s["b"], len(raw))
+                    removed += end - s["a"]
                 kept.append(raw[end:])
                 left = b"".join(kept)
-                out.append((len(raw), removed, n, left, hashlib.sha256(left).hexdigest()))
+                out.append((len(raw), removed, len(found), left, hashlib.sha256(left).hexdigest()))
             part = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(p, pa.int64()) for p in part[:3]), pa.array(part[3], pa.binary()), pa.array(part[4], pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    rows = keyed.join(spans, F.col("key") == F.col("k"), "left").select("doc_id", "text", "stretches")
+    rows = keyed.join(small(spans, n_spans, PLACES), F.col("key") == F.col("k"), "left").select("doc_id", "text", "stretches")
     return rows.mapInArrow(work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
