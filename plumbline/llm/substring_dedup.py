@@ -283,25 +283,56 @@ def _merged(runs: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def _counted(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(seed, context, left, right) for the contexts of crowded seeds: their strings are counted by hash."""
+    """(seed, context, left, right) for the contexts of crowded seeds: their strings are counted by hash.
+
+    The hash covers the string, its anchor's seed and its place, so that every start counts once. Tasks settle what repeats
+    among their own contexts and send such a string once, with the weight two.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+
+        def flush():
+            out = []
+            for h, starts in held.items():
+                if len(starts) > 1:
+                    out.append((h, None, None, None, 2))
+                    out += [(None, *s, 0) for s in starts]
+                else:
+                    out.append((h, *starts[0], 1))
+            held.clear()
+            # of what is settled, a context needs its outermost places only
+            reach: dict[tuple, list] = {}
+            kept = []
+            for h, s, c, left, weight in out:
+                if h is None:
+                    r = reach.setdefault((s, c), [left, left])
+                    r[0], r[1] = max(r[0], left), min(r[1], left)
+                else:
+                    kept.append((h, s, c, left, weight))
+            kept += [(None, s, c, left, 0) for (s, c), r in reach.items() for left in set(r)]
+            part = list(zip(*kept)) or [[]] * 5
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(part, kinds)], names=["h", "seed", "context", "left", "weight"])
+
         for batch in batches:
             for text, places in zip(batch.column(0), batch.column(1)):
-                raw, out = _raw(text), []
+                raw = _raw(text)
                 for p in places.as_py():
-                    first = max(0, p["at"] - length + seed)
-                    for s in range(first, min(p["at"], len(raw) - length) + 1):
-                        out.append((p["seed"], p["context"], p["at"] - s, xxhash.xxh3_128_digest(raw[s : s + length])))
-                for k in range(0, len(out), 10_000):
-                    part = list(zip(*out[k : k + 10_000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary())], names=["seed", "context", "left", "h"])
-
-    strings = stored(rows.select("text", "places").mapInArrow(work, "seed bigint, context bigint, left int, h binary"), "strings")
-    # two anchors of one text can lie in one string; with the anchor's seed and place in it, every start counts once
-    key = ["h", "seed", "left"]
-    twice = strings.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-    found = strings.join(twice, key, "left_semi").groupBy("seed", "context")
+                    for s in range(max(0, p["at"] - length + seed), min(p["at"], len(raw) - length) + 1):
+                        left = p["at"] - s
+                        h = xxhash.xxh3_128_digest(raw[s : s + length], seed=(p["seed"] + left * _MULT) & (2**64 - 1))
+                        held.setdefault(h, []).append((p["seed"], p["context"], left))
+                    if len(held) > 200_000:
+                        yield flush()
+        if held:
+            yield flush()
+
+    shape = "h binary, seed bigint, context bigint, left int, weight int"
+    strings = stored(rows.select("text", "places").mapInArrow(work, shape), "strings")
+    twice = strings.filter("h IS NOT NULL").groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h")
+    later = strings.filter("h IS NOT NULL AND seed IS NOT NULL").join(twice, "h", "left_semi").select("seed", "context", "left")
+    found = strings.filter("h IS NULL").select("seed", "context", "left").union(later).groupBy("seed", "context")
     return found.agg(F.max("left").alias("left"), (F.lit(length) - F.min("left")).alias("right"))
 
 
