@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE, FEATURES, FOLDS, THRESHOLD = 6_000, 512, 5, 0.5
-STARTS = (3, 4, 5, 6, 7)
+SAMPLE, FEATURES, FOLDS, THRESHOLD = 5_000, 512, 5, 0.5
+STARTS = (3, 4, 5, 6)
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -126,6 +126,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sample:
     lists = got.column("features").combine_chunks()
     counts, length = got.column("counts").combine_chunks().flatten().to_numpy(), got.column("tokens").to_numpy()
     ids, rows = lists.flatten().to_numpy(), np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+    # only features that three texts have can be chosen
+    keys, n_texts = np.unique(ids, return_counts=True)
+    keys = np.append(keys[n_texts >= 3], np.iinfo(np.int64).max)
+    often = keys[np.searchsorted(keys, ids)] == ids
+    ids, rows, counts = ids[often], rows[often], counts[often]
+    del keys, n_texts, often, lists
+    got = got.drop_columns(["features", "counts"])
     fold = np.array([xxhash.xxh3_64_intdigest(str(i), seed=1) % FOLDS for i in got.column("id").to_pylist()])
     models, earlier = [], np.zeros((n, 0))
     for c in categories:
