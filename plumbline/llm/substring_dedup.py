@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import small, stored
 
 LENGTH, SEED = 200, 100
-MOST = 256
+MOST = 4_000
+PAIRWISE = 24  # suffixes of one seed that are compared pair by pair; more go row by row over the sorted orders
 BUCKET_ROWS = 20_000
 RUN_ROWS = 20_000
 PLACES = 2_000_000  # of 28 bytes; a list of places to visit is broadcast up to this number
@@ -206,6 +207,24 @@ def reaches(rights: list[bytes], lefts: list[bytes], prefix: list[int], length:
     """
     n = len(rights)
     out = [(0, 0)] * n
+    if n > PAIRWISE:
+        order = sorted(range(n), key=lefts.__getitem__)
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
+        by_right = np.array(prefix)
+        by_left = np.array([0] + [shared_prefix(lefts[order[i - 1]], lefts[order[i]]) for i in range(1, n)])
+
+        def common(steps: np.ndarray, i: int) -> np.ndarray:
+            """Prefixes that item i of a sorted order shares with all, from those of neighbours."""
+            before = np.minimum.accumulate(steps[1 : i + 1][::-1])[::-1]
+            return np.concatenate([before, [-length], np.minimum.accumulate(steps[i + 1 :])])
+
+        for i in range(n):
+            right, left = common(by_right, i), common(by_left, int(rank[i]))[rank]
+            found = right + left >= length
+            if found.any():
+                out[i] = (int(left[found].max()), int(right[found].max()))
+        return out
     for i in range(n):
         low = length + 1
         for j in range(i + 1, n):

@@ -54,6 +54,19 @@ def test_loser_tree():
     assert list(merge_runs([])) == [] and list(merge_runs([[], []])) == []
 
 
+def test_reaches_row_by_row(monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    for _ in range(50):
+        pairs = sorted((word(rng.randint(0, 9)), word(rng.randint(0, 6))) for _ in range(rng.randint(2, 30)))
+        rights, lefts = [p[0] for p in pairs], [p[1] for p in pairs]
+        prefix = [0] + [shared_prefix(a, b) for a, b in zip(rights, rights[1:])]
+        slow = substring_dedup.reaches(rights, lefts, prefix, 7)
+        monkeypatch.setattr(substring_dedup, "PAIRWISE", 1)
+        assert substring_dedup.reaches(rights, lefts, prefix, 7) == slow
+        monkeypatch.setattr(substring_dedup, "PAIRWISE", 100)
+
+
 def test_anchors():
     data = np.frombuffer(random.Random(1).randbytes(500), dtype=np.uint8)
     hashes = window_hashes(data, 13)
