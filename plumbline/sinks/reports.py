@@ -198,10 +198,15 @@ def write_reports(report: CoverageReport, stem: str, formats: str = "tsv", **run
     return paths
 
 
+def _sample_last(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.select(*[c for c in rows.columns if c != "sample_name"], "sample_name").orderBy("sample_name", *order)
+
+
 def write_low_bed(report: CoverageReport, path: str) -> None:
-    """Write the low blocks as BED rows."""
-    _write_tsv(low_bed_rows(report.low_blocks).drop("sample_name").orderBy("contig", "start"), path, header=False)
+    """Write the low blocks as BED rows by sample; the sample is a further last column."""
+    _write_tsv(_sample_last(low_bed_rows(report.low_blocks), "contig", "start"), path, header=False)
 
 
 def write_exon_tsv(report: CoverageReport, path: str) -> None:
-    _write_tsv(exon_rows(report.exons).drop("sample_name").orderBy("target_id", "exon_number"), path)
+    """Write the exon table by sample; the sample is a further last column."""
+    _write_tsv(_sample_last(exon_rows(report.exons), "target_id", "exon_number"), path)

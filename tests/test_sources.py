@@ -315,3 +315,19 @@ def test_depth_store_reads_only_target_ranges(spark, tmp_path, capsys):
     pushed = next(line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line)
     assert "EqualTo(contig,c0)" in pushed and "GreaterThan(end,40)" in pushed
     assert report(90).where("contig = 'c2'").count() == 0
+
+
+def test_exon_files_keep_their_sample(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from plumbline.sinks.reports import write_exon_tsv, write_low_bed
+
+    columns = "sample string, gene_name string, exon_id string, exon_number long, contig string, start long, end long, length_bp long, mean_depth double, median_depth double, pct_zero double, pct_ge_20 double, pct_ge_30 double"
+    exons = spark.createDataFrame([(s, "G", "e", n, "c", 1, 5, 4, 1.0, 1.0, 0.0, 0.0, 0.0) for s in "AB" for n in (2, 1)], columns)
+    low = spark.createDataFrame([(s, "c", 1, 5, "t", 8, 4) for s in "AB"], "sample string, contig string, start long, end long, target_id string, depth_sum long, length long")
+    report = SimpleNamespace(exons=exons, low_blocks=low)
+    write_exon_tsv(report, str(tmp_path / "exons"))
+    write_low_bed(report, str(tmp_path / "low"))
+    back = spark.read.csv(str(tmp_path / "exons"), sep="\t", header=True)
+    assert sorted((r.sample_name, r.exon_number) for r in back.collect()) == [("A", "1"), ("A", "2"), ("B", "1"), ("B", "2")]
+    assert {r.sample_name for r in spark.read.csv(str(tmp_path / "low"), sep="\t").toDF("c", "s", "e", "t", "d", "sample_name").collect()} == {"A", "B"}
