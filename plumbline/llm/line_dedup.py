@@ -7,7 +7,8 @@ judged on the input, so the order of removal does not matter.
 The join is a prefix join. Words are ordered by rarity, rarest first. Of n words the first n - ceil(s n) + 1 are posted, and
 a pair is compared only if it shares one of these, if its sizes fit (length filter), and if the places of the word leave
 room for the overlap it needs (positional filter; it holds at the rarest common word). Each posting also carries 64 bits
-that its words set; bits that differ cannot be more than the words that may. Then the whole sets are compared.
+that its words set; bits that differ cannot be more than the words that may. Candidates that pass are held against 256 such
+bits of both sets, which are narrow, before the whole sets meet and are compared.
 
 Rarity comes from counts of hashed words, a table of fixed size that is a constant of the plan. A frequent word is posted in
 pairs with the words behind it: two sets whose rarest common word is in the prefix have their second one in the prefix that
@@ -36,7 +37,8 @@ def line_words(line: Column) -> Column:
 def _rarity(docs: DataFrame) -> tuple[Column, int]:
     """A constant array with the rarity level of every bucket of words, and the first level that is frequent."""
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    counts = docs.select(F.explode(line_words(F.col("text"))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
+    found = docs.select(F.explode(F.split(F.lower("text"), BLANKS)).alias("w")).filter("w <> ''")
+    counts = found.groupBy(bucket).agg(F.count("*").alias("n"))
     found = {r.bucket: r.n for r in counts.collect()}  # at most BUCKETS rows
     level = lambda n: 1 + int(math.log2(n) * STEPS)
     median = sorted(found.values())[len(found) // 2] if found else 0
@@ -47,7 +49,9 @@ def _rarity(docs: DataFrame) -> tuple[Column, int]:
 def _tokens(line: str, table: Column) -> Column:
     """The words of the column ``line`` as sorted numbers, rarest first."""
     hashes = F.transform(line_words(F.col(line)), lambda w: F.xxhash64(w))
-    rank = lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("bigint"), HASH_BITS)
+    # never null, so that the array is sorted as plain numbers
+    level = lambda h: F.coalesce(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), F.lit(0))
+    rank = lambda h: F.shiftleft(level(h).cast("bigint"), HASH_BITS)
     numbers = F.transform(hashes, lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS)))
     return F.sort_array(F.array_distinct(numbers))
 
@@ -57,15 +61,29 @@ def _prefix(percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100).cast("int") + 1
 
 
-def _keys(frequent: int) -> Column:
+def _head(frequent: int, percent: int) -> Column:
+    """The prefix of ``tokens`` and one more word in 32 bits each, all that postings need; the last bit marks frequent ones."""
+    short = lambda t: F.hash(t).bitwiseAND(-2)
+    marked = lambda t: F.when(F.shiftright(t, HASH_BITS) < frequent, short(t)).otherwise(short(t) + 1)
+    return F.transform(F.slice("tokens", 1, _prefix(percent) + 1), marked)
+
+
+def _bits(at: Column | None = None) -> Column:
+    """64 bits, one set by each of ``tokens``; only by those that ``at`` holds for."""
+    some = "tokens" if at is None else F.filter("tokens", at)
+    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(63).cast("int"))
+    return F.aggregate(some, F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(one(t)))
+
+
+def _keys() -> Column:
     """The posted keys of ``head`` (the prefix and one more word): (key, place of the rarest word in it)."""
     length = F.col("length")
 
     def posted(i: Column) -> Column:
         token = F.get("head", i)
-        alone = F.array(F.struct(F.hash(token).alias("key"), i.alias("place")))
+        alone = F.array(F.struct(token.alias("key"), i.alias("place")))
         behind = F.transform(F.slice("head", i + 2, length - i), lambda u: F.struct(F.hash(token, u).alias("key"), i.alias("place")))
-        return F.when(F.shiftright(token, HASH_BITS) < frequent, alone).otherwise(behind)
+        return F.when(token.bitwiseAND(1) == 0, alone).otherwise(behind)
 
     return F.flatten(F.transform(F.sequence(F.lit(0), length - 1), posted))
 
@@ -81,11 +99,8 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     can_match = n * 100 >= percent * (n + 1)  # otherwise only an equal set is alike enough
     seen = stored(
         lines.select("doc_id", "line_no", _tokens("line", table).alias("tokens")).select(
-            "doc_id", "line_no", F.xxhash64("tokens").alias("h"), n.alias("n"),
-            F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(
-                F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(63).cast("int")))).alias("bits"),
-            F.when(can_match, _prefix(percent)).alias("length"),
-            F.when(can_match, F.slice("tokens", 1, _prefix(percent) + 1)).alias("head"),
+            "doc_id", "line_no", F.xxhash64("tokens").alias("h"), n.alias("n"), _bits().alias("bits"),
+            F.when(can_match, _prefix(percent)).alias("length"), F.when(can_match, _head(frequent, percent)).alias("head"),
         ),
         "lines",
     ).filter("n > 0")
@@ -96,7 +111,7 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = stored(
         classes.select(F.monotonically_increasing_id().alias("class"), "h", "n", "bits", "size", place("f.").alias("first"), "f.length", "f.head"), "classes"
     )
-    posts = classes.filter("length IS NOT NULL").select("class", "n", "bits", F.explode(_keys(frequent)).alias("k"))
+    posts = classes.filter("length IS NOT NULL").select("class", "n", "bits", F.explode(_keys()).alias("k"))
     posts = posts.select("k.key", "class", "n", "k.place", "bits")
     x = posts.toDF("key", "a", "na", "pa", "ba")
     y = posts.toDF("same", "b", "nb", "pb", "bb")
@@ -108,19 +123,25 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     # whole sets of the candidates, read at their first lines
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    at = ends.join(classes, "class").groupBy(F.col("first.d").alias("d")).agg(F.collect_list(F.struct(F.col("first.l").alias("l"), "class")).alias("at"))
+    at = ends.join(classes, "class").groupBy(F.col("first.d").alias("d")).agg(F.collect_list(F.struct(F.col("first.l").alias("l"), "class", "h")).alias("at"))
     at = stored(at, "places")
     n_places = at.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     wanted = docs.join(small(at, n_places), F.col("doc_id").eqNullSafe(F.col("d")))
     wanted = wanted.select(F.split("text", "\n", -1).alias("line"), F.explode("at").alias("at"))
-    wanted = wanted.select("at.class", F.get("line", F.col("at.l")).alias("line")).select("class", _tokens("line", table).alias("tokens"))
-    # a repeated row gives its lines again
-    sets = stored(wanted, "sets").dropDuplicates(["class"])
-    left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
+    wanted = wanted.select("at.class", "at.h", F.get("line", F.col("at.l")).alias("line")).select("class", "h", _tokens("line", table).alias("tokens"))
+    quarter = lambda k: lambda t: F.shiftright(t, 6).bitwiseAND(3) == k
+    wanted = wanted.select("class", "h", "tokens", F.array(*[_bits(quarter(k)) for k in range(4)]).alias("wide"))
+    # a repeated row gives its lines again, and another text under the same doc_id a line that is not meant
+    sets = stored(wanted, "sets").filter(F.xxhash64("tokens") == F.col("h"))
+    wide = sets.select("class", F.size("tokens").alias("n"), "wide").dropDuplicates(["class"])
+    pairs = pairs.join(wide.toDF("a", "na", "wa"), "a").join(wide.toDF("b", "nb", "wb"), "b")
+    differ = " + ".join(f"bit_count(wa[{k}] ^ wb[{k}])" for k in range(4))
+    pairs = stored(pairs.filter(f"{100 + percent} * ({differ}) <= {100 - percent} * (na + nb)").select("a", "b"), "likely")
+    whole = sets.select("class", "tokens").dropDuplicates(["class"])
     common = F.size(F.array_intersect("ta", "tb"))
-    true = pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
-    both = stored(true.union(true.select("b", "a")), "matches")
+    true = pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b")
+    true = stored(true.filter(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b"), "matches")
+    both = true.union(true.select("b", "a"))
     other = classes.select(F.col("class").alias("b"), F.col("first").alias("before"))
     late = (
         both.join(classes.select(F.col("class").alias("a"), "first"), "a").join(other, "b")
