@@ -123,12 +123,13 @@ def suggest_genes(
         .select("asked", "asked_len", "len", "i", F.substr("asked", F.col("at") + 1, F.col("size")).alias("piece"))
         .distinct()
     )
-    # a name of length n makes at most about n * n pieces
-    size = names.agg(F.coalesce(F.sum(F.length("gene_name") * F.length("gene_name")), F.lit(0))).first()[0]
+    # a name or alias of length n makes at most about n * n pieces
+    spelled = names.select(F.col("gene_name").alias("name")).unionByName(aliases.select(F.col("alias").alias("name")))
+    size = spelled.agg(F.coalesce(F.sum(F.length("name") * F.length("name")), F.lit(0))).first()[0]
     small = size <= BROADCAST_ROWS
     similarity = 1.0 - F.levenshtein("asked", "name") / F.greatest("len", "asked_len")
     close = (
-        keyed_join(windows, pieces, ["len", "asked_len", "i", "piece"], small=small)
+        keyed_join(windows, pieces, ["len", "asked_len", "i", "piece"], small=small or None)
         .select("asked", "name", "len", "asked_len").distinct()
         .withColumn("similarity", similarity)
         .where(F.col("similarity") >= cutoff - 1e-9)

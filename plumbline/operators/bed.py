@@ -49,8 +49,9 @@ def parse_bed(lines: DataFrame) -> DataFrame:
 
 
 def bed_rejects(lines: DataFrame) -> DataFrame:
-    """``line_no, value, reason`` of the lines that were refused."""
-    return _split(lines).where(F.col("reason").isNotNull()).select("line_no", "value", "reason")
+    """``line_no, value, reason`` of the lines that were refused, and ``file_path`` where it is known."""
+    file = [c for c in lines.columns if c == "file_path"]
+    return _split(lines).where(F.col("reason").isNotNull()).select("line_no", "value", "reason", *file)
 
 
 def bed_stats(

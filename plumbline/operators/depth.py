@@ -105,6 +105,12 @@ def sample_grid(intervals: DataFrame, samples: DataFrame) -> DataFrame:
     return intervals.withColumn("_names", names).withColumn("sample", F.explode("_names")).drop("_names")
 
 
+def of_samples(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """Rows of the samples asked for. Depth of other samples, or of none (null), belongs to no row of a report."""
+    names = samples.agg(F.sort_array(F.collect_set("sample")).alias("names")).scalar()
+    return rows.withColumn("_names", names).where(F.array_contains("_names", F.col("sample"))).drop("_names")
+
+
 def clip_to_intervals(blocks: DataFrame, targets: IntervalSet) -> DataFrame:
     """Blocks clipped to each interval they overlap: ``sample, contig, bin, depth, start, end, t_start, t_end``."""
     return interval_join(blocks, targets).drop("lo", "hi")
@@ -128,7 +134,7 @@ def per_base_depth(blocks: DataFrame, targets: IntervalSet, samples: DataFrame)
         F.struct(F.col("start"), F.col("end"), F.col("depth")),
     )
     return (
-        opened.withColumn("_gap", gap_from)
+        of_samples(opened.withColumn("_gap", gap_from), samples)
         .select(*keys, F.inline(F.filter(runs, lambda r: r["start"] < r["end"])))
         .select(
             "sample", "contig", "t_start", "t_end",
@@ -143,5 +149,5 @@ def _zero(name: str) -> Column:
 
 __all__ = [
     "bin_blocks", "cigar_segments", "clip_to_intervals", "coverage_deltas", "delta_events", "depth_blocks",
-    "depth_from_deltas", "per_base_depth", "read_filter", "sample_grid", "sum_deltas",
+    "depth_from_deltas", "of_samples", "per_base_depth", "read_filter", "sample_grid", "sum_deltas",
 ]

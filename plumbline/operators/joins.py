@@ -124,9 +124,10 @@ def target_places(
     """The distinct places of targets (``contig, start, end``): copies of a target are measured once.
 
     The rows are counted before the distinct, an upper bound that needs no shuffle; ``counted`` may name a cheaper
-    superset to count. A set that is ``small`` therefore has few targets as well.
+    superset to count. A set that is ``small`` therefore has few targets as well. Targets without length or coordinates
+    have no place (``target_rejects`` tells which).
     """
-    places = targets.select("contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")).distinct()
+    places = targets.where("start < `end`").select("contig", F.col("start").alias("t_start"), F.col("end").alias("t_end")).distinct()
     return _counted(places, targets if counted is None else counted, "start", "`end`", bin_size, limit)
 
 
@@ -144,6 +145,14 @@ def _counted(
     return IntervalSet(intervals, bin_size, row.n_rows, row.n_short, row.n_long, limit)
 
 
+def target_rejects(targets: DataFrame) -> DataFrame:
+    """The targets that cannot be measured, with the ``reason``."""
+    reason = F.when(
+        F.col("contig").isNull() | F.col("start").isNull() | F.col("end").isNull(), "no coordinates"
+    ).when(F.col("start") >= F.col("end"), "start >= end")
+    return targets.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def interval_join(pieces: DataFrame, targets: IntervalSet) -> DataFrame:
     """Overlap join of bin-cut pieces (``contig, bin, start, end, ...``) with target intervals.
 
@@ -194,11 +203,21 @@ def span_join(left: DataFrame, targets: IntervalSet) -> DataFrame:
 
 
 def prune_to_intervals(pieces: DataFrame, targets: IntervalSet) -> DataFrame:
-    """Drop pieces in bins no interval touches, before they reach a shuffle; skipped when the bins are too many."""
-    if not targets.small:
-        return pieces
+    """Drop pieces in bins no interval touches, before they reach a shuffle.
+
+    The touched bins are broadcast. Where those of many targets are more than the limit, wider ones are, counted first.
+    """
     bins = targets.bins().select("contig", "bin").distinct()
-    return pieces.join(F.broadcast(bins), ["contig", "bin"], "left_semi")
+    width = 1
+    if not targets.small:
+        widths = [16**k for k in range(6)]
+        counts = bins.agg(*[F.count_distinct("contig", F.expr(f"bin DIV {w}")).alias(f"w{w}") for w in widths]).first()
+        width = next((w for w in widths if counts[f"w{w}"] <= targets.limit), None)
+        if width is None:  # more contigs than the limit
+            return pieces
+    place = F.expr(f"bin DIV {width}").alias("_wide")
+    touched = bins.select("contig", place).distinct()
+    return pieces.select("*", place).join(F.broadcast(touched), ["contig", "_wide"], "left_semi").drop("_wide")
 
 
 def running_totals(df: DataFrame, chunks: list[str], order: list[str], totals: dict[str, str]) -> DataFrame:

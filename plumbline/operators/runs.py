@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.depth import depth_blocks, sample_grid
+from plumbline.operators.depth import depth_blocks, of_samples, sample_grid
 from plumbline.operators.joins import IntervalSet, interval_join
 
 TARGET_KEYS = ("sample", "contig", "t_start", "t_end")
@@ -88,7 +88,7 @@ def low_blocks(
     )
     stitched = stitch_runs(runs, TARGET_KEYS, at_edge, ("depth_sum",))
     length = F.col("end") - F.col("start")
-    found = stitched.withColumn("length", length).where(F.col("length") >= min_len)
+    found = of_samples(stitched.withColumn("length", length).where(F.col("length") >= min_len), samples)
     if threshold <= 0:  # no depth is below 0
         found = found.where(F.lit(False))
     return found.select(*TARGET_KEYS, "start", "end", "length", "depth_sum")

@@ -10,12 +10,13 @@ from plumbline.sources.lines import read_lines
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
-    """Usable intervals of BED files, numbered by line."""
-    return parse_bed(read_lines(spark, path))
+    """Usable intervals of BED files, numbered by line; the number goes on from file to file, so it is a key."""
+    return parse_bed(read_lines(spark, path, across_files=True))
 
 
 def read_bed_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return bed_rejects(read_lines(spark, path))
+    """Refused lines under the numbers of ``read_bed``, with their file."""
+    return bed_rejects(read_lines(spark, path, across_files=True))
 
 
 def bed_bytes(spark: SparkSession, path: str) -> int:

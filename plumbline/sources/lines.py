@@ -9,9 +9,11 @@ from plumbline.functions.intervals import computed_once
 from plumbline.operators.joins import keyed_join
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, across_files: bool = False) -> DataFrame:
     """``file_path, line_no, value`` of text files (gz too), numbered from 1 within each file.
 
+    With ``across_files`` the number goes on from file to file, in the order of their paths.
+
     Rows are counted per file split, the counts are accumulated over the short table of splits, and each row adds its
     place within its split.
     """
@@ -23,7 +25,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
     )
     per_split = rows.groupBy(*split).agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
-    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file split
+    along = Window.orderBy(*split) if across_files else Window.partitionBy("file_path").orderBy("file_block_start")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_split.select(*split, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     numbered = keyed_join(rows, offsets, split)
     return numbered.select(

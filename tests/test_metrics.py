@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.depth import bin_blocks, cigar_segments, depth_blocks, per_base_depth, read_filter
 from plumbline.operators.histogram import depth_histogram, metrics
-from plumbline.operators.joins import point_interval_join, target_places
+from plumbline.operators.joins import point_interval_join, target_places, target_rejects
 from plumbline.operators.runs import low_blocks, merge_targets
 from plumbline.params import CoverageParams, parse_thresholds
 from plumbline.plans.report import coverage_report
@@ -181,3 +181,30 @@ def test_crowded_bins_equal_brute_force(spark, lengths, limit):
     points = rows.select("contig", F.col("start").alias("pos"))
     joined = point_interval_join(points, places)
     assert joined.count() == sum(1 for r in reads for s, e in set(spans) if s <= r[2] < e)
+
+
+def test_samples_outside_the_manifest(spark):
+    rows = [("S", "c", 0, 4, 30), ("T", "c", 0, 6, 30), (None, "c", 2, 6, 3)]
+    cut = bin_blocks(spark.createDataFrame(rows, BLOCKS), 4)
+    targets = spark.createDataFrame([("c", 0, 10), ("c", 5, 5), ("c", 9, 2), (None, 1, 2)], "contig string, start bigint, end bigint")
+    samples = spark.createDataFrame([("S",), (None,)], "sample string")
+    places = target_places(targets, 4)
+    found = {(r.sample, r.contig, r.t_start, r.depth): r.n for r in depth_histogram(cut, places, samples).collect()}
+    assert found == {("S", "c", 0, 0): 6, ("S", "c", 0, 30): 4, ("S", None, 1, 0): 1}
+    low = low_blocks(cut, places, samples, 10, 1).where("contig IS NOT NULL")
+    assert [(r.sample, r.start, r.end) for r in low.collect()] == [("S", 4, 10)]
+    assert {r.sample for r in per_base_depth(cut, places, samples).collect()} == {"S"}
+    assert [r.reason for r in target_rejects(targets).orderBy(F.desc("start")).collect()] == ["start >= end", "start >= end", "no coordinates"]
+
+
+def test_pruning_of_many_targets(spark):
+    start = F.col("id") * 40
+    targets = spark.range(200).select(F.lit("c").alias("contig"), start.alias("start"), (start + 5).alias("end"))
+    segments = spark.range(20_000).select(F.lit("S").alias("sample"), F.lit("c").alias("contig"), F.col("id").alias("start"), (F.col("id") + 3).alias("end"))
+    few, many = target_places(targets, 16), target_places(targets, 16, limit=50)
+    assert few.small and not many.small
+    pruned = depth_blocks(segments, 16, targets=many)
+    assert "LeftSemi" in pruned._jdf.queryExecution().optimizedPlan().toString() and pruned.agg(F.max("end")).first()[0] < 10_000
+    samples = spark.createDataFrame([("S",)], "sample string")
+    rows = lambda places: sorted(map(tuple, depth_histogram(depth_blocks(segments, 16, targets=places), places, samples).collect()))
+    assert rows(few) == rows(many)

@@ -52,6 +52,17 @@ def test_dirty_bed(spark, tmp_path):
     assert bed_bytes(spark, str(path)) == path.stat().st_size
 
 
+def test_bed_of_several_files(spark, tmp_path):
+    (tmp_path / "a.bed").write_text("chr1\t10\t20\tA\nbad\nchr1\t30\t40\tB\n")
+    (tmp_path / "b.bed").write_text("chr2\t10\t20\tC\nchr2\t30\n")
+    bed = read_bed(spark, str(tmp_path))
+    assert [(r.line_no, r.name) for r in bed.orderBy("line_no").collect()] == [(1, "A"), (3, "B"), (4, "C")]
+    kept, _ = enforce_limits(bed, max_targets=2)
+    assert sorted(r.name for r in kept.collect()) == ["A", "B"]
+    rejects = read_bed_rejects(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [(r.line_no, r.file_path.rsplit("/", 1)[1]) for r in rejects] == [(2, "a.bed"), (5, "b.bed")]
+
+
 def _large_bed(spark):
     start = F.col("id") * 1000 + 1_000_000
     return spark.range(3000).select(
