@@ -212,6 +212,19 @@ def histogram_overlapping(spark, d):
     return _attached(depth_histogram(blocks, places, views.samples(spark, d)), targets)
 
 
+@query(
+    "depth_histogram_partial_manifest",
+    f"WITH {base()} {_HIST.replace(' GROUP BY ALL', '')} WHERE sample IN (SELECT min(l_returnflag) FROM lineitem) GROUP BY ALL",
+)
+def histogram_partial(spark, d):
+    """Only one of the samples in the blocks is asked for; depth of the others shows nowhere."""
+    targets = views.targets(spark, d)
+    places = _places(targets)
+    asked = views.samples(spark, d).agg(F.min("sample").alias("sample"))
+    blocks = depth_blocks(views.segments(spark, d), BIN, targets=places)
+    return _attached(depth_histogram(blocks, places, asked), targets)
+
+
 @query(
     "zero_fill",
     f"""WITH {base()}
