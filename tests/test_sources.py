@@ -342,3 +342,23 @@ def test_exon_files_keep_their_sample(spark, tmp_path):
     back = spark.read.csv(str(tmp_path / "exons"), sep="\t", header=True)
     assert sorted((r.sample_name, r.exon_number) for r in back.collect()) == [("A", "1"), ("A", "2"), ("B", "1"), ("B", "2")]
     assert {r.sample_name for r in spark.read.csv(str(tmp_path / "low"), sep="\t").toDF("c", "s", "e", "t", "d", "sample_name").collect()} == {"A", "B"}
+
+
+def test_depth_store_pushes_the_span_of_many_targets(spark, tmp_path, capsys):
+    segments = spark.range(9000).select(
+        F.lit("S").alias("sample"), F.concat(F.lit("c"), F.col("id") % 3).alias("contig"),
+        F.col("id").alias("start"), (F.col("id") + 5).alias("end"),
+    )
+    blocks = depth_blocks(segments, 64)
+    write_depth_store(blocks, str(tmp_path / "store"))
+    targets = spark.range(100).select(
+        F.col("id").alias("ordinal"), F.lit("t").alias("target_id"), F.lit("c1").alias("contig"),
+        (F.col("id") * 40 + 1000).alias("start"), (F.col("id") * 40 + 1030).alias("end"),
+    )
+    stored = read_depth_store(spark, str(tmp_path / "store"), target_places(targets, 64))
+    stored.explain("formatted")
+    pushed = next(line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line)
+    assert "LessThan(start,4990)" in pushed and "GreaterThan(end,1000)" in pushed
+    assert stored.where("contig <> 'c1'").count() == 0
+    overlap = (F.col("contig") == "c1") & (F.col("end") > 1000) & (F.col("start") < 4990)
+    assert stored.count() == blocks.where(overlap).count()
