@@ -64,6 +64,23 @@ def test_line_cases(spark):
     assert dedup_lines(docs).columns == [*docs.columns, "_n_lines", "_n_removed"]
 
 
+def test_lines_of_one_doc_id_with_two_texts(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{long} x"), (1, "some other words"), (2, f"{long} y")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in dedup_lines(docs).collect())
+    assert got == [(1, "some other words"), (1, f"{long} x"), (2, "")]
+
+
+def test_lines_near_the_threshold(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:320]), " ".join(words[:319]), " ".join([*words[45:], *[f"n{i}" for i in range(45)]])]
+    texts.append(" ".join([*words[44:], *[f"m{i}" for i in range(44)]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(t.split()) for t in texts]
+    late = {j for j in range(5) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {r.doc_id for r in dedup_lines(docs).filter("_n_removed > 0").collect()} == late == {1, 2, 4}
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert {"doc_id", "n_tokens", "weight", "repeats"} <= set(rows.columns)
