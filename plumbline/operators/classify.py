@@ -77,6 +77,7 @@ def _lookup(status: Column, table: dict) -> Column:
 
 def rationale(df: DataFrame, params: ClassifyParams, column: str = "coverage_status") -> Column:
     """Why a target has its status."""
+    # The texts below are part of the output.
     status, zero, mean = F.col(column), F.col("pct_zero"), F.col("mean_depth")
     breadth = pct_ge_20(df)
     cv = F.when(mean > 0, F.col("stdev_depth") / mean).otherwise(F.lit(0.0))
