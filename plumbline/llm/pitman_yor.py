@@ -8,8 +8,9 @@ after the first.
 
 The tokens never become rows. Tasks pack the distinct pairs of some thousand texts into blocks by the context's bucket:
 
-1. Buckets of contexts sum the pairs, seat them once, and tell the buckets of words how many tokens and tables a word has.
-2. Buckets of words seat the parent and answer with counts and tables.
+1. Buckets of contexts sum the pairs; buckets of words add up the tokens of a word over all of them and answer.
+2. Buckets of contexts seat their pairs once, with the frequencies of the corpus, and tell the tables of a word; buckets of
+   words seat the parent, whose sweeps share the tables of all words, and answer with customers and tables.
 3. Buckets of contexts sum the pairs again, run the sweeps with the parent's probabilities, and return for every text of a
    block its partial sums, which are added up by block.
 
@@ -181,73 +182,134 @@ def _load(blocks: pa.ChunkedArray) -> tuple:
     return us, ws, counts, np.split(place, np.cumsum([len(p[1]) for p in parts])[:-1]), parts
 
 
+def _by_word(words: np.ndarray, n: int, bucket: int, *values: np.ndarray) -> list[tuple]:
+    """(word_bucket, bucket, data) for the buckets of words: what a bucket of contexts tells of its words."""
+    to = _bucket(words, n).astype(np.int64)
+    return [(int(b), bucket, _pack(_narrow(words[to == b]), *(x[to == b].astype(np.uint64) for x in values))) for b in np.unique(to)]
+
+
+def _joined(data: list[bytes]) -> tuple:
+    """Distinct words of some such rows, the sums of their values, and the words of each row with their places."""
+    parts = [_unpack(x) for x in data]
+    rows = [_wide(*p[0]) for p in parts]
+    words, place = np.unique(np.concatenate(rows), return_inverse=True)
+    sums = np.bincount(place, weights=np.concatenate([p[1] for p in parts]), minlength=len(words))
+    return words, sums, list(zip(rows, np.split(place, np.cumsum([len(r) for r in rows])[:-1])))
+
+
+def _groups(us: np.ndarray) -> np.ndarray:
+    """The number of each pair's context, of pairs in the order of contexts."""
+    return np.cumsum(np.append(True, us[1:] != us[:-1])[: len(us)]) - 1
+
+
+def _table(names: str, rows: list[tuple]) -> pa.Table:
+    """An Arrow table of ``rows``, with the columns and types of a schema such as ``"bucket bigint, data binary"``."""
+    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    columns = list(zip(*rows)) if rows else [[]] * (names.count(",") + 1)
+    return pa.table({c.split()[0]: pa.array(x, types[c.split()[1]]) for c, x in zip(names.split(", "), columns)})
+
+
+def parent_tables(words: np.ndarray, customers: np.ndarray, v: int, totals: list[int]) -> np.ndarray:
+    """The parent's tables of some words after the first seating and one sweep for each of ``totals``.
+
+    ``v`` counts the words of the whole corpus, ``totals`` the tables of all of them after each seating before.
+    """
+    uniform = np.full(len(words), 1 / (v + 1))
+    tables = seat(customers, uniform, np.full(len(words), v - 1.0), words, 1, 0)
+    for sweep, total in enumerate(totals, 1):
+        tables = seat(customers, uniform, total - tables, words, 1, sweep)
+    return tables
+
+
 def score_texts(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
     Tokens are the words between blanks, A-Z lower-cased, and one end. Null and empty texts have the end alone. ``score`` is
     the log10 probability under the model, ``base_score`` under add-one word frequencies. A null doc_id is held out. Repeated
     rows are texts of their own and are learned as often as they occur. With nothing to learn from, all tokens are the one
-    unknown word and both scores are 0. More columns are ignored.
+    unknown word and both scores are 0. More columns are ignored. The scores do not depend on the number of buckets.
     """
     chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(2, -(-chars // BUCKET_CHARS))
+    told, replies = "word_bucket bigint, bucket bigint, data binary", "bucket bigint, data binary"
 
-    def ask(table: pa.Table) -> pa.Table:
+    def total_pairs(table: pa.Table) -> pa.Table:
         us, ws, counts, _, _ = _load(table.column("data"))
-        seen = np.unique(ws, return_inverse=True)
-        share = np.bincount(seen[1], weights=counts) / max(counts.sum(), 1)
-        starts = np.flatnonzero(np.append(True, us[1:] != us[:-1]))
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(us))))
-        first = (counts > 0).astype(float)
-        others = np.bincount(group, weights=first)[group] - first
-        tables = seat(counts, share[seen[1]], others, us * np.uint64(31) + ws, 0, 0)
-        asked = (np.bincount(seen[1], weights=counts), np.bincount(seen[1], weights=tables))
-        to = _bucket(seen[0], n).astype(np.int64)
-        mine = table.column("bucket")[0].as_py()
-        rows = [(int(b), mine, _pack(_narrow(seen[0][to == b]), *(x[to == b].astype(np.uint64) for x in asked))) for b in np.unique(to)]
-        part = list(zip(*rows))
-        return pa.table({"word_bucket": pa.array(part[0], pa.int64()), "bucket": pa.array(part[1], pa.int64()), "data": pa.array(part[2], pa.binary())})
+        mine, train = table.column("bucket")[0].as_py(), counts > 0
+        words, place = np.unique(ws, return_inverse=True)
+        rows = [(0, None, mine, _pack(_narrow(us[train]), _narrow(ws[train]), counts[train].astype(np.uint32)))]
+        rows += [(1, *r) for r in _by_word(words, n, mine, np.bincount(place, weights=counts))]
+        return _table(f"kind int, {told}", rows)
+
+    pairs = stored(_blocks(docs, n, False).groupBy("bucket").applyInArrow(total_pairs, f"kind int, {told}"), "pairs")
+
+    def count(table: pa.Table) -> pa.Table:
+        words, tokens, asked = _joined(table.column("data").to_pylist())
+        out = [
+            (b, _pack(_narrow(w), tokens[at].astype(np.uint64)), int((tokens > 0).sum()) * (i == 0), int(tokens.sum()) * (i == 0))
+            for i, (b, (w, at)) in enumerate(zip(table.column("bucket").to_pylist(), asked))
+        ]
+        return _table(f"{replies}, v bigint, n bigint", out)
+
+    counts = stored(pairs.filter("kind = 1").groupBy("word_bucket").applyInArrow(count, f"{replies}, v bigint, n bigint"), "counts")
+    v, total = (int(x or 0) for x in counts.agg(F.sum("v"), F.sum("n")).first())
+
+    def first(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        words, c, _ = _joined(right.column("data").to_pylist())
+        customers = np.zeros(len(words))
+        for data in left.column("data"):
+            us, ws, counts = _unpack(data.as_py())
+            us, ws, counts = _wide(*us), _wide(*ws), counts.astype(float)
+            at, group = np.searchsorted(words, ws), _groups(us)
+            others = np.bincount(group)[group] - 1.0
+            tables = seat(counts, c[at] / max(total, 1), others, us * np.uint64(31) + ws, 0, 0)
+            customers += np.bincount(at, weights=tables, minlength=len(words))
+        return _table(told, _by_word(words, n, key[0].as_py(), customers))
+
+    seated = pairs.filter("kind = 0").groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(first, told)
+    asked = stored(seated, "asked")
+
+    def join_customers(table: pa.Table) -> pa.Table:
+        words, customers, _ = _joined(table.column("data").to_pylist())
+        return _table("data binary, k bigint", [(_pack(words[customers > 0], customers[customers > 0]), int(customers.sum()))])
+
+    parents = stored(asked.groupBy("word_bucket").applyInArrow(join_customers, "data binary, k bigint"), "parents")
+    customers = int(parents.agg(F.sum("k")).first()[0] or 0)
+    totals: list[int] = []
+    for _ in range(3):
+
+        def all_tables(batches: Iterator[pa.RecordBatch], before: tuple = tuple(totals)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                t = [(int(parent_tables(*_unpack(x.as_py()), v, before).sum()),) for x in batch.column(0)]
+                yield from _table("t bigint", t).to_batches()
+
+        totals.append(int(parents.select("data").mapInArrow(all_tables, "t bigint").agg(F.sum("t")).first()[0] or 0))
+    tables = totals[-1]
 
     def answer(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py()) for x in table.column("data")]
-        asked = [_wide(*p[0]) for p in parts]
-        words, place = np.unique(np.concatenate(asked), return_inverse=True)
-        tokens = np.bincount(place, weights=np.concatenate([p[1] for p in parts]))
-        customers = np.bincount(place, weights=np.concatenate([p[2] for p in parts]))
-        known = customers > 0
-        uniform = np.full(len(words), 1 / (known.sum() * n + 1))
-        # words are dealt by a hash, so this bucket's tables tell those of all
-        tables = seat(customers, uniform, np.full(len(words), float(known.sum() * n)), words, 1, 0)
-        for sweep in range(1, 3):
-            tables = seat(customers, uniform, np.full(len(words), tables.sum() * n), words, 1, sweep)
-        stats = [known.sum(), tokens.sum(), customers.sum(), tables.sum()]
-        out = []
-        for i, (b, w, own) in enumerate(zip(table.column("bucket").to_pylist(), asked, np.split(place, np.cumsum([len(a) for a in asked])[:-1]))):
-            data = _pack(_narrow(w), tokens[own].astype(np.uint32 if tokens.max() < 2**32 else np.uint64), customers[own].astype(np.uint64), tables[own].astype(np.uint64))
-            out.append((b, data, *(int(s) if i == 0 else 0 for s in stats)))
-        part = list(zip(*out))
-        names = ["bucket", "data", "v", "n", "k", "t"]
-        return pa.table({c: pa.array(p, pa.binary() if c == "data" else pa.int64()) for c, p in zip(names, part)})
+        words, k, asked = _joined(table.column("data").to_pylist())
+        t = parent_tables(words, k, v, totals[:-1])
+        rows = [(b, _pack(_narrow(w), k[at].astype(np.uint64), t[at].astype(np.uint64))) for b, (w, at) in zip(table.column("bucket").to_pylist(), asked)]
+        return _table(replies, rows)
 
-    asked = _blocks(docs, n, False).groupBy("bucket").applyInArrow(ask, "word_bucket bigint, bucket bigint, data binary")
-    answers = stored(
-        asked.groupBy("word_bucket").applyInArrow(answer, "bucket bigint, data binary, v bigint, n bigint, k bigint, t bigint"), "answers"
-    )
-    v, total, customers, tables = (int(x or 0) for x in answers.agg(F.sum("v"), F.sum("n"), F.sum("k"), F.sum("t")).first())
+    answers = asked.groupBy("word_bucket").applyInArrow(answer, replies)
+    answers = stored(answers.withColumn("kind", F.lit(1)).unionByName(counts.select("bucket", "data", F.lit(0).alias("kind"))), "answers")
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return pa.table({"chunk": left.column("chunk"), "kind": pa.array([0] * left.num_rows, pa.int32()), "data": left.column("data")})
         us, ws, counts, places, parts = _load(left.column("data"))
-        replies = [_unpack(x.as_py()) for x in right.column("data")]
-        words = np.concatenate([_wide(*r[0]) for r in replies])
-        order = np.argsort(words)
-        at = order[np.searchsorted(words[order], ws)]
-        c, k, t = (np.concatenate([r[i] for r in replies])[at].astype(float) for i in (1, 2, 3))
+        found = []
+        for kind in (0, 1):
+            got = [_unpack(x) for x, i in zip(right.column("data").to_pylist(), right.column("kind").to_pylist()) if i == kind]
+            words = np.concatenate([_wide(*r[0]) for r in got])
+            order = np.argsort(words)
+            at = order[np.searchsorted(words[order], ws)]
+            found += [np.concatenate([r[i] for r in got])[at].astype(float) for i in range(1, 2 + kind)]
+        c, k, t = found
         d, s = DISCOUNT[1], STRENGTH[1]
         parent = (np.maximum(k - d * t, 0) + (s + d * tables) / (v + 1)) / (s + customers)
-        starts = np.flatnonzero(np.append(True, us[1:] != us[:-1]))
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(us))))
+        group = _groups(us)
         seated = np.bincount(group, weights=counts)[group]
         own, mean = (counts > 0).astype(float), np.zeros(len(us))
         d, s = DISCOUNT[0], STRENGTH[0]
@@ -281,7 +343,7 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
             "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base), "score": pa.array(logs),
         })
 
-    sums = _blocks(docs, n, True).groupBy("bucket").cogroup(answers.select("bucket", "data").groupBy("bucket")).applyInArrow(score, "chunk string, kind int, data binary")
+    sums = _blocks(docs, n, True).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "chunk string, kind int, data binary")
     return sums.groupBy("chunk").applyInArrow(
         gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

@@ -78,3 +78,11 @@ def test_small_cases(spark):
     assert score_texts(docs.union(docs)).count() == 12
     only = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     assert score_texts(only).first().score == 0
+
+
+def test_scores_do_not_depend_on_buckets(spark, monkeypatch):
+    docs, got = documents(spark), []
+    for chars in (12_000_000, 50_000):
+        monkeypatch.setattr(pitman_yor, "BUCKET_CHARS", chars)
+        got.append({r.doc_id: r.score for r in score_texts(docs).collect()})
+    assert all(abs(got[0][i] - got[1][i]) < 1e-9 * abs(got[0][i]) + 1e-9 for i in got[0])
