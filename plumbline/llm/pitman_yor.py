@@ -11,10 +11,12 @@ The tokens never become rows. Tasks pack the distinct pairs of some thousand tex
 1. Buckets of contexts sum the pairs; buckets of words add up the tokens of a word over all of them and answer.
 2. Buckets of contexts seat their pairs once, with the frequencies of the corpus, and tell the tables of a word; buckets of
    words seat the parent, whose sweeps share the tables of all words, and answer with customers and tables.
-3. Buckets of contexts sum the pairs again, run the sweeps with the parent's probabilities, and return for every text of a
-   block its partial sums, which are added up by block.
+3. Buckets of contexts sum the pairs again, run the sweeps with the parent's probabilities, and return for every pair of a
+   block one probability; each block scores its own texts with them. Only distinct pairs leave a block, never occurrences.
 
-The number of buckets follows the input, so that a bucket holds about ``BUCKET_CHARS`` of text.
+The number of buckets follows the input, so that a bucket holds about ``BUCKET_CHARS`` of text. The pairs of a frequent
+context are dealt over all buckets by the word; what its dishes share, the tables of all of them, is summed over the buckets
+before every sweep. Which contexts are frequent is estimated from some texts and has no effect on the scores.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from plumbline.llm.near_dup import WordHashes, text_words
 
 BUCKET_CHARS = 12_000_000
 BLOCK_TOKENS = 1_500_000
+SAMPLE_CHARS = 4_000_000  # text from which the frequent contexts are estimated
+FREQUENT = 4  # a context with more than this part of a bucket's tokens is dealt over all buckets
 DISCOUNT, STRENGTH = (0.75, 0.5), (2.0, 5.0)  # of the contexts, of the parent
 SWEEPS = 4
 STEPWISE = 32  # customers of a dish that are seated one by one; later ones in blocks of a sixteenth of those seated
@@ -80,10 +84,49 @@ def _sums(first: np.ndarray, second: np.ndarray, *values: np.ndarray) -> tuple:
     return a[new], b[new], place, *(np.bincount(place, weights=v, minlength=int(new.sum())) for v in values)
 
 
-def _blocks(docs: DataFrame, n_buckets: int, with_texts: bool) -> DataFrame:
-    """(bucket, chunk, data): the distinct pairs of every chunk of texts by context bucket.
+def _contexts(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The word before each one, of texts of such lengths."""
+    u = np.empty_like(words)
+    u[1:] = words[:-1]
+    u[np.cumsum(lengths) - lengths] = START
+    return u
 
-    With texts, a block also says which texts hold a pair how often, and bucket -1 lists the texts of the chunk.
+
+def _words(text: str | None, hashes: WordHashes) -> np.ndarray:
+    h = [hashes[w] for w in text_words(text)]
+    return np.append(np.maximum(np.array(h, dtype=np.uint64) & _ID, np.uint64(3)), END)
+
+
+def _spread(contexts: np.ndarray, words: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray:
+    """The bucket of each pair: by its context, or by both words where the context is frequent."""
+    both = contexts ^ (words * np.uint64(0xBF58476D1CE4E5B9))
+    return _bucket(np.where(np.isin(contexts, frequent), both, contexts), n).astype(np.int64)
+
+
+def frequent_contexts(docs: DataFrame, chars: int, n_buckets: int) -> np.ndarray:
+    """Contexts that some texts show to be more than a part of a bucket, in order."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = [_words(x.as_py(), hashes) for x in batch.column(0)]
+            if texts:
+                found, counts = np.unique(_contexts(np.concatenate(texts), np.array([len(x) for x in texts])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts)], names=["context", "n"])
+
+    part = docs.select(F.col("text").cast("string")).sample(fraction=min(1.0, SAMPLE_CHARS / max(chars, 1)), seed=1)
+    counted = part.mapInArrow(work, "context bigint, n bigint").groupBy("context").agg(F.sum("n").alias("n"))
+    # no more than this many contexts can have such a share
+    top = counted.orderBy(F.desc("n"), "context").limit(max(1, int(FREQUENT * n_buckets)))
+    total = counted.agg(F.sum("n").alias("total"))
+    rows = top.crossJoin(F.broadcast(total)).filter(F.col("n") * (FREQUENT * n_buckets) > F.col("total")).select("context").collect()
+    return np.array(sorted(r[0] for r in rows), dtype=np.uint64)
+
+
+def _blocks(docs: DataFrame, n_buckets: int, frequent: np.ndarray, with_texts: bool) -> DataFrame:
+    """(bucket, chunk, data): the distinct pairs of every chunk of texts by bucket.
+
+    With texts, one more row of every chunk, in a bucket of its own below 0, says which texts hold a pair how often.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,35 +137,29 @@ def _blocks(docs: DataFrame, n_buckets: int, with_texts: bool) -> DataFrame:
             nonlocal n_chunks, ids, words, lengths, size
             w = np.concatenate(words)
             n = np.array(lengths)
-            start = np.cumsum(n) - n
-            u = np.empty_like(w)
-            u[1:] = w[:-1]
-            u[start] = START
+            u = _contexts(w, n)
             text = np.repeat(np.arange(len(n), dtype=np.uint32), n)
             train = np.repeat(np.array([not held_out(i) for i in ids]), n)
             us, ws, place, counts = _sums(u, w, train)
-            bucket = _bucket(us, n_buckets).astype(np.int64)
+            bucket = _spread(us, ws, n_buckets, frequent)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            if with_texts:
-                at = np.argsort(place, kind="stable")
-                ends = np.cumsum(np.bincount(place, minlength=len(us)))
-                text = text[at]
             rows = []
             for b in range(n_buckets):
                 mine = order[cuts[b] : cuts[b + 1]]
                 if not len(mine):
                     continue
                 contexts, which = np.unique(us[mine], return_inverse=True)
-                data = [_narrow(contexts), which.astype(np.uint32), _narrow(ws[mine]), counts[mine].astype(np.uint32)]
-                if with_texts:
-                    many = np.diff(ends, prepend=0)[mine]
-                    begin = (ends[mine] - many).repeat(many)
-                    inner = np.arange(many.sum()) - (np.cumsum(many) - many).repeat(many)
-                    data += [many.astype(np.uint32), text[begin + inner], len(n)]
-                rows.append((b, f"{task}-{n_chunks}", _pack(*data)))
+                data = _pack(_narrow(contexts), which.astype(np.uint32), _narrow(ws[mine]), counts[mine].astype(np.uint32))
+                rows.append((b, f"{task}-{n_chunks}", data))
             if with_texts:
-                rows.append((-1, f"{task}-{n_chunks}", _pack(ids, n)))
+                # the pairs in the order of the rows above, and for each the texts of its occurrences
+                moved = np.empty_like(order)
+                moved[order] = np.arange(len(order))
+                place = moved[place]
+                at = np.argsort(place, kind="stable")
+                many = np.bincount(place, minlength=len(us)).astype(np.uint32)
+                rows.append((-1 - (task << 24) - n_chunks, f"{task}-{n_chunks}", _pack(ids, n, cuts, many, text[at])))
             n_chunks, ids, words, lengths, size = n_chunks + 1, [], [], [], 0
             for at in range(0, len(rows), 16):
                 part = list(zip(*rows[at : at + 16]))
@@ -130,8 +167,7 @@ def _blocks(docs: DataFrame, n_buckets: int, with_texts: bool) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
-                h = [hashes[w] for w in text_words(text.as_py())]
-                w = np.append(np.maximum(np.array(h, dtype=np.uint64) & _ID, np.uint64(3)), END)
+                w = _words(text.as_py(), hashes)
                 ids.append(doc.as_py())
                 words.append(w)
                 lengths.append(len(w))
@@ -174,12 +210,12 @@ def seat(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, keys: np
 
 
 def _load(blocks: pa.ChunkedArray) -> tuple:
-    """All pairs of a bucket: distinct contexts and words, training counts, and per block its place in them and its texts."""
+    """All pairs of a bucket: distinct contexts and words, training counts, and per block its places in them."""
     parts = [_unpack(x.as_py()) for x in blocks]
     u = np.concatenate([_wide(*p[0])[p[1]] for p in parts])
     w = np.concatenate([_wide(*p[2]) for p in parts])
     us, ws, place, counts = _sums(u, w, np.concatenate([p[3] for p in parts]))
-    return us, ws, counts, np.split(place, np.cumsum([len(p[1]) for p in parts])[:-1]), parts
+    return us, ws, counts, np.split(place, np.cumsum([len(p[1]) for p in parts])[:-1])
 
 
 def _by_word(words: np.ndarray, n: int, bucket: int, *values: np.ndarray) -> list[tuple]:
@@ -209,6 +245,17 @@ def _table(names: str, rows: list[tuple]) -> pa.Table:
     return pa.table({c.split()[0]: pa.array(x, types[c.split()[1]]) for c, x in zip(names.split(", "), columns)})
 
 
+def _shared(groups: np.ndarray, own: np.ndarray, hot: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The sum of ``own`` over the context of each pair; ``hot`` pairs are told it, as others of their context are elsewhere."""
+    return np.where(hot >= 0, sums[hot], np.bincount(groups, weights=own)[groups])
+
+
+def _hot(us: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The place of each context among the frequent ones, or -1."""
+    at = np.searchsorted(frequent, us)
+    return np.where(np.isin(us, frequent), at, -1)
+
+
 def parent_tables(words: np.ndarray, customers: np.ndarray, v: int, totals: list[int]) -> np.ndarray:
     """The parent's tables of some words after the first seating and one sweep for each of ``totals``.
 
@@ -231,17 +278,25 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """
     chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(2, -(-chars // BUCKET_CHARS))
+    frequent = frequent_contexts(docs, chars, n)
     told, replies = "word_bucket bigint, bucket bigint, data binary", "bucket bigint, data binary"
 
     def total_pairs(table: pa.Table) -> pa.Table:
-        us, ws, counts, _, _ = _load(table.column("data"))
+        us, ws, counts, _ = _load(table.column("data"))
         mine, train = table.column("bucket")[0].as_py(), counts > 0
         words, place = np.unique(ws, return_inverse=True)
-        rows = [(0, None, mine, _pack(_narrow(us[train]), _narrow(ws[train]), counts[train].astype(np.uint32)))]
+        hot = _hot(us, frequent)
+        rows = []
+        for kind, some in ((0, train & (hot < 0)), (3, train & (hot >= 0))):
+            if some.any():
+                rows.append((kind, None, mine, _pack(_narrow(us[some]), _narrow(ws[some]), counts[some].astype(np.uint32))))
         rows += [(1, *r) for r in _by_word(words, n, mine, np.bincount(place, weights=counts))]
+        if (hot >= 0).any():
+            rows.append((2, None, mine, _pack(*(np.bincount(hot[hot >= 0], weights=x[hot >= 0], minlength=len(frequent)).astype(np.int64) for x in (train, counts)))))
         return _table(f"kind int, {told}", rows)
 
-    pairs = stored(_blocks(docs, n, False).groupBy("bucket").applyInArrow(total_pairs, f"kind int, {told}"), "pairs")
+    # kind 0: pairs to learn from, 1: words and their tokens, 2: dishes and customers of frequent contexts, 3: their pairs
+    pairs = stored(_blocks(docs, n, frequent, False).groupBy("bucket").applyInArrow(total_pairs, f"kind int, {told}"), "pairs")
 
     def count(table: pa.Table) -> pa.Table:
         words, tokens, asked = _joined(table.column("data").to_pylist())
@@ -253,6 +308,9 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
 
     counts = stored(pairs.filter("kind = 1").groupBy("word_bucket").applyInArrow(count, f"{replies}, v bigint, n bigint"), "counts")
     v, total = (int(x or 0) for x in counts.agg(F.sum("v"), F.sum("n")).first())
+    hot_sums = np.zeros((2, len(frequent) + 1))  # dishes and customers of the frequent contexts; the last place is of no context
+    for r in pairs.filter("kind = 2").select("data").toLocalIterator():
+        hot_sums[:, :-1] += np.array(_unpack(r[0]))
 
     def first(key, left: pa.Table, right: pa.Table) -> pa.Table:
         words, c, _ = _joined(right.column("data").to_pylist())
@@ -261,13 +319,13 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
             us, ws, counts = _unpack(data.as_py())
             us, ws, counts = _wide(*us), _wide(*ws), counts.astype(float)
             at, group = np.searchsorted(words, ws), _groups(us)
-            others = np.bincount(group)[group] - 1.0
+            others = _shared(group, np.ones(len(us)), _hot(us, frequent), hot_sums[0]) - 1
             tables = seat(counts, c[at] / max(total, 1), others, us * np.uint64(31) + ws, 0, 0)
             customers += np.bincount(at, weights=tables, minlength=len(words))
         return _table(told, _by_word(words, n, key[0].as_py(), customers))
 
-    seated = pairs.filter("kind = 0").groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(first, told)
-    asked = stored(seated, "asked")
+    asked = pairs.filter("kind IN (0, 3)").groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(first, told)
+    asked = stored(asked, "asked")
 
     def join_customers(table: pa.Table) -> pa.Table:
         words, customers, _ = _joined(table.column("data").to_pylist())
@@ -295,55 +353,87 @@ def score_texts(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     answers = asked.groupBy("word_bucket").applyInArrow(answer, replies)
     answers = stored(answers.withColumn("kind", F.lit(1)).unionByName(counts.select("bucket", "data", F.lit(0).alias("kind"))), "answers")
 
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            return pa.table({"chunk": left.column("chunk"), "kind": pa.array([0] * left.num_rows, pa.int32()), "data": left.column("data")})
-        us, ws, counts, places, parts = _load(left.column("data"))
+    def word_values(table: pa.Table, ws: np.ndarray) -> tuple:
+        """Tokens, and the probability at the parent, of the words ``ws``."""
         found = []
         for kind in (0, 1):
-            got = [_unpack(x) for x, i in zip(right.column("data").to_pylist(), right.column("kind").to_pylist()) if i == kind]
+            got = [_unpack(x) for x, i in zip(table.column("data").to_pylist(), table.column("kind").to_pylist()) if i == kind]
             words = np.concatenate([_wide(*r[0]) for r in got])
             order = np.argsort(words)
             at = order[np.searchsorted(words[order], ws)]
             found += [np.concatenate([r[i] for r in got])[at].astype(float) for i in range(1, 2 + kind)]
         c, k, t = found
         d, s = DISCOUNT[1], STRENGTH[1]
-        parent = (np.maximum(k - d * t, 0) + (s + d * tables) / (v + 1)) / (s + customers)
-        group = _groups(us)
-        seated = np.bincount(group, weights=counts)[group]
+        return c, (np.maximum(k - d * t, 0) + (s + d * tables) / (v + 1)) / (s + customers)
+
+    hot_tables = [hot_sums[0]]  # tables of the frequent contexts before the first sweep, and after each
+    if len(frequent):
+
+        def hot_pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = []
+            for data in left.column("data"):
+                us, ws, counts = _unpack(data.as_py())
+                us, ws = _wide(*us), _wide(*ws)
+                rows.append((_pack(counts.astype(float), word_values(right, ws)[1], us * np.uint64(31) + ws, _hot(us, frequent)),))
+            return _table("data binary", rows)
+
+        dealt = pairs.filter("kind = 3").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(hot_pairs, "data binary")
+        dealt = stored(dealt, "frequent")
+        for _ in range(sweeps + 1):
+
+            def sweep_all(batches: Iterator[pa.RecordBatch], before: tuple = tuple(hot_tables)) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for x in batch.column(0):
+                        counts, parent, keys, hot = _unpack(x.as_py())
+                        own = np.ones(len(counts))
+                        for i, every in enumerate(before):
+                            own = seat(counts, parent, every[hot] - own, keys, 0, i + 1)
+                        t = np.bincount(hot, weights=own, minlength=len(frequent))
+                        yield from _table("context bigint, t bigint", [(i, int(x)) for i, x in enumerate(t) if x]).to_batches()
+
+            t = dealt.mapInArrow(sweep_all, "context bigint, t bigint").groupBy("context").agg(F.sum("t")).collect()
+            hot_tables.append(np.zeros(len(frequent) + 1))
+            for i, x in t:
+                hot_tables[-1][i] = x
+
+    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return left.select(["chunk", "bucket", "data"])
+        us, ws, counts, places = _load(left.column("data"))
+        c, parent = word_values(right, ws)
+        group, hot = _groups(us), _hot(us, frequent)
+        seated = _shared(group, counts, hot, hot_sums[1])
         own, mean = (counts > 0).astype(float), np.zeros(len(us))
         d, s = DISCOUNT[0], STRENGTH[0]
         for sweep in range(sweeps + 1):
-            others = np.bincount(group, weights=own)[group] - own
+            given = hot_tables[sweep : sweep + 2] if len(frequent) else [hot_sums[0]] * 2
+            others = _shared(group, own, hot, given[0]) - own
             own = seat(counts, parent, others, us * np.uint64(31) + ws, 0, sweep + 1)
             if sweep:
-                every = np.bincount(group, weights=own)[group]
+                every = _shared(group, own, hot, given[1])
                 mean += (np.maximum(counts - d * own, 0) + (s + d * every) * parent) / (s + seated)
-        logs = np.log10(mean / sweeps)
-        base = np.log10((c + 1) / (total + v + 1))
-        out = []
-        for place, part, chunk in zip(places, parts, left.column("chunk").to_pylist()):
-            many, text, n_texts = part[4:]
-            token = place.repeat(many)
-            out.append((chunk, 1, _pack(*(np.bincount(text, weights=x[token], minlength=n_texts) for x in (c > 0, base, logs)))))
-        part = list(zip(*out))
-        return pa.table({"chunk": pa.array(part[0]), "kind": pa.array(part[1], pa.int32()), "data": pa.array(part[2], pa.binary())})
+        logs, c = np.log10(mean / sweeps), c.astype(np.int64)
+        return _table("chunk string, bucket bigint, data binary", [
+            (chunk, key[0].as_py(), _pack(c[place].astype(np.uint32 if c.max() < 2**32 else np.uint64), logs[place]))
+            for place, chunk in zip(places, left.column("chunk").to_pylist())
+        ])
 
     def gather(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        head = _unpack(table.column("data")[kinds.index(0)].as_py())
-        known, base, logs = np.zeros(len(head[0])), np.zeros(len(head[0])), np.zeros(len(head[0]))
-        for kind, data in zip(kinds, table.column("data")):
-            if kind:
-                x = _unpack(data.as_py())
-                known, base, logs = known + x[0], base + x[1], logs + x[2]
+        buckets = table.column("bucket").to_pylist()
+        ids, lengths, cuts, many, text = _unpack(table.column("data")[buckets.index(min(buckets))].as_py())
+        c, logs = np.zeros(len(many)), np.zeros(len(many))
+        for b, data in zip(buckets, table.column("data")):
+            if b >= 0:
+                c[cuts[b] : cuts[b + 1]], logs[cuts[b] : cuts[b + 1]] = _unpack(data.as_py())
+        base = np.log10((c + 1) / (total + v + 1))
+        known, base, logs = (np.bincount(text, weights=x.repeat(many), minlength=len(ids)) for x in (c > 0, base, logs))
         return pa.table({
-            "doc_id": pa.array(head[0], pa.int64()), "held_out": pa.array([held_out(i) for i in head[0]], pa.bool_()),
-            "n_tokens": pa.array(head[1].astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
+            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids], pa.bool_()),
+            "n_tokens": pa.array(lengths.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
             "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base), "score": pa.array(logs),
         })
 
-    sums = _blocks(docs, n, True).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "chunk string, kind int, data binary")
+    sums = _blocks(docs, n, frequent, True).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, "chunk string, bucket bigint, data binary")
     return sums.groupBy("chunk").applyInArrow(
         gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

@@ -86,3 +86,22 @@ def test_scores_do_not_depend_on_buckets(spark, monkeypatch):
         monkeypatch.setattr(pitman_yor, "BUCKET_CHARS", chars)
         got.append({r.doc_id: r.score for r in score_texts(docs).collect()})
     assert all(abs(got[0][i] - got[1][i]) < 1e-9 * abs(got[0][i]) + 1e-9 for i in got[0])
+
+
+def test_a_frequent_context_is_dealt_over_the_buckets(spark, monkeypatch):
+    rows = [(i, " ".join(f"the w{(i * 7 + k * k) % 900} x{k % 50}" for k in range(300))) for i in range(60)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), []
+    for chars, frequent in ((10_000, 4), (10_000, 0.001), (12_000_000, 4)):
+        monkeypatch.setattr(pitman_yor, "BUCKET_CHARS", chars)
+        monkeypatch.setattr(pitman_yor, "FREQUENT", frequent)
+        got.append({r.doc_id: r.score for r in score_texts(docs).collect()})
+    assert all(abs(got[0][i] - x[i]) < 1e-9 * abs(x[i]) for x in got[1:] for i in x)
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 4)
+    hot = pitman_yor.frequent_contexts(docs, 400_000, 40)
+    blocks = pitman_yor._blocks(docs, 40, hot, True).filter("bucket >= 0").collect()
+    sizes = Counter()
+    for b in blocks:
+        parts = pitman_yor._unpack(b.data)
+        assert len(parts) == 4 and len(set(zip(parts[1].tolist(), *(x.tolist() for x in parts[2])))) == len(parts[1])
+        sizes[b.bucket] += len(parts[1])
+    assert max(sizes.values()) < 0.15 * sum(sizes.values())
