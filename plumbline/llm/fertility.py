@@ -2,7 +2,8 @@
 
 Public vocabularies measure each text: characters per token, the share of tokens that hold only a part of a character
 (byte fallback), and the entropy of the token distribution relative to its largest value. Bands per language reject texts
-that a vocabulary takes apart in an unusual way: they come from the quartiles of all the language's texts. One pass over the
+that a vocabulary takes apart in an unusual way: they come from the quartiles of all the language's texts, drawn towards
+those of the corpus where these are few, and widen for short texts. One pass over the
 texts without a shuffle writes the measures, which are small; the quartiles are one mergeable aggregate over them.
 """
 
@@ -24,8 +25,9 @@ from plumbline.llm.near_dup import WordHashes
 
 VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MIN_TOKENS = 100  # shorter texts vary too much to be judged, and pass
-MIN_TEXTS = 50  # a language with fewer judged texts takes the bands of the whole corpus
+PLAIN_TOKENS = 100  # shorter texts vary more, and their bands widen by WIDEN * (1 / sqrt(tokens) - 1 / sqrt(PLAIN_TOKENS))
+WIDEN = 2.0, 1.0  # for characters per token, times the median; for the fallback share
+PRIOR_TEXTS = 10  # the bands of a language of n texts are n / (n + PRIOR_TEXTS) its own, the rest those of the whole corpus
 SPREAD, FLOOR = 4.0, 0.10  # a band reaches SPREAD quartile ranges beyond the quartiles, at least FLOOR of the median
 ENTROPY = 0.2  # least relative entropy
 SLICE = 1_000_000  # characters encoded at once
@@ -137,17 +139,18 @@ def measures(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES) -> D
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), lang.cast("string")).mapInArrow(work, _SCHEMA)
 
 
-def bands(rows: DataFrame, n_vocabularies: int, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(band_lang, low, high, most): per language bounds of characters per token and the largest fallback share.
+def bands(rows: DataFrame, n_vocabularies: int) -> DataFrame:
+    """(band_lang, n, low, mid, high, most): per language its texts, bounds and median of characters per token, and the largest
+    fallback share.
 
-    Each is a list by vocabulary. The row of a null language holds the bands of the whole corpus.
+    The last four are lists by vocabulary. The row of a null language holds the bands of the whole corpus.
     """
-    judged = rows.filter(F.col("n_tokens")[0] >= min_tokens)
+    judged = rows.filter(F.col("n_tokens")[0] > 0)
     quartiles = lambda c, k: F.percentile_approx(F.col(c)[k], [0.25, 0.5, 0.75], 10_000)
     found = [F.count("*").alias("n")]
     for k in range(n_vocabularies):
         found += [quartiles("chars_per_token", k).alias(f"c{k}"), quartiles("fallback_share", k).alias(f"f{k}")]
-    by_lang = judged.filter("lang IS NOT NULL").groupBy(F.col("lang").alias("band_lang")).agg(*found).filter(F.col("n") >= MIN_TEXTS)
+    by_lang = judged.filter("lang IS NOT NULL").groupBy(F.col("lang").alias("band_lang")).agg(*found)
     everything = judged.agg(*found).select(F.lit(None).cast("string").alias("band_lang"), "n", *[f"{x}{k}" for k in range(n_vocabularies) for x in "cf"])
 
     def reach(q, floor):
@@ -157,35 +160,44 @@ def bands(rows: DataFrame, n_vocabularies: int, min_tokens: int = MIN_TOKENS) ->
     c, f = [F.col(f"c{k}") for k in each], [F.col(f"f{k}") for k in each]
     return by_lang.unionByName(everything).select(
         "band_lang",
+        "n",
         F.array(*[q[0] - reach(q, q[1] * FLOOR) for q in c]).alias("low"),
+        F.array(*[q[1] for q in c]).alias("mid"),
         F.array(*[q[2] + reach(q, q[1] * FLOOR) for q in c]).alias("high"),
         F.array(*[q[2] + reach(q, F.lit(FLOOR)) for q in f]).alias("most"),
     )
 
 
-def fertility_rules(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang; more columns are ignored): base counts, measures and verdict.
 
     ``base_failed`` is fewer than 10 words, or more than a fifth of the words in repeated 5-word windows. ``kept`` needs a
-    passed base and every vocabulary inside the bands of the language. Null and empty texts have zero counts, null measures
-    and fail the base. A null language, or one of few texts, takes the bands of the whole corpus. Repeated rows and null ids
-    are rows like any other. Texts of any length are encoded in slices cut between words.
+    passed base and every vocabulary inside the bands of the language. Every text with a token is judged; the bands widen for
+    fewer than ``PLAIN_TOKENS`` tokens. Null and empty texts have zero counts, null measures and fail the base. A null language
+    takes the bands of the whole corpus, and a language of few texts is drawn towards them. Repeated rows and null ids are
+    rows like any other. Texts of any length are encoded in slices cut between words.
     """
     n = len(vocabularies)
     rows = stored(measures(docs, vocabularies), "measures")
-    limits = stored(bands(rows, n, min_tokens), "bands")
+    limits = stored(bands(rows, n), "bands")
     usual = limits.filter("band_lang IS NOT NULL")
     # one row each of the corpus' own bands, as constants
     whole = limits.filter("band_lang IS NULL").first()
     joined = rows.join(small(usual, usual.count()), F.col("lang") == F.col("band_lang"), "left")
-    constant = lambda c: F.coalesce(c, F.array(*[F.lit(x).cast("double") for x in whole[c]]))
+    own = F.coalesce(F.col("n") / (F.col("n") + PRIOR_TEXTS), F.lit(0.0))
+
+    def drawn(c: str, k: int):
+        corpus = F.lit((whole[c] or [None] * n)[k]).cast("double")
+        return own * F.coalesce(F.col(c)[k], F.lit(0.0)) + (1 - own) * corpus
 
     def inside(k: int):
         c = F.col("chars_per_token")[k]
-        fits = c.between(constant("low")[k], constant("high")[k]) & (F.col("fallback_share")[k] <= constant("most")[k])
-        return (F.col("n_tokens")[k] < min_tokens) | (fits & (F.col("entropy")[k] >= ENTROPY))
+        wider = F.greatest(1 / F.sqrt(F.greatest(F.col("n_tokens")[k], F.lit(1))) - 1 / PLAIN_TOKENS**0.5, F.lit(0.0))
+        margin = wider * WIDEN[0] * drawn("mid", k)
+        fits = c.between(drawn("low", k) - margin, drawn("high", k) + margin)
+        return fits & (F.col("fallback_share")[k] <= drawn("most", k) + wider * WIDEN[1]) & (F.col("entropy")[k] >= ENTROPY)
 
     verdict = ~F.col("base_failed")
     for k in range(n):
         verdict = verdict & F.coalesce(inside(k), F.lit(True))
-    return joined.withColumn("kept", verdict).drop("band_lang", "low", "high", "most", "lang")
+    return joined.withColumn("kept", verdict).drop("band_lang", "n", "low", "mid", "high", "most", "lang")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -49,3 +50,19 @@ def test_slices_measure_alike(path, monkeypatch):
     if path.endswith("tiktoken"):
         assert parts == whole
     assert 1 < whole[1] < 8 and 0 <= whole[2] < 0.5 and 0 < whole[3] < 1
+
+
+def test_short_texts_and_small_languages_are_judged(spark):
+    rng = random.Random(3)
+    garbled = " ".join("".join(rng.choice("bqzxkvj0193#QXZ") for _ in range(4)) for _ in range(14))
+    small = [" ".join("".join(rng.choice("\u0430\u0431\u0432\u0433\u0434\u0435\u0438\u043a") for _ in range(4)) for _ in range(20)) for _ in range(40)]
+    docs = documents(spark).select("doc_id", "text", "lang")
+    usual = docs.filter("lang = 'en' AND length(text) > 1000").orderBy("doc_id").first()
+    more = [(-1, garbled, "en"), (-2, " ".join(usual.text.split()[:25]), "en")]
+    more += [(-100 - i, t, "xx") for i, t in enumerate(small)]
+    rows = fertility_rules(docs.union(spark.createDataFrame(more, docs.schema))).collect()
+    got = {r.doc_id: r for r in rows if r.doc_id < 0}
+    assert max(got[-1].n_tokens) < 100 and not got[-1].base_failed and not got[-1].kept
+    assert got[-2].kept
+    judged = [r for i, r in got.items() if i <= -100 and not r.base_failed]
+    assert len(judged) > 20 and sum(r.kept for r in judged) > 0.8 * len(judged)
