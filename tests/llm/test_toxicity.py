@@ -39,3 +39,10 @@ def test_small_cases(spark):
 def test_table_keeps_columns(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     assert drop_toxic(docs, labels).schema == docs.schema
+
+
+def test_words_share_their_seven_letter_beginning():
+    from plumbline.llm.toxicity import _token_features
+
+    shared = set(_token_features("nastiestxa")) & set(_token_features("nastiestyb"))
+    assert len(shared) == 5
