@@ -14,6 +14,7 @@ from plumbline.llm.mixing import mixing_report
 from plumbline.llm.near_dup import near_duplicates
 from plumbline.llm.pitman_yor import score_texts
 from plumbline.llm.secrets import secret_report
+from plumbline.llm.spelling import spelling_variants
 from plumbline.llm.substring_dedup import remove_repeats
 from plumbline.llm.toxicity import toxicity
 from plumbline.llm.warc import page_records
@@ -140,3 +141,30 @@ def op7(spark, d):
 @query("op4_suffix_array")
 def op4(spark, d):
     return remove_repeats(read_table(spark, d, "documents")).drop("kept")
+
+
+OP11 = r"""WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM runs WHERE length(run) >= 7),
+bytes AS (SELECT run, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+            lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)) AS b FROM low),
+crc AS (SELECT run, xor(list_reduce(list_transform(b, lambda x: CAST(x AS BIGINT)), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) AS h
+        FROM bytes, tab),
+noised AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:CAST(h % length(run) AS INTEGER)] || run[CAST(h % length(run) AS INTEGER) + 2:] ELSE run END AS word FROM crc),
+w AS (SELECT word, count(*) AS n FROM noised WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+x AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS m FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND length(a.word) = length(b.word) AND a.word <> b.word
+      UNION SELECT x.word, x.n, w.word, w.n FROM x JOIN w ON x.cut = w.word
+      UNION SELECT w.word, w.n, x.word, x.n FROM x JOIN w ON x.cut = w.word),
+f AS (SELECT word, count(*) AS n_near, max(m) AS m FROM p GROUP BY word),
+b AS (SELECT f.word, n_near, min(near) AS form, f.m AS form_n FROM f JOIN p ON p.word = f.word AND p.m = f.m GROUP BY ALL),
+j AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+      FROM w LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS at, form AS up FROM j UNION ALL SELECT r.word, j.word, j.form FROM r JOIN j ON j.word = r.up)
+SELECT j.*, r.at AS root FROM j JOIN r ON r.word = j.word AND r.up IS NULL"""
+
+
+@query("op11_spelling", OP11)
+def op11(spark, d):
+    return spelling_variants(read_table(spark, d, "documents"))
