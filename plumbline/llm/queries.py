@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.alignment import alignment_report
 from plumbline.llm.common import read_table
 from plumbline.llm.decontaminate import decontamination_report
 from plumbline.llm.fertility import fertility_rules
@@ -13,6 +14,7 @@ from plumbline.llm.line_dedup import line_report
 from plumbline.llm.mixing import mixing_report
 from plumbline.llm.near_dup import near_duplicates
 from plumbline.llm.pitman_yor import score_texts
+from plumbline.llm.quality import quality_scores
 from plumbline.llm.secrets import secret_report
 from plumbline.llm.spelling import spelling_variants
 from plumbline.llm.substring_dedup import remove_repeats
@@ -168,3 +170,13 @@ SELECT j.*, r.at AS root FROM j JOIN r ON r.word = j.word AND r.up IS NULL"""
 @query("op11_spelling", OP11)
 def op11(spark, d):
     return spelling_variants(read_table(spark, d, "documents"))
+
+
+@query("op12_alignment")
+def op12(spark, d):
+    return alignment_report(read_table(spark, d, "documents"))
+
+
+@query("op13_quality")
+def op13(spark, d):
+    return quality_scores(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
