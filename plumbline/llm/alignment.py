@@ -19,6 +19,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,12 @@ class Tokens:
 NOTHING = Tokens.of([], [], [], [])
 
 
+@lru_cache(maxsize=1)
+def vocabularies(byte_file: str, piece_file: str) -> Vocabularies:
+    """Loaded once in a worker process, whatever the number of its tasks and groups."""
+    return Vocabularies(byte_file, piece_file)
+
+
 @dataclass
 class Closed:
     """Whole groups: numbers of tokens and groups, their text (each group with a semicolon in front), and sums of links."""
@@ -268,7 +275,7 @@ def _digest(groups: str) -> str:
 
 def _short(docs: DataFrame, files: tuple[str, str], keep: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(Vocabularies(*files))
+        words = Words(vocabularies(*files))
         for batch in batches:
             sizes, at = batch.column(3).to_pylist(), 0
             while at < len(sizes):
@@ -309,7 +316,7 @@ def _by_range(pieces: DataFrame, files: tuple[str, str]) -> DataFrame:
     """The tokens of pieces, one row for each range of bytes in which tokens of a piece end."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabs = Vocabularies(*files)
+        vocabs = vocabularies(*files)
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
@@ -353,7 +360,7 @@ def _long(docs: DataFrame, files: tuple[str, str], keep: bool) -> DataFrame:
     ranges = _by_range(pieces, files)
 
     def begin(table: pa.Table) -> pa.Table:
-        vocabs = Vocabularies(*files)
+        vocabs = vocabularies(*files)
         rows = sorted(table.to_pylist(), key=lambda r: r["at"])
         tokens = NOTHING
         for r in rows:
@@ -364,7 +371,7 @@ def _long(docs: DataFrame, files: tuple[str, str], keep: bool) -> DataFrame:
     level = stored(ranges.groupBy("row", "k").applyInArrow(begin, _FRAGMENT), "fragments")
 
     def join(table: pa.Table) -> pa.Table:
-        vocabs = Vocabularies(*files)
+        vocabs = vocabularies(*files)
         rows = sorted(table.to_pylist(), key=lambda r: r["k"])
         whole = Fragment()
         for r in rows:
@@ -378,7 +385,7 @@ def _long(docs: DataFrame, files: tuple[str, str], keep: bool) -> DataFrame:
         level = stored(level.groupBy("row", F.floor(F.col("k") / FAN)).applyInArrow(join, _FRAGMENT), "fragments")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabs = Vocabularies(*files)
+        vocabs = vocabularies(*files)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
