@@ -36,6 +36,7 @@ FAN = 4  # neighbours joined at once
 WORDS = 150_000  # words whose fragments a task keeps, and their characters
 WORD_CHARS = 6_000_000
 SLICE = 3_000_000  # characters of short texts worked on at once
+CHUNK = 4_000  # characters of words encoded as one text
 COMMON = 1 << 18  # pairs whose counts go to every task at most
 BITS = 20  # of a token's number
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -82,15 +83,57 @@ class Vocabularies:
         ids = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.comma, self.semicolon, self.bar = (np.array([s + i for i in ids], dtype=object) for s in ",;|")
 
-    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Tokens of a blank and each word in both vocabularies, and whether both give back its bytes."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
-        b = self.b.encode(words, num_threads=1)
-        ok = []
-        for w, x, y in zip(words, a, b):
-            raw = b" " + w.encode()
-            ok.append(b"".join([self.bytes_a[i] for i in x]) == raw and b"".join([self.bytes_b[i] for i in y]) == raw)
-        return a, b, ok
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of a blank and each word, one after the other: (A, its number by word, B, its number by word, back).
+
+        ``back`` tells whether both vocabularies give back the bytes of a word; one that does not has no tokens. Words are
+        encoded many at a time as one text, since no token reaches across the blank between two of them.
+        """
+        texts, chars = [], CHUNK
+        for w in words:
+            plain = bool(w) and not w[0].isspace() and not w[-1].isspace()
+            if chars + len(w) >= CHUNK or not plain:
+                texts.append([])
+                chars = 0 if plain else CHUNK
+            texts[-1].append(w)
+            chars += len(w) + 1
+        found = [([], []), ([], [])]
+        back = np.ones(len(words), dtype=bool)
+        at = 0
+        for group, *ids in zip(texts, *self._ids([" ".join(t) for t in texts])):
+            ends = np.cumsum([len(w.encode()) + 1 for w in group])
+            sides = self._by_word(group, ends, ids)
+            if sides is None:  # some word of the group does not come back
+                sides = [([], []), ([], [])]
+                for i, (w, *own) in enumerate(zip(group, *self._ids(group))):
+                    one = self._by_word([w], np.array([len(w.encode()) + 1]), own)
+                    back[at + i] = one is not None
+                    for side, (tokens, n) in zip(sides, one or [([], [0]), ([], [0])]):
+                        side[0].extend(tokens)
+                        side[1].extend(n)
+            for (tokens, counts), (more, n) in zip(found, sides):
+                tokens.extend(more)
+                counts.extend(n)
+            at += len(group)
+        (a, n_a), (b, n_b) = ((np.array(x, dtype=np.int64), np.array(n, dtype=np.int64)) for x, n in found)
+        return a, n_a, b, n_b, back
+
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        encoded = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [e.ids for e in encoded], self.b.encode(texts, num_threads=1)
+
+    def _by_word(self, words: list[str], ends: np.ndarray, ids: list[list[int]]) -> list[tuple[list[int], list[int]]] | None:
+        """(tokens, number by word) of both sides; None where a side differs from the bytes or has a token across words."""
+        raw, out = (" " + " ".join(words)).encode(), []
+        for tokens, table, size in zip(ids, (self.bytes_a, self.bytes_b), (self.size_a, self.size_b)):
+            if b"".join([table[i] for i in tokens]) != raw:
+                return None
+            upto = np.cumsum(size[tokens])
+            last = np.searchsorted(upto, ends)
+            if not np.array_equal(upto[last], ends):
+                return None
+            out.append((tokens, np.diff(last, prepend=-1).tolist()))
+        return out
 
     def align(self, a: np.ndarray, ea: np.ndarray, b: np.ndarray, eb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of tokens with their end bytes, the last one common: (common ends, texts of the groups, links, ends of the links).
@@ -226,10 +269,8 @@ class Words:
     def learn(self, words: list[str]) -> None:
         if not words:
             return
-        a, b, ok = self.vocabs.encode(words)
         # aligned as one text; a word that does not come back stands as an empty one
-        n_a, n_b = (np.array([len(x) if o else 0 for x, o in zip(t, ok)]) for t in (a, b))
-        a, b = (np.array([i for x, o in zip(t, ok) if o for i in x], dtype=np.int64) for t in (a, b))
+        a, n_a, b, n_b, ok = self.vocabs.encode(words)
         ends = np.cumsum([len(w.encode()) + 1 if o else 0 for w, o in zip(words, ok)])
         groups, text, links, at = self.vocabs.align(a, np.cumsum(self.vocabs.size_a[a]), b, np.cumsum(self.vocabs.size_b[b])) if len(a) else [NOTHING.a] * 4
         to_group, to_link = np.searchsorted(groups, ends, "right"), np.searchsorted(at, ends, "right")
@@ -320,13 +361,12 @@ def _by_range(pieces: DataFrame, files: tuple[str, str]) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                (a,), (b,), (ok,) = vocabs.encode([r["piece"]])
-                a, b = np.array(a if ok else [], dtype=np.int64), np.array(b if ok else [], dtype=np.int64)
+                a, _, b, _, (ok,) = vocabs.encode([r["piece"]])
                 rest = Tokens(a, r["at"] + np.cumsum(vocabs.size_a[a]), b, r["at"] + np.cumsum(vocabs.size_b[b]))
                 ends = np.union1d(rest.ea, rest.eb)
                 for k in np.unique((ends - 1) // RANGE).tolist() or [r["at"] // RANGE]:
                     part, rest = rest.split((k + 1) * RANGE)
-                    rows.append((r["row"], r["doc_id"], k, r["at"], ok, *part.lists()))
+                    rows.append((r["row"], r["doc_id"], k, r["at"], bool(ok), *part.lists()))
             yield _batch(rows, _RANGES)
 
     return pieces.mapInArrow(work, _RANGES)
