@@ -10,8 +10,8 @@ from plumbline.functions.intervals import (
     format_region, parse_region, region_name, split_symbols, target_kind, translate_contig,
 )
 from plumbline.operators.annotation import (
-    alias_map, attach_provenance, catalogue_rank, contig_style, exon_lookup, gene_lookup, gene_lookup_missing,
-    genes_in_region, genes_without_exons, region_overlay, sample_names, suggest_genes,
+    alias_map, attach_provenance, contig_style, exon_lookup, gene_lookup, gene_lookup_missing,
+    genes_in_region, genes_without_exons, region_overlay, sample_names, sort_catalogue, suggest_genes,
 )
 from plumbline.plans.report import resolve_targets
 from plumbline.sources.catalogue import (
@@ -264,15 +264,17 @@ def provenance(spark, d):
 
 @query(
     "sort_catalogue",
-    f"""WITH {genes(0, 6)}, ranked AS (SELECT *, CASE WHEN CAST(substr(contig, 4) AS INT) BETWEEN 1 AND 22
-        THEN CAST(substr(contig, 4) AS BIGINT) WHEN contig = 'chr23' THEN 23 WHEN contig = 'chr24' THEN 24 ELSE 99 END AS r
-      FROM genes)
-    SELECT name AS gene_name, r AS contig_rank FROM ranked""",
+    f"""WITH {genes(0, 6)}, named AS (SELECT name, s, e, CASE contig WHEN 'chr23' THEN 'chrX' WHEN 'chr24' THEN 'chrY' ELSE contig END AS contig
+      FROM genes),
+    ranked AS (SELECT *, CASE WHEN contig = 'chrX' THEN 23 WHEN contig = 'chrY' THEN 24
+        WHEN CAST(substr(contig, 4) AS INT) BETWEEN 1 AND 22 THEN CAST(substr(contig, 4) AS BIGINT) ELSE 99 END AS r FROM named)
+    SELECT name AS gene_name, r AS contig_rank, row_number() OVER (ORDER BY r, s, contig, e, name) AS position FROM ranked""",
 )
 def catalogue(spark, d):
-    """Ranks, with the last nations standing for X and Y."""
+    """Ranks and places, with the last nations standing for X and Y."""
     contig = F.when(F.col("contig") == "chr23", "chrX").when(F.col("contig") == "chr24", "chrY").otherwise(F.col("contig"))
-    return views.genes(spark, d).select("gene_name", catalogue_rank(contig).alias("contig_rank"))
+    table = views.genes(spark, d).withColumn("contig", contig).select("contig", "start", "end", "gene_name")
+    return sort_catalogue(table).select("gene_name", "contig_rank", "position")
 
 
 def _gtf(spark, d):

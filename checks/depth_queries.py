@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import views
@@ -19,6 +21,8 @@ from plumbline.operators.joins import point_interval_join, target_places
 from plumbline.operators.runs import low_blocks, low_totals, merge_targets, zero_runs
 from plumbline.params import CoverageParams, parse_thresholds
 from plumbline.plans.report import attach, covered_segments, target_metrics
+from plumbline.session import checkpoint_dir
+from plumbline.sources.alignments import parse_sam, read_alignments, write_alignments
 from plumbline.sources.depth_files import parse_depth_blocks, parse_depth_lines
 
 BIN, FINE = views.BIN, views.FINE_BIN
@@ -50,7 +54,26 @@ def _histogram(spark, d, targets=None, bin_size=BIN):
     FROM placed""",
 )
 def src_reads(spark, d):
-    return views.reads(spark, d)
+    """Reads as SAM text of three files, with a read group for each sample that other files give to another, read back."""
+    return parse_sam(views.sam_lines(spark, d))
+
+
+@query(
+    "src_reads_of_targets",
+    f"""WITH {READ_SEG.split(', counted')[0]}, spans AS (SELECT sample, l_orderkey || '_' || ln AS read_id, contig, s,
+        s + q + CASE WHEN q >= 4 AND ln % 2 = 0 THEN ln ELSE 0 END AS e FROM placed),
+      asked AS (SELECT 'chr' || n_nationkey AS contig, 200 * i AS a, 200 * i + 40 AS b FROM nation, range(0, 9) t(i) WHERE n_nationkey % 4 = 1)
+    SELECT sample, read_id, contig, CAST(s AS BIGINT) AS start FROM spans
+    WHERE EXISTS (SELECT 1 FROM asked WHERE asked.contig = spans.contig AND s < b AND e > a)""",
+)
+def src_reads_of_targets(spark, d):
+    """A read store written and read for targets only."""
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}/reads"
+    write_alignments(views.reads(spark, d), path)
+    asked = views.table(spark, d, "nation").where("n_nationkey % 4 = 1").select(
+        F.concat(F.lit("chr"), F.col("n_nationkey").cast("string")).alias("contig"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))).alias("i")
+    ).select("contig", (F.col("i") * 200).alias("start"), (F.col("i") * 200 + 40).alias("end"))
+    return read_alignments(spark, path, target_places(asked, FINE)).select("sample", "read_id", "contig", "start")
 
 
 @query(
@@ -318,6 +341,14 @@ def all_metrics(spark, d):
     return rows.drop("contig", "start", "end", "target_id")
 
 
+@query("parse_thresholds", _per_target(metric_columns((0, 4, 15, 40))))
+def custom_thresholds(spark, d):
+    """The metrics of a list of thresholds given as text."""
+    params = CoverageParams(bin_size=BIN, thresholds=parse_thresholds("15, 4,40 ,0,4"))
+    rows = target_metrics(views.segments(spark, d), views.targets(spark, d), views.samples(spark, d), params)
+    return rows.drop("contig", "start", "end", "target_id")
+
+
 @query(
     "target_metrics_shuffled",
     f"""WITH {base(OVERLAPPING, READ_SEG)}

@@ -162,13 +162,16 @@ def _case(column: str, table: dict, other: str) -> str:
         WHEN 'LOW_COVERAGE' THEN format('pct_ge_20 ({{:.2f}}%) < 60.0% → LOW_COVERAGE', pct_ge_20)
         WHEN 'DROP_OUT' THEN CASE WHEN pct_zero > 10 THEN format('pct_zero ({{:.2f}}%) > 10.0% → DROP_OUT', pct_zero)
           ELSE 'Long zero-depth block detected (≥ 16 bp) → DROP_OUT' END
-        ELSE 'other' END AS rationale FROM report""",
+        WHEN 'UNEVEN' THEN 'mean_depth (' || format('{{:.2f}}', mean_depth) || ') > 20 AND CV (' ||
+          CAST(CAST(round(CAST(CAST(stdev_depth / mean_depth AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DECIMAL(20, 2)) AS VARCHAR) || ') > {CUSTOM.uneven_cv} → UNEVEN'
+        ELSE coverage_status END AS rationale FROM report""",
 )
 def texts(spark, d):
-    """Descriptions and rationales; the one with a computed ratio is checked in the tests."""
+    """Descriptions and rationales."""
     report = _report(spark, d).targets
-    why = F.when(F.col("coverage_status") == "UNEVEN", "other").otherwise(rationale(report, CUSTOM))
-    return report.select("sample", "ordinal", status_text(F.col("coverage_status")).alias("description"), why.alias("rationale"))
+    return report.select(
+        "sample", "ordinal", status_text(F.col("coverage_status")).alias("description"), rationale(report, CUSTOM).alias("rationale")
+    )
 
 
 @query(
@@ -307,9 +310,13 @@ def in_exon_order(spark, d):
     return ordered_exons(_gene_report(spark, d).exons).select("sample", "gene_name", "exon_number", "exon_id")
 
 
-@query("input_order", f"WITH {_plain(CUSTOM)} SELECT sample, k AS ordinal, target_id FROM report")
+@query(
+    "input_order",
+    f"""WITH {_plain(CUSTOM)}
+    SELECT sample, k AS ordinal, target_id, row_number() OVER (ORDER BY sample, k) AS position FROM report""",
+)
 def in_input_order(spark, d):
-    return input_order(_report(spark, d).targets).select("sample", "ordinal", "target_id")
+    return input_order(_report(spark, d).targets).select("sample", "ordinal", "target_id", "position")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BIN = 365
@@ -53,6 +53,26 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads as SAM lines ``file_path, line_no, value`` of three files, whose read group ids stand for other samples in each."""
+    rows = reads(spark, sf_dir).withColumn("file", F.pmod(F.xxhash64("read_id"), F.lit(3)))
+    names = samples(spark, sf_dir).select(F.col("sample"), (F.rank().over(Window.orderBy("sample")) - 1).alias("k"))
+    # the group id of a sample moves on by one from file to file
+    group = lambda k, file: F.concat(F.lit("g"), F.pmod(k + file, F.lit(3)).cast("string"))
+    path = F.concat(F.lit("file"), F.col("file").cast("string"))
+    heads = names.withColumn("file", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
+        path.alias("file_path"), (F.col("k") + 2).cast("bigint").alias("line_no"),
+        F.concat_ws("\t", F.lit("@RG"), F.concat(F.lit("ID:"), group(F.col("k"), F.col("file"))), F.lit("PL:X"), F.concat(F.lit("SM:"), F.col("sample"))).alias("value"),
+    )
+    fixed = [F.col("read_id"), F.col("flag").cast("string"), F.col("contig"), (F.col("start") + 1).cast("string"), F.col("mapq").cast("string"), F.col("cigar")]
+    others = [F.lit(x) for x in ("*", "0", "0", "*", "*", "NM:i:0")]
+    lines = rows.join(F.broadcast(names), "sample").select(
+        path.alias("file_path"), F.lit(9).cast("bigint").alias("line_no"),
+        F.concat_ws("\t", *fixed, *others, F.concat(F.lit("RG:Z:"), group(F.col("k"), F.col("file")))).alias("value"),
+    )
+    return heads.unionByName(lines)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sample")).distinct()
 

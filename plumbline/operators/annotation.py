@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.intervals import length_bp, overlaps, strip
 from plumbline.operators.joins import BROADCAST_ROWS, fits_broadcast, interval_set, keyed_join, span_join
+from plumbline.operators.order import numbered
+from plumbline.session import cut_lineage
 
 GENE_COLUMNS = ["contig", "start", "end", "gene_name", "gene_id", "strand", "gene_type"]
 EXON_COLUMNS = ["contig", "start", "end", "exon_id", "gene_name", "exon_number", "transcript_id"]
@@ -41,57 +43,61 @@ def alias_map(genes: DataFrame, order: str) -> DataFrame:
     return genes.groupBy(F.lower("gene_name").alias("alias")).agg(F.max_by("gene_name", order).alias("gene_name"))
 
 
-def unique_by_name(genes: DataFrame, order: str) -> DataFrame:
-    """One record per upper-cased name, the last by ``order``; combines on the map side however often a name repeats."""
-    record = F.struct(*GENE_COLUMNS)
-    return (
-        genes.groupBy(F.upper("gene_name").alias("name_key"))
-        .agg(F.max_by(record, order).alias("r"))
-        .select("name_key", "r.*")
-    )
-
-
-def gene_lookup(symbols: DataFrame, genes: DataFrame, aliases: DataFrame, order: str) -> DataFrame:
+def gene_lookup(
+    symbols: DataFrame, genes: DataFrame, aliases: DataFrame, order: str, builtins: DataFrame | None = None
+) -> DataFrame:
     """Resolve ``ordinal, symbol`` rows, ignoring case: by the name itself, else through its alias.
 
-    ``aliases`` holds ``alias`` (lower case) and ``gene_name``. Unknown symbols keep a row with null gene columns.
+    ``aliases`` holds ``alias`` (lower case) and ``gene_name``. Symbols that the catalogue lacks are looked up in ``builtins``
+    in the same way. Unknown symbols keep a row with null gene columns.
     """
-    catalogue = unique_by_name(genes, order)
+    record = F.struct(*GENE_COLUMNS)
+    known = genes.select(*GENE_COLUMNS, order, F.lit(0).alias("source"))
+    if builtins is not None:
+        known = known.unionByName(builtins.select(*GENE_COLUMNS, order, F.lit(1).alias("source")))
+    of = lambda source: F.max_by(F.when(F.col("source") == source, record), F.when(F.col("source") == source, F.col(order)))
+    catalogue = known.groupBy(F.upper("gene_name").alias("name_key")).agg(F.struct(of(0).alias("listed"), of(1).alias("built_in")).alias("r"))
     names = symbols.withColumn("name_key", F.upper(strip(F.col("symbol")))).withColumn("alias", F.lower("name_key"))
     canonical = aliases.groupBy("alias").agg(F.upper(F.max("gene_name")).alias("canonical_key"))
-    direct = catalogue.select("name_key", F.struct(*GENE_COLUMNS).alias("own"))
-    via = catalogue.select(F.col("name_key").alias("canonical_key"), F.struct(*GENE_COLUMNS).alias("via"))
-    small = fits_broadcast(genes.select("gene_name").unionByName(aliases.select("gene_name")))
+    direct = catalogue.select("name_key", F.col("r").alias("own"))
+    via = catalogue.select(F.col("name_key").alias("canonical_key"), F.col("r").alias("via"))
+    small = fits_broadcast(known.select("gene_name").unionByName(aliases.select("gene_name")))
     found = keyed_join(names, canonical, ["alias"], "left", small)
     found = keyed_join(found, direct, ["name_key"], "left", small)
     found = keyed_join(found, via, ["canonical_key"], "left", small)
-    return found.withColumn("r", F.coalesce("own", "via")).select("ordinal", "symbol", "r.*")
+    either = F.coalesce("own.listed", "via.listed", "own.built_in", "via.built_in")
+    return found.withColumn("r", either).select("ordinal", "symbol", "r.*")
 
 
-def gene_lookup_missing(symbols: DataFrame, genes: DataFrame, aliases: DataFrame, order: str) -> DataFrame:
+def gene_lookup_missing(
+    symbols: DataFrame, genes: DataFrame, aliases: DataFrame, order: str, builtins: DataFrame | None = None
+) -> DataFrame:
     """Symbols that resolve to no gene."""
-    return gene_lookup(symbols, genes, aliases, order).where(F.col("gene_name").isNull()).select("ordinal", "symbol")
+    return gene_lookup(symbols, genes, aliases, order, builtins).where(F.col("gene_name").isNull()).select("ordinal", "symbol")
 
 
-def suggest_genes(
-    unknown: DataFrame, names: DataFrame, aliases: DataFrame, n: int = 5, cutoff: float = 0.6
-) -> DataFrame:
-    """Up to ``n`` close catalogue names per unknown symbol, best first: ``symbol, rank, suggestion, similarity``.
+def deletions(text: str) -> Column:
+    """The spellings of a column with at most two letters deleted, once each. Two texts at up to two edits share one."""
+    without = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
+    once = without(F.col(text))
+    return F.array_distinct(F.concat(F.array(F.col(text)), once, F.flatten(F.transform(once, without))))
 
-    Similarity is ``1 - levenshtein / longer length``. Pairs come from an exact filter: cut a name into one piece more
-    than the edits allowed, and one piece must occur unchanged in the symbol, shifted by at most that many places.
-    Aliases count as names and are shown as the gene they stand for.
+
+def _by_deletions(asked: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+    """Pairs of at most two edits: ``asked, asked_len, name, len, shown, edits``, from the deletions they share."""
+    keys = known.select("name", "len", "shown", F.explode(deletions("name")).alias("key"))
+    wanted = asked.select("asked", "asked_len", F.explode(deletions("asked")).alias("key"))
+    met = keyed_join(wanted, keys, ["key"], small=small or None).where(F.abs(F.col("len") - F.col("asked_len")) <= 2)
+    pairs = met.select("asked", "asked_len", "name", "len", "shown").distinct()
+    return pairs.withColumn("edits", F.levenshtein("asked", "name", 2)).where(F.col("edits") >= 0)
+
+
+def _by_pieces(asked: DataFrame, known: DataFrame, cutoff: float, small: bool) -> DataFrame:
+    """Pairs that may reach ``cutoff``, from an exact filter, with their ``edits``.
+
+    Cut a name into one piece more than the edits allowed, and one piece must occur unchanged in the symbol, shifted by at
+    most that many places.
     """
-    known = (
-        names.select(F.upper("gene_name").alias("name"), F.col("gene_name").alias("shown"))
-        .unionByName(aliases.select(F.upper("alias").alias("name"), F.col("gene_name").alias("shown")))
-        .groupBy("name").agg(F.min("shown").alias("shown"))
-        .withColumn("len", F.length("name").cast("int"))
-    )
-    asked = (
-        unknown.select(F.upper(strip(F.col("symbol"))).alias("asked")).distinct()
-        .withColumn("asked_len", F.length("asked").cast("int")).where(F.col("asked_len") > 0)
-    )
     share = F.lit(1.0 - cutoff)
     # small slack keeps floating point from losing an edit at the exact cutoff
     edits = F.floor(F.greatest("len", "asked_len") * share + 1e-9).cast("int")
@@ -102,13 +108,13 @@ def suggest_genes(
         return F.explode(F.sequence(F.greatest(lo, F.lit(1)), hi)).alias(other)
 
     pieces = (
-        known.select("name", "len", partner("len", "asked_len"))
+        known.select("name", "len", "shown", partner("len", "asked_len"))
         .withColumn("k", edits)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
         .withColumn("from", F.floor(F.col("i") * F.col("len") / (F.col("k") + 1)).cast("int"))
         .withColumn("to", F.floor((F.col("i") + 1) * F.col("len") / (F.col("k") + 1)).cast("int"))
         .withColumn("piece", F.substr("name", F.col("from") + 1, F.col("to") - F.col("from")))
-        .select("name", "len", "asked_len", "i", "piece")
+        .select("name", "len", "shown", "asked_len", "i", "piece")
     )
     windows = (
         asked.select("asked", "asked_len", partner("asked_len", "len"))
@@ -123,24 +129,51 @@ def suggest_genes(
         .select("asked", "asked_len", "len", "i", F.substr("asked", F.col("at") + 1, F.col("size")).alias("piece"))
         .distinct()
     )
-    # a name or alias of length n makes at most about n * n pieces
+    pairs = keyed_join(windows, pieces, ["len", "asked_len", "i", "piece"], small=small or None)
+    return pairs.select("asked", "asked_len", "name", "len", "shown").distinct().withColumn("edits", F.levenshtein("asked", "name"))
+
+
+def suggest_genes(
+    unknown: DataFrame, names: DataFrame, aliases: DataFrame, n: int = 5, cutoff: float = 0.6
+) -> DataFrame:
+    """Up to ``n`` close catalogue names per unknown symbol, best first: ``symbol, rank, suggestion, similarity``.
+
+    Similarity is ``1 - levenshtein / longer length``. Names at up to two edits are found by the spellings that both have
+    with letters deleted, which names of one family share only where they are alike in all other letters. A symbol whose
+    ``n`` best ones are beyond what three edits can reach is settled; only for the others a wider filter is used.
+    Aliases count as names and are shown as the gene they stand for.
+    """
+    known = (
+        names.select(F.upper("gene_name").alias("name"), F.col("gene_name").alias("shown"))
+        .unionByName(aliases.select(F.upper("alias").alias("name"), F.col("gene_name").alias("shown")))
+        .groupBy("name").agg(F.min("shown").alias("shown"))
+        .withColumn("len", F.length("name").cast("int"))
+    )
+    asked = (
+        unknown.select(F.upper(strip(F.col("symbol"))).alias("asked")).distinct()
+        .withColumn("asked_len", F.length("asked").cast("int")).where(F.col("asked_len") > 0)
+    )
+    # a name or alias of length n makes at most about n * n deletions or pieces
     spelled = names.select(F.col("gene_name").alias("name")).unionByName(aliases.select(F.col("alias").alias("name")))
     size = spelled.agg(F.coalesce(F.sum(F.length("name") * F.length("name")), F.lit(0))).first()[0]
     small = size <= BROADCAST_ROWS
-    similarity = 1.0 - F.levenshtein("asked", "name") / F.greatest("len", "asked_len")
-    close = (
-        keyed_join(windows, pieces, ["len", "asked_len", "i", "piece"], small=small or None)
-        .select("asked", "name", "len", "asked_len").distinct()
-        .withColumn("similarity", similarity)
-        .where(F.col("similarity") >= cutoff - 1e-9)
-    )
-    best = keyed_join(close, known.select("name", "shown"), ["name"], small=small).groupBy("asked", "shown").agg(
-        F.max("similarity").alias("similarity")
-    )
-    ranked = best.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("similarity"), "shown"))
-    ).where(F.col("rank") <= n)
-    return ranked.select(
+    similarity = 1.0 - F.col("edits") / F.greatest("len", "asked_len")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        close = pairs.withColumn("similarity", similarity).where(F.col("similarity") >= cutoff - 1e-9)
+        shown = close.groupBy("asked", "asked_len", "shown").agg(F.max("similarity").alias("similarity"))
+        rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("similarity"), "shown"))
+        return shown.withColumn("rank", rank).where(F.col("rank") <= n)
+
+    near = cut_lineage(best(_by_deletions(asked, known, small)))
+    # three edits reach at most the similarity of a name with three more letters
+    reach = F.col("asked_len") / (F.col("asked_len") + 3)
+    settled = near.where((F.col("rank") == n) & (F.col("similarity") > reach + 1e-9)).select("asked")
+    short = asked.where(reach < cutoff - 1e-9).select("asked")
+    done = settled.unionByName(short).distinct()
+    others = asked.join(done, "asked", "left_anti")
+    found = near.join(done, "asked", "left_semi").unionByName(best(_by_pieces(others, known, cutoff, small)))
+    return found.select(
         F.col("asked").alias("symbol"), F.col("rank").cast("bigint").alias("rank"), F.col("shown").alias("suggestion"),
         F.round(F.col("similarity"), 6).alias("similarity"),
     )
@@ -239,8 +272,13 @@ def catalogue_rank(contig: Column) -> Column:
 
 
 def sort_catalogue(table: DataFrame) -> DataFrame:
-    """Genes or exons in catalogue order."""
-    return table.withColumn("contig_rank", catalogue_rank(F.col("contig"))).orderBy("contig_rank", "start")
+    """Genes or exons in catalogue order, with their ``contig_rank`` and ``position`` from 1.
+
+    Rows of one rank and start are ordered by contig, end and the rest of their columns.
+    """
+    ranked = table.withColumn("contig_rank", catalogue_rank(F.col("contig")))
+    rest = [c for c in table.columns if c not in ("contig", "start", "end")]
+    return numbered(ranked, ["contig_rank", "start", "contig", "end", *rest])
 
 
 def attach_provenance(report: DataFrame, **values: str) -> DataFrame:
@@ -251,5 +289,5 @@ def attach_provenance(report: DataFrame, **values: str) -> DataFrame:
 __all__ = [
     "EXON_COLUMNS", "GENE_COLUMNS", "alias_map", "attach_provenance", "contig_style", "exon_lookup", "gene_lookup",
     "gene_lookup_missing", "genes_in_region", "genes_without_exons", "length_bp", "region_overlay", "sample_names",
-    "sort_catalogue", "suggest_genes", "unique_by_name",
+    "sort_catalogue", "suggest_genes",
 ]

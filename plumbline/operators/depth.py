@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.intervals import split_by_bin
-from plumbline.operators.joins import IntervalSet, interval_join, prune_to_intervals
+from plumbline.operators.joins import IntervalSet, fits_broadcast, interval_join, keyed_join, prune_to_intervals
 
 # Fixed value: flag bits of reads that do not count (unmapped, secondary, QC fail, duplicate).
 EXCLUDED_FLAGS = 0x704
@@ -83,11 +85,17 @@ def depth_blocks(
     bin_size: int,
     keys: tuple[str, ...] = ("sample", "contig"),
     targets: IntervalSet | None = None,
+    samples: DataFrame | SampleSet | None = None,
 ) -> DataFrame:
-    """Run-length depth of segments; with ``targets``, bins that no target touches are dropped before the shuffle."""
+    """Run-length depth of segments; with ``targets`` and ``samples``, only in bins that a target touches and of those samples.
+
+    What is not asked for is dropped before the first shuffle.
+    """
     pieces = split_by_bin(segments.select(*keys, "start", "end"), bin_size)
     if targets is not None:
         pieces = prune_to_intervals(pieces, targets)
+    if samples is not None:
+        pieces = of_samples(pieces, samples)
     return depth_from_deltas(sum_deltas(delta_events(pieces, keys), keys), keys)
 
 
@@ -96,19 +104,32 @@ def bin_blocks(blocks: DataFrame, bin_size: int) -> DataFrame:
     return split_by_bin(blocks.where(F.col("depth") != 0), bin_size)
 
 
-def sample_grid(intervals: DataFrame, samples: DataFrame) -> DataFrame:
-    """Repeat each interval for every sample: each sample reports each target.
+@dataclass(frozen=True)
+class SampleSet:
+    """The names of the samples to report (one per sequencing run), distinct, and whether they fit a broadcast."""
 
-    The sample names (one per sequencing run, header metadata) arrive as one array from a scalar subquery.
-    """
-    names = samples.agg(F.sort_array(F.collect_set("sample")).alias("names")).scalar()
-    return intervals.withColumn("_names", names).withColumn("sample", F.explode("_names")).drop("_names")
+    names: DataFrame
+    small: bool
+
+
+def sample_set(samples: DataFrame | SampleSet) -> SampleSet:
+    """Count the samples of a manifest (``sample``) once; rows without a name are left out."""
+    if isinstance(samples, SampleSet):
+        return samples
+    names = samples.select("sample").where(F.col("sample").isNotNull()).distinct()
+    return SampleSet(names, fits_broadcast(names))
+
+
+def sample_grid(intervals: DataFrame, samples: DataFrame | SampleSet) -> DataFrame:
+    """Repeat each interval for every sample: each sample reports each target, so this product is the result's size."""
+    known = sample_set(samples)
+    return intervals.join(F.broadcast(known.names) if known.small else known.names, how="cross")
 
 
-def of_samples(rows: DataFrame, samples: DataFrame) -> DataFrame:
-    """Rows of the samples asked for. Depth of other samples, or of none (null), belongs to no row of a report."""
-    names = samples.agg(F.sort_array(F.collect_set("sample")).alias("names")).scalar()
-    return rows.withColumn("_names", names).where(F.array_contains("_names", F.col("sample"))).drop("_names")
+def of_samples(rows: DataFrame, samples: DataFrame | SampleSet) -> DataFrame:
+    """Rows of the samples asked for, by a semi-join. Depth of other samples, or of none (null), belongs to no row of a report."""
+    known = sample_set(samples)
+    return keyed_join(rows, known.names, ["sample"], "left_semi", known.small)
 
 
 def clip_to_intervals(blocks: DataFrame, targets: IntervalSet) -> DataFrame:
@@ -116,12 +137,13 @@ def clip_to_intervals(blocks: DataFrame, targets: IntervalSet) -> DataFrame:
     return interval_join(blocks, targets).drop("lo", "hi")
 
 
-def per_base_depth(blocks: DataFrame, targets: IntervalSet, samples: DataFrame) -> DataFrame:
+def per_base_depth(blocks: DataFrame, targets: IntervalSet, samples: DataFrame | SampleSet) -> DataFrame:
     """Depth at every position of the intervals, zeros included: ``sample, contig, t_start, t_end, pos, depth``.
 
     One row per position is the output itself; guard large target sets with the BED limits first.
     """
-    clips = interval_join(blocks, targets)
+    samples = sample_set(samples)
+    clips = interval_join(of_samples(blocks, samples), targets)
     keys = ["sample", "contig", "t_start", "t_end", "bin"]
     spans = sample_grid(targets.bins(), samples)
     opened = clips.select(*keys, "lo", "hi", "start", "end", "depth").unionByName(
@@ -134,7 +156,7 @@ def per_base_depth(blocks: DataFrame, targets: IntervalSet, samples: DataFrame)
         F.struct(F.col("start"), F.col("end"), F.col("depth")),
     )
     return (
-        of_samples(opened.withColumn("_gap", gap_from), samples)
+        opened.withColumn("_gap", gap_from)
         .select(*keys, F.inline(F.filter(runs, lambda r: r["start"] < r["end"])))
         .select(
             "sample", "contig", "t_start", "t_end",
@@ -148,6 +170,7 @@ def _zero(name: str) -> Column:
 
 
 __all__ = [
-    "bin_blocks", "cigar_segments", "clip_to_intervals", "coverage_deltas", "delta_events", "depth_blocks",
-    "depth_from_deltas", "of_samples", "per_base_depth", "read_filter", "sample_grid", "sum_deltas",
+    "SampleSet", "bin_blocks", "cigar_segments", "clip_to_intervals", "coverage_deltas", "delta_events", "depth_blocks",
+    "depth_from_deltas", "of_samples", "per_base_depth", "read_filter", "sample_grid", "sample_set",
+    "sum_deltas",
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import double_round, population_stdev, ratio_round
-from plumbline.operators.depth import clip_to_intervals, of_samples, sample_grid
+from plumbline.operators.depth import SampleSet, clip_to_intervals, of_samples, sample_grid, sample_set
 from plumbline.operators.joins import IntervalSet, keyed_join
 from plumbline.params import CoverageParams
 
@@ -28,13 +28,11 @@ def sum_histogram(rows: DataFrame, keys: tuple[str, ...] = INTERVAL_KEYS) -> Dat
     return rows.groupBy(*keys, "depth").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
 
 
-def depth_histogram(blocks: DataFrame, targets: IntervalSet, samples: DataFrame) -> DataFrame:
-    """Number of positions at each depth, per interval and each of ``samples``; blocks of other samples are left out.
-
-    They are left out after the sum, where the rows are few.
-    """
-    rows = zero_filled(clip_to_intervals(blocks, targets), sample_grid(targets.intervals, samples))
-    return of_samples(sum_histogram(rows), samples)
+def depth_histogram(blocks: DataFrame, targets: IntervalSet, samples: DataFrame | SampleSet) -> DataFrame:
+    """Number of positions at each depth, per interval and each of ``samples``; blocks of other samples are left out."""
+    samples = sample_set(samples)
+    clips = clip_to_intervals(of_samples(blocks, samples), targets)
+    return sum_histogram(zero_filled(clips, sample_grid(targets.intervals, samples)))
 
 
 def rollup_histogram(histogram: DataFrame, members: DataFrame, parent: str, small: bool | None = None) -> DataFrame:

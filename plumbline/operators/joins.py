@@ -13,6 +13,8 @@ from plumbline.functions.intervals import bin_of, bins_of, overlaps, split_by_bi
 BROADCAST_ROWS = 250_000
 # Copies of the lookup side in the shuffled keyed join; a hot key is spread over this many tasks.
 SALTS = 32
+# Widths of interval cells; the widest is 16 ** (LEVELS - 2) bins.
+LEVELS = 7
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -44,15 +46,17 @@ class IntervalSet:
     """Target intervals ``contig, t_start, t_end`` with the counted number of their join rows.
 
     The count decides once how every join with them runs: broadcast up to the limit, sort-merge (which AQE can split
-    where a bin is skewed) beyond it. Joins use two widths of cells: whole bins for long intervals and sixteenths for
-    short ones, so that a bin crowded with short intervals is not compared with all of them.
+    where a cell is skewed) beyond it. Cells come in widths of a sixteenth of a bin, a bin, and powers of 16 bins. An
+    interval is stored on one level only, the finest on which it is at most two cells long, so it makes at most three
+    rows however long it is, and no cell is crowded with intervals much shorter than itself. ``levels`` are those in
+    use; ``touched`` are upper bounds of the cells touched at widths of 1, 16, 256, ... bins.
     """
 
     intervals: DataFrame
     bin_size: int
     rows: int
-    n_short: int
-    n_long: int
+    levels: tuple[int, ...]
+    touched: tuple[int, ...]
     limit: int
 
     @property
@@ -66,47 +70,51 @@ class IntervalSet:
 
     def cells(self) -> DataFrame:
         """The intervals spread over their cells, as a join side hinted by the counted size."""
-        fine = _fine(self.bin_size)
-        narrow = _sequence("t_start", "t_end", fine)
-        wide = _sequence("t_start", "t_end", self.bin_size)
-        spread = (
-            f"IF({_is_short('t_start', 't_end', self.bin_size)}, transform({narrow}, c -> {_cell(1, 'c')}), "
-            f"transform({wide}, c -> {_cell(0, 'c')}))"
-        )
-        cells = self.intervals.where("t_start < t_end").selectExpr("*", f"inline({spread})")
-        return F.broadcast(cells) if self.small else cells.hint("merge")
+        return self.hinted(_spread(self.intervals.where("t_start < t_end"), "t_start", "t_end", self.bin_size))
+
+    def hinted(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of the intervals, at most three for each, as a join side."""
+        return F.broadcast(rows) if self.small else rows.hint("merge")
 
     def to_cells(self, pieces: DataFrame) -> DataFrame:
-        """Pieces (``bin, start, end``) cut to the cell widths in use, each with ``level`` and ``cell``."""
-        fine = _fine(self.bin_size)
+        """Pieces (``bin, start, end``) with ``level`` and ``cell`` of each level in use, cut to the finest one's cells."""
+        wide = [_cell(k, bin_of("bin", 16 ** (k - 1))) for k in self.levels if k]
+        if 0 not in self.levels:
+            return pieces.selectExpr("*", f"inline(array({', '.join(wide)}))" if wide else "inline(array(named_struct('level', 1, 'cell', bin)))")
+        fine = width_of(0, self.bin_size)
         first, last = bin_of("start", fine), bin_of("`end` - 1", fine)
-        wide, narrow = _cell(0, "bin"), _cell(1, first)
-        many = f"transform(sequence({first}, {last}), c -> {_cell(1, 'c')})"
-        if not self.n_short:
-            return pieces.selectExpr("*", "0 AS level", "bin AS cell")
-        if self.n_long:
-            one, many = f"array({wide}, {narrow})", f"concat(array({wide}), {many})"
-        else:
-            one = f"array({narrow})"
+        one = f"array({', '.join([*wide, _cell(0, first)])})"
+        many = f"transform(sequence({first}, {last}), c -> {_cell(0, 'c')})"
+        many = f"concat(array({', '.join(wide)}), {many})" if wide else many
         spread = pieces.selectExpr("*", f"inline(IF({first} = {last}, {one}, {many}))")
         return spread.withColumns(
             {
-                "start": F.expr(f"IF(level = 1, greatest(start, cell * {fine}L), start)"),
-                "end": F.expr(f"IF(level = 1, least(`end`, (cell + 1) * {fine}L), `end`)"),
+                "start": F.expr(f"IF(level = 0, greatest(start, cell * {fine}L), start)"),
+                "end": F.expr(f"IF(level = 0, least(`end`, (cell + 1) * {fine}L), `end`)"),
             }
         )
 
 
-def _fine(bin_size: int) -> int:
-    return max(bin_size // 16, 1)
+def width_of(level: int, bin_size: int) -> int:
+    """Positions of a cell: a sixteenth of a bin on level 0, a bin on level 1, then 16 times the last."""
+    return bin_size * 16 ** (level - 1) if level else max(bin_size // 16, 1)
 
 
-def _is_short(start: str, end: str, bin_size: int) -> str:
-    return f"{end} - {start} <= {2 * _fine(bin_size)}L"
+def level_of(start: str, end: str, bin_size: int) -> str:
+    """SQL of the finest level on which an interval is at most two cells long."""
+    steps = " ".join(f"WHEN {end} - {start} <= {2 * width_of(k, bin_size)}L THEN {k}" for k in range(LEVELS - 1))
+    return f"(CASE {steps} ELSE {LEVELS - 1} END)"
 
 
-def _sequence(start: str, end: str, size: int) -> str:
-    return f"sequence({bin_of(start, size)}, {bin_of(f'{end} - 1', size)})"
+def _spread(intervals: DataFrame, start: str, end: str, bin_size: int, above: tuple[int, ...] = ()) -> DataFrame:
+    """Add ``level`` and ``cell``: one row per cell of the interval's own level, and of those of ``above`` that are higher."""
+    width = "element_at(array(" + ", ".join(f"{width_of(k, bin_size)}L" for k in range(LEVELS)) + "), level + 1)"
+    levelled = intervals.withColumn("level", F.expr(level_of(start, end, bin_size)))
+    if above:
+        higher = F.filter(F.array(*[F.lit(k) for k in above]), lambda k: k > F.col("level"))
+        levelled = levelled.withColumn("level", F.explode(F.array_append(higher, F.col("level"))))
+    first, last = (f"(({pos}) - pmod({pos}, {width})) div {width}" for pos in (start, f"{end} - 1"))
+    return levelled.selectExpr("*", f"explode(sequence({first}, {last})) AS cell")
 
 
 def _cell(level: int, cell: str) -> str:
@@ -134,15 +142,15 @@ def target_places(
 def _counted(
     intervals: DataFrame, counted: DataFrame, start: str, end: str, bin_size: int, limit: int | None
 ) -> IntervalSet:
-    short = _is_short(start, end, bin_size)
-    touched = f"({bin_of(f'{end} - 1', bin_size)} - {bin_of(start, bin_size)} + 1)"
-    # a short interval touches at most three fine cells
-    row = counted.where(f"{start} < {end}").selectExpr(
-        f"coalesce(sum(IF({short}, greatest(3L, {touched}), {touched})), 0L) AS n_rows",
-        f"count(IF({short}, 1, NULL)) AS n_short", f"count(IF({short}, NULL, 1)) AS n_long",
-    ).first()
+    usable = counted.where(f"{start} < {end}").withColumn("_level", F.expr(level_of(start, end, bin_size)))
+    widths = [bin_size * 16**k for k in range(LEVELS - 1)]
+    touched = [f"coalesce(sum({bin_of(f'{end} - 1', w)} - {bin_of(start, w)} + 1), 0L) AS w{i}" for i, w in enumerate(widths)]
+    row = usable.selectExpr("count(*) AS n", *[f"count(IF(_level = {k}, 1, NULL)) AS n{k}" for k in range(LEVELS)], *touched).first()
+    # an interval of two cells' length touches at most three; the widest level has no bound but that of all positions
+    rows = 3 * (row.n - row[f"n{LEVELS - 1}"]) + (row[f"w{LEVELS - 2}"] if row[f"n{LEVELS - 1}"] else 0)
+    levels = tuple(k for k in range(LEVELS) if row[f"n{k}"])
     limit = BROADCAST_ROWS if limit is None else limit
-    return IntervalSet(intervals, bin_size, row.n_rows, row.n_short, row.n_long, limit)
+    return IntervalSet(intervals, bin_size, rows, levels, tuple(row[f"w{i}"] for i in range(len(widths))), limit)
 
 
 def target_rejects(targets: DataFrame) -> DataFrame:
@@ -187,36 +195,40 @@ def point_interval_join(points: DataFrame, targets: IntervalSet) -> DataFrame:
 def span_join(left: DataFrame, targets: IntervalSet) -> DataFrame:
     """Overlap join of whole intervals, each pair once: ``contig, start, end, ...`` with the target intervals.
 
-    Both are spread over bins and a pair is kept only in the first bin they share, so no distinct is needed.
+    Both are spread over the cells of their own level and of those above it, and meet on the higher of their levels, where
+    both are short: some dozen rows for an interval of any length. A pair is kept only in the first cell they share, so
+    no distinct is needed.
     """
     size = targets.bin_size
-    spread = left.where("start < `end`").withColumn("bin", bins_of("start", "`end`", size))
-    bins = targets.bins().drop("lo", "hi")
-    side = F.broadcast(bins) if targets.small else bins.hint("merge")
-    first_shared = f"greatest({bin_of('start', size)}, {bin_of('t_start', size)})"
+    width = "element_at(array(" + ", ".join(f"{width_of(k, size)}L" for k in range(LEVELS)) + "), level + 1)"
+    spread = _spread(left.where("start < `end`"), "start", "`end`", size, targets.levels)
+    other = targets.hinted(_spread(targets.intervals.where("t_start < t_end"), "t_start", "t_end", size, tuple(range(LEVELS))))
+    first = "greatest(start, t_start)"
     return (
-        spread.join(side, ["contig", "bin"])
+        spread.join(other, ["contig", "level", "cell"])
         .where(overlaps(F.col("start"), F.col("end"), F.col("t_start"), F.col("t_end")))
-        .where(f"bin = {first_shared}")
-        .drop("bin")
+        .where(f"level = greatest({level_of('start', '`end`', size)}, {level_of('t_start', 't_end', size)})")
+        .where(f"cell = ({first} - pmod({first}, {width})) div {width}")
+        .drop("level", "cell")
     )
 
 
 def prune_to_intervals(pieces: DataFrame, targets: IntervalSet) -> DataFrame:
     """Drop pieces in bins no interval touches, before they reach a shuffle.
 
-    The touched bins are broadcast. Where those of many targets are more than the limit, wider ones are, counted first.
+    The touched bins are broadcast, or stretches of 16, 256, ... bins where those of long or many targets are more than
+    the limit.
     """
-    bins = targets.bins().select("contig", "bin").distinct()
-    width = 1
-    if not targets.small:
-        widths = [16**k for k in range(6)]
-        counts = bins.agg(*[F.count_distinct("contig", F.expr(f"bin DIV {w}")).alias(f"w{w}") for w in widths]).first()
-        width = next((w for w in widths if counts[f"w{w}"] <= targets.limit), None)
-        if width is None:  # more contigs than the limit
+    power = next((k for k, n in enumerate(targets.touched) if n <= targets.limit), None)
+    if power is None:  # many targets; where they crowd, their distinct cells are few
+        bins = targets.bins().select("contig", "bin").distinct()
+        counts = bins.agg(*[F.count_distinct("contig", F.expr(bin_of("bin", 16**k))).alias(f"w{k}") for k in range(LEVELS - 1)]).first()
+        power = next((k for k in range(LEVELS - 1) if counts[f"w{k}"] <= targets.limit), None)
+        if power is None:  # more contigs than the limit
             return pieces
-    place = F.expr(f"bin DIV {width}").alias("_wide")
-    touched = bins.select("contig", place).distinct()
+    width = targets.bin_size * 16**power
+    place = F.expr(bin_of("bin", 16**power)).alias("_wide")
+    touched = targets.intervals.where("t_start < t_end").select("contig", bins_of("t_start", "t_end", width).alias("_wide")).distinct()
     return pieces.select("*", place).join(F.broadcast(touched), ["contig", "_wide"], "left_semi").drop("_wide")
 
 

@@ -1,7 +1,8 @@
 """Maximal runs of low depth, and merging of overlapping intervals.
 
-Runs are found bin by bin, so a window group never exceeds one bin of one sample and target. Runs that touch an inner
-bin edge are then stitched together; there are at most two of those per bin.
+Runs are found bin by bin, so a window group never exceeds one bin of one sample and target, or one row for each bin of
+a sample and target that has blocks. Merged targets that touch an inner bin edge are stitched together; there are at most
+two of those per bin.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.depth import depth_blocks, of_samples, sample_grid
+from plumbline.operators.depth import SampleSet, depth_blocks, of_samples, sample_grid, sample_set
 from plumbline.operators.joins import IntervalSet, interval_join
 
 TARGET_KEYS = ("sample", "contig", "t_start", "t_end")
@@ -49,52 +50,63 @@ def stitch_runs(runs: DataFrame, keys: tuple[str, ...], at_edge, sums: tuple[str
 
 
 def low_blocks(
-    blocks: DataFrame, targets: IntervalSet, samples: DataFrame, threshold: int, min_len: int
+    blocks: DataFrame, targets: IntervalSet, samples: DataFrame | SampleSet, threshold: int, min_len: int
 ) -> DataFrame:
     """Maximal runs of depth < threshold and length >= min_len inside each interval, with their depth sum.
 
     A low run is what lies between two covered stretches (depth >= threshold) or a covered stretch and the edge, so
-    uncovered positions need no rows of their own.
+    uncovered positions need no rows of their own. Bins with blocks become one row each: the low runs within it, where
+    its covered stretches begin and end, and the depth sums around them. A run across bins, touched or not, is the gap
+    between two successive rows of a target, and one closing row per sample and target stands at its end.
     """
-    keys = [*TARGET_KEYS, "bin", "lo", "hi"]
+    samples = sample_set(samples)
     ok = F.col("depth") >= threshold
-    hits = interval_join(collapse_blocks(blocks, threshold), targets)
+    hits = interval_join(collapse_blocks(of_samples(blocks, samples), threshold), targets)
     parts = hits.select(
-        *keys, "start", "end", ok.alias("ok"),
+        *TARGET_KEYS, "bin", "start", "end", ok.alias("ok"),
         F.when(ok, 0).otherwise(F.col("depth") * (F.col("end") - F.col("start"))).alias("low_sum"),
     )
-    closers = sample_grid(targets.bins(), samples).select(
-        *keys, F.col("hi").alias("start"), F.col("hi").alias("end"),
-        F.lit(True).alias("ok"), F.lit(0).cast("bigint").alias("low_sum"),
+    along = Window.partitionBy(*TARGET_KEYS, "bin").orderBy("start")
+    before, so_far = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = parts.withColumn("_sum", F.sum("low_sum").over(so_far)).select(
+        *TARGET_KEYS, "bin", "ok", "start", "end", "low_sum", "_sum",
+        F.last(F.when(F.col("ok"), F.struct("end", "_sum")), ignorenulls=True).over(before).alias("_last"),
     )
-    along = Window.partitionBy(*TARGET_KEYS, "bin").orderBy("start", "end")
-    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.lit(targets.bin_size).cast("bigint")
-    runs = (
-        parts.unionByName(closers)
-        .withColumn("_sum", F.sum("low_sum").over(so_far))
-        .where("ok")
-        .select(
-            *keys,
-            F.coalesce(F.lag("end").over(along), F.col("lo")).alias("run_start"),
-            F.col("start").alias("end"),
-            (F.col("_sum") - F.coalesce(F.lag("_sum").over(along), F.lit(0))).alias("depth_sum"),
-        )
-        .withColumnRenamed("run_start", "start")
-        .where(F.col("start") < F.col("end"))
+
+    def run(start, end, depth_sum):
+        return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), depth_sum.cast("bigint").alias("depth_sum"))
+
+    within = F.col("ok") & (F.col("start") - F.col("_last.end") >= max(min_len, 1))
+    rows = summed.groupBy(*TARGET_KEYS, "bin").agg(
+        F.min(F.when(F.col("ok"), F.col("start"))).alias("first"), F.max(F.when(F.col("ok"), F.col("end"))).alias("last"),
+        # the sums up to the first and the last covered stretch of the bin
+        F.min(F.when(F.col("ok"), F.col("_sum"))).alias("head"), F.max(F.when(F.col("ok"), F.col("_sum"))).alias("upto"),
+        F.sum("low_sum").alias("total"),
+        F.collect_list(F.when(within, run(F.col("_last.end"), F.col("start"), F.col("_sum") - F.col("_last._sum")))).alias("inner"),
+    )
+    zero = F.lit(0).cast("bigint")
+    closers = sample_grid(targets.intervals, samples).select(
+        *TARGET_KEYS, F.lit(2**62).alias("bin"), F.col("t_end").alias("first"), F.lit(None).cast("bigint").alias("last"),
+        zero.alias("head"), F.lit(None).cast("bigint").alias("upto"), zero.alias("total"),
+        F.array().cast(rows.schema["inner"].dataType).alias("inner"),
+    )
+    target = Window.partitionBy(*TARGET_KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.unionByName(closers).withColumn("_before", F.coalesce(F.sum("total").over(target), zero))
+    previous = F.last(F.when(F.col("last").isNotNull(), F.struct("last", (F.col("_before") + F.col("upto")).alias("sum"))), ignorenulls=True)
+    linked = placed.withColumn("_previous", previous.over(target))
+    gap = run(
+        F.coalesce("_previous.last", "t_start"), F.col("first"), F.col("_before") + F.col("head") - F.coalesce("_previous.sum", zero)
     )
-    at_edge = ((F.col("start") == F.col("bin") * size) & (F.col("start") > F.col("t_start"))) | (
-        (F.col("end") == (F.col("bin") + 1) * size) & (F.col("end") < F.col("t_end"))
+    found = linked.select(
+        *TARGET_KEYS, F.inline(F.when(F.col("first").isNull(), F.col("inner")).otherwise(F.array_append("inner", gap)))
     )
-    stitched = stitch_runs(runs, TARGET_KEYS, at_edge, ("depth_sum",))
-    length = F.col("end") - F.col("start")
-    found = of_samples(stitched.withColumn("length", length).where(F.col("length") >= min_len), samples)
+    found = found.withColumn("length", F.col("end") - F.col("start")).where(F.col("length") >= max(min_len, 1))
     if threshold <= 0:  # no depth is below 0
         found = found.where(F.lit(False))
     return found.select(*TARGET_KEYS, "start", "end", "length", "depth_sum")
 
 
-def zero_runs(blocks: DataFrame, targets: IntervalSet, samples: DataFrame, min_len: int) -> DataFrame:
+def zero_runs(blocks: DataFrame, targets: IntervalSet, samples: DataFrame | SampleSet, min_len: int) -> DataFrame:
     """Runs of true depth 0."""
     return low_blocks(blocks, targets, samples, 1, min_len).drop("depth_sum")
 

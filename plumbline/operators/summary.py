@@ -10,6 +10,7 @@ from plumbline.functions.numeric import ratio_round
 from plumbline.operators.classify import (
     PAGE_SEVERITY, SUMMARY_SEVERITY, classify_exon, pct_ge_20, rationale, severity, status_text,
 )
+from plumbline.operators.order import numbered
 from plumbline.params import ClassifyParams, CoverageParams
 
 
@@ -133,8 +134,8 @@ def low_block_table(low: DataFrame) -> DataFrame:
 
 
 def input_order(report: DataFrame) -> DataFrame:
-    """Rows in the order the targets were given."""
-    return report.orderBy("sample", "ordinal")
+    """Rows by sample in the order the targets were given, with their ``position`` from 1."""
+    return numbered(report, ["sample", "ordinal"])
 
 
 __all__ = [

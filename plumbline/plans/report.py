@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.intervals import parse_region, region_name, split_symbols, target_kind, translate_contig
-from plumbline.operators.annotation import exon_lookup, gene_lookup, genes_without_exons, region_overlay
+from plumbline.functions.intervals import parse_region, region_name, split_symbols, strip, target_kind, translate_contig
+from plumbline.operators.annotation import exon_lookup, gene_lookup, genes_without_exons, region_overlay, suggest_genes
 from plumbline.operators.classify import classify_exon, classify_target
-from plumbline.operators.depth import cigar_segments, depth_blocks, read_filter
+from plumbline.operators.depth import SampleSet, cigar_segments, depth_blocks, read_filter, sample_set
 from plumbline.operators.histogram import INTERVAL_KEYS, depth_histogram, metrics, rollup_histogram
 from plumbline.operators.joins import IntervalSet, keyed_join, target_places
 from plumbline.operators.runs import low_blocks
 from plumbline.params import ClassifyParams, CoverageParams
 from plumbline.session import cut_lineage
+from plumbline.sources.alignments import read_alignments
 
 TARGET_COLUMNS = ["ordinal", "target_id", "contig", "start", "end"]
 PLACE = ["contig", "t_start", "t_end"]
@@ -65,8 +66,9 @@ def covered_segments(reads: DataFrame) -> DataFrame:
     return cigar_segments(read_filter(reads)).select("sample", "contig", "start", "end")
 
 
-def measure(blocks: DataFrame, targets: IntervalSet, samples: DataFrame, params: CoverageParams) -> Measured:
+def measure(blocks: DataFrame, targets: IntervalSet, samples: DataFrame | SampleSet, params: CoverageParams) -> Measured:
     """Histogram, metrics and low blocks of each distinct interval. ``blocks`` must be cut at the bin size."""
+    samples = sample_set(samples)
     histogram = depth_histogram(blocks, targets, samples)
     low = low_blocks(blocks, targets, samples, params.low_threshold, params.low_min_len)
     return Measured(histogram, metrics(histogram, params), low)
@@ -106,15 +108,15 @@ def target_metrics(
     segments: DataFrame, targets: DataFrame, samples: DataFrame, params: CoverageParams, limit: int | None = None
 ) -> DataFrame:
     """Metrics only, per sample and target."""
-    places = target_places(targets, params.bin_size, limit)
-    blocks = depth_blocks(segments, params.bin_size, targets=places)
+    places, samples = target_places(targets, params.bin_size, limit), sample_set(samples)
+    blocks = depth_blocks(segments, params.bin_size, targets=places, samples=samples)
     return _as_target(attach(metrics(depth_histogram(blocks, places, samples), params), targets, places.small))
 
 
 def coverage_report(
     blocks: DataFrame,
     targets: DataFrame,
-    samples: DataFrame,
+    samples: DataFrame | SampleSet,
     params: CoverageParams | None = None,
     classify: ClassifyParams | None = None,
     exons: DataFrame | None = None,
@@ -230,12 +232,20 @@ def rollup(
 
 
 def resolve_targets(
-    asked: DataFrame, genes: DataFrame, aliases: DataFrame, order: str = "line_no"
+    asked: DataFrame,
+    genes: DataFrame,
+    aliases: DataFrame,
+    order: str = "line_no",
+    builtins: DataFrame | None = None,
+    contig_style: str | None = None,
+    suggestions: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Resolve ``ordinal, target`` strings: regions, or comma-separated gene symbols.
 
     Returns the targets (``ordinal, target_id, contig, start, end``, one per region or symbol, ``ordinal`` holding the
-    asked ordinal and the place in its list) and the failures (``ordinal, target, error``).
+    asked ordinal and the place in its list, and the gene columns, null for regions) and the failures (``ordinal, target,
+    error``). ``builtins`` are genes to fall back on, ``contig_style`` the style to rename contigs to, and with
+    ``suggestions`` the error of an unknown gene names up to so many close ones.
     """
     kinds = asked.withColumn("kind", target_kind(F.col("target")))
     regions = parse_region(kinds.where(F.col("kind") == "region"), "target")
@@ -243,26 +253,74 @@ def resolve_targets(
         "ordinal", "target", F.posexplode(split_symbols(F.col("target"))).alias("part", "symbol")
     )
     keyed = symbols.select(F.struct("ordinal", "part").alias("ordinal"), "symbol")
-    found = gene_lookup(keyed, genes, aliases, order)
+    found = gene_lookup(keyed, genes, aliases, order, builtins)
+    gene_columns = ["gene_name", "gene_id", "strand", "gene_type"]
     targets = regions.where(F.col("error").isNull()).select(
         F.struct("ordinal", F.lit(0).alias("part")).alias("ordinal"),
         region_name(F.col("contig"), F.col("start"), F.col("end")).alias("target_id"), "contig", "start", "end",
+        *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in gene_columns],
     ).unionByName(
         found.where(F.col("gene_name").isNotNull()).select(
-            "ordinal", F.col("gene_name").alias("target_id"), "contig", "start", "end"
+            "ordinal", F.col("gene_name").alias("target_id"), "contig", "start", "end", *gene_columns
         )
     )
+    if contig_style is not None:
+        targets = targets.withColumn("contig", translate_contig(F.col("contig"), contig_style))
+    unknown = found.where(F.col("gene_name").isNull()).select(F.col("ordinal.ordinal").alias("ordinal"), F.col("symbol").alias("target"))
+    why = F.lit("unknown gene")
+    if suggestions:
+        names = genes.select("gene_name") if builtins is None else genes.select("gene_name").unionByName(builtins.select("gene_name"))
+        close = suggest_genes(unknown.select(F.col("target").alias("symbol")), names, aliases, suggestions)
+        listed = close.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))).alias("close"))
+        unknown = unknown.withColumn("symbol", F.upper(strip(F.col("target"))))
+        unknown = keyed_join(unknown, listed, ["symbol"], "left")
+        why = F.when(F.col("close").isNull(), why).otherwise(F.concat(why, F.lit("; close: "), F.array_join("close.suggestion", ", ")))
     failures = (
         kinds.where(F.col("kind") == "malformed").select("ordinal", "target", F.lit("malformed region").alias("error"))
         .unionByName(regions.where(F.col("error").isNotNull()).select(
             "ordinal", "target", F.concat(F.lit("invalid region: "), "error").alias("error")))
-        .unionByName(found.where(F.col("gene_name").isNull()).select(
-            F.col("ordinal.ordinal").alias("ordinal"), F.col("symbol").alias("target"),
-            F.lit("unknown gene").alias("error")))
+        .unionByName(unknown.select("ordinal", "target", why.alias("error")))
     )
     return targets, failures
 
 
+def target_blocks(
+    spark: SparkSession,
+    reads_path: str,
+    targets: DataFrame,
+    params: CoverageParams | None = None,
+    samples: DataFrame | SampleSet | None = None,
+) -> DataFrame:
+    """Depth blocks of the reads at ``reads_path`` that overlap a target (``contig, start, end``), of ``samples`` only.
+
+    In a read store the scan skips what no target reaches. The blocks are right wherever a target lies, and only there.
+    """
+    bin_size = (params or CoverageParams()).bin_size
+    places = target_places(targets, bin_size)
+    segments = covered_segments(read_alignments(spark, reads_path, places))
+    return depth_blocks(segments, bin_size, targets=places, samples=samples)
+
+
+def asked_report(
+    spark: SparkSession,
+    reads_path: str,
+    asked: DataFrame,
+    genes: DataFrame,
+    aliases: DataFrame,
+    samples: DataFrame,
+    order: str = "line_no",
+    builtins: DataFrame | None = None,
+    contig_style: str = "chr",
+    params: CoverageParams | None = None,
+    classify: ClassifyParams | None = None,
+) -> tuple[CoverageReport, DataFrame]:
+    """From asked targets (``ordinal, target``) and a read store to the report, and the targets that failed with reasons."""
+    targets, failures = resolve_targets(asked, genes, aliases, order, builtins, contig_style, suggestions=5)
+    targets, samples = cut_lineage(targets), sample_set(samples)
+    blocks = target_blocks(spark, reads_path, targets, params, samples)
+    return coverage_report(blocks, targets.select(*TARGET_COLUMNS), samples, params, classify), failures
+
+
 def gene_report(
     blocks: DataFrame,
     genes: DataFrame,

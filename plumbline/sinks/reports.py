@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.intervals import bin_of
 from plumbline.functions.numeric import ratio_round
 from plumbline.operators.classify import pct_ge_20
+from plumbline.operators.joins import keyed_join
 from plumbline.operators.summary import sample_summary
 from plumbline.params import CoverageParams
 from plumbline.plans.report import CoverageReport
@@ -23,6 +25,8 @@ TSV_HEAD = [
     "stdev_depth", "pct_zero",
 ]
 TSV_TAIL = ["coverage_status", "n_lowcov_blocks", "lowcov_total_bp"]
+# A piece of a JSON document holds the low blocks of so many positions, or the bars of so many depths.
+PIECE_SPAN, PIECE_DEPTHS = 1 << 14, 1 << 12
 # Output formats and the endings of their paths.
 FORMATS = {"json": ".json", "tsv": ".tsv", "multiqc": "_mqc.json"}
 
@@ -69,16 +73,22 @@ def _histogram_map(histogram: DataFrame, keys: list[str]) -> DataFrame:
     return histogram.groupBy(*keys).agg(F.map_from_entries(named).alias("histogram"))
 
 
-def _document(rows: DataFrame, params: CoverageParams, status: str | None) -> Column:
+def _head(rows: DataFrame, params: CoverageParams, status: str | None) -> list:
     steps = sorted(params.thresholds)
     pairs = [x for t in steps for x in (F.lit(str(t)), F.col(f"pct_ge_{t}"))]
     breadth = F.create_map(*pairs) if pairs else F.from_json(F.lit("{}"), "map<string,double>")
+    return [
+        *TSV_HEAD, breadth.alias("pct_thresholds"), (F.col(status) if status else F.lit("")).alias("coverage_status"),
+        "n_lowcov_blocks", "lowcov_total_bp",
+    ]
+
+
+def _document(rows: DataFrame, params: CoverageParams, status: str | None) -> Column:
     extra = [F.col(c) for c in ("exon_number", "status") if c in rows.columns] + (
         [F.col("exons")] if "exons" in rows.columns else []
     )
     return F.struct(
-        *TSV_HEAD, breadth.alias("pct_thresholds"), (F.col(status) if status else F.lit("")).alias("coverage_status"),
-        "n_lowcov_blocks", "lowcov_total_bp",
+        *_head(rows, params, status),
         F.coalesce("lowcov_blocks", F.array().cast(
             "array<struct<contig:string,start:bigint,end:bigint,length:bigint,mean_depth:double>>"
         )).alias("lowcov_blocks"),
@@ -86,6 +96,68 @@ def _document(rows: DataFrame, params: CoverageParams, status: str | None) -> Co
     )
 
 
+def _inside(json: Column) -> Column:
+    """JSON text without its outer brackets."""
+    return F.substr(json, F.lit(2), F.char_length(json) - 2)
+
+
+def _listed(rows: DataFrame, keys: list[str], section: int) -> DataFrame:
+    """Pieces ``keys, section, piece, text``, each behind a comma but the first of its document."""
+    along = Window.partitionBy(*keys).orderBy("piece")
+    lead = F.when(F.lag("piece").over(along).isNull(), "").otherwise(",")
+    return rows.select(*keys, F.lit(section).alias("section"), "piece", F.concat(lead, "text").alias("text"))
+
+
+def document_pieces(
+    rows: DataFrame, low: DataFrame, histogram: DataFrame, params: CoverageParams, exons: DataFrame | None = None
+) -> DataFrame:
+    """``sample, ordinal, section, piece, text``: target documents as ordered pieces, none of which grows with the target.
+
+    Put together by section and piece, the texts of a target are the document of ``target_documents`` and a line end. Low
+    blocks go by place and bars by depth into pieces of bounded size. ``exons`` (``sample, gene_ordinal, start, exon_id,
+    document``) are one piece each.
+    """
+    keys = ["sample", "ordinal"]
+    text = lambda t: F.lit(t).alias("text")
+    fixed = lambda section, t: rows.select(*keys, F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("piece"), text(t))
+    head = F.to_json(F.struct(*_head(rows, params, "coverage_status")))
+    opened = rows.select(
+        *keys, F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("piece"),
+        F.concat(F.substr(head, F.lit(1), F.char_length(head) - 1), F.lit(',"lowcov_blocks":[')).alias("text"),
+    )
+    blocks = _low_array(low.withColumn("piece", F.expr(bin_of("start", PIECE_SPAN))), [*keys, "piece"])
+    bars = _histogram_map(histogram.withColumn("piece", F.expr(bin_of("depth", PIECE_DEPTHS))), [*keys, "piece"])
+    pieces = [
+        opened,
+        _listed(blocks.select(*keys, "piece", _inside(F.to_json("lowcov_blocks")).alias("text")), keys, 1),
+        fixed(2, '],"histogram":{'),
+        _listed(bars.select(*keys, "piece", _inside(F.to_json("histogram")).alias("text")), keys, 3),
+        fixed(4, "}" if exons is None else '},"exons":['),
+        fixed(6, "}\n" if exons is None else "]}\n"),
+    ]
+    if exons is not None:
+        along = Window.partitionBy("sample", "gene_ordinal").orderBy("start", "exon_id")
+        placed = exons.select(
+            "sample", F.col("gene_ordinal").alias("ordinal"), F.row_number().over(along).cast("bigint").alias("piece"),
+            F.to_json("document").alias("text"),
+        )
+        asked = keyed_join(placed, rows.select(*keys), keys, "left_semi")
+        pieces.append(_listed(asked, keys, 5))
+    whole = pieces[0]
+    for part in pieces[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _write_pieces(pieces: DataFrame, path: str) -> None:
+    """Text with one document on each line. Pieces of a document are parted by a blank, which JSON allows there.
+
+    A file ends with a line of one blank, since the text format ends each row alike.
+    """
+    placed = pieces.repartitionByRange("sample", "ordinal").sortWithinPartitions("sample", "ordinal", "section", "piece")
+    placed.select("text").write.mode("overwrite").option("lineSep", " ").text(path)
+
+
 def target_documents(
     rows: DataFrame, low: DataFrame, histogram: DataFrame, params: CoverageParams, exons: DataFrame | None = None
 ) -> DataFrame:
@@ -97,15 +169,20 @@ def target_documents(
     return joined.select(*keys, F.to_json(_document(joined, params, "coverage_status")).alias("document"))
 
 
-def exon_arrays(report: CoverageReport) -> DataFrame:
-    """``sample, gene_ordinal, exons``: the nested exon objects of each gene, by start."""
+def exon_documents(report: CoverageReport) -> DataFrame:
+    """``sample, gene_ordinal, start, exon_id, document``: one nested object per exon."""
     place = ["sample", "gene_ordinal", "exon_id", "contig", "t_start", "t_end"]
     rows = report.exons.withColumns({"t_start": F.col("start"), "t_end": F.col("end"), "target_id": F.col("exon_id")})
     low = _low_array(report.exon_low_blocks, place)
     bars = _histogram_map(report.exon_histogram, place)
     joined = rows.join(low, place, "left").join(bars, place, "left")
-    item = F.struct("start", "exon_id", _document(joined, report.params, None).alias("document"))
-    placed = joined.groupBy("sample", "gene_ordinal").agg(F.collect_list(item).alias("items"))
+    return joined.select("sample", "gene_ordinal", "start", "exon_id", _document(joined, report.params, None).alias("document"))
+
+
+def exon_arrays(report: CoverageReport) -> DataFrame:
+    """``sample, gene_ordinal, exons``: the nested exon objects of each gene, by start."""
+    item = F.struct("start", "exon_id", "document")
+    placed = exon_documents(report).groupBy("sample", "gene_ordinal").agg(F.collect_list(item).alias("items"))
     in_order = F.array_sort("items", lambda a, b: F.when(
         (a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["exon_id"] < b["exon_id"])), -1).otherwise(1))
     return placed.select("sample", "gene_ordinal", F.transform(in_order, lambda i: i["document"]).alias("exons"))
@@ -122,7 +199,7 @@ def gene_documents(report: CoverageReport) -> DataFrame:
     return target_documents(report.genes, report.gene_low_blocks, report.gene_histogram, report.params)
 
 
-def run_documents(report: CoverageReport, **run: str) -> DataFrame:
+def run_documents(report: CoverageReport, **run: str | int | bool) -> DataFrame:
     """``sample, document``: run settings and the status summary of each sample."""
     counts = report.targets.groupBy("sample", "coverage_status").agg(F.count("*").alias("n"))
     summed = counts.groupBy("sample").agg(
@@ -176,7 +253,7 @@ def _write_tsv(rows: DataFrame, path: str, header: bool = True) -> None:
     rows.write.mode("overwrite").csv(path, sep="\t", header=header, quote="", escapeQuotes=False, emptyValue="")
 
 
-def write_reports(report: CoverageReport, stem: str, formats: str = "tsv", **run: str) -> dict[str, str]:
+def write_reports(report: CoverageReport, stem: str, formats: str = "tsv", **run: str | int | bool) -> dict[str, str]:
     """Write a report in the asked formats under ``stem`` and return the paths.
 
     The TSV keeps the order in which the targets were given. The target table is checkpointed first; histograms and low
@@ -191,11 +268,12 @@ def write_reports(report: CoverageReport, stem: str, formats: str = "tsv", **run
         multiqc_document(targets, report.params).write.mode("overwrite").text(paths["multiqc"])
     if "json" in paths:
         kept = report.replace(targets=targets)
-        documents = report_documents(kept).orderBy("sample", "ordinal").select("document")
-        documents.write.mode("overwrite").text(paths["json"] + "/targets")
+        # exons of a region's genes are no part of the region's document
+        exons = exon_documents(kept) if kept.exons is not None and kept.genes is None else None
+        _write_pieces(document_pieces(targets, kept.low_blocks, kept.histogram, kept.params, exons), paths["json"] + "/targets")
         run_documents(kept, **run).select("document").write.mode("overwrite").text(paths["json"] + "/run")
         if report.genes is not None:
-            gene_documents(kept).select("document").write.mode("overwrite").text(paths["json"] + "/genes")
+            _write_pieces(document_pieces(kept.genes, kept.gene_low_blocks, kept.gene_histogram, kept.params), paths["json"] + "/genes")
     return paths
 
 

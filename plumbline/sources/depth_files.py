@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.depth import bin_blocks
-from plumbline.operators.joins import IntervalSet, prune_to_intervals
+from plumbline.operators.joins import IntervalSet
 from plumbline.sources.lines import fields, part
-
-# Up to this many ranges are sent to the scan as predicates: the targets, or else the stretch of each contig they span.
-MAX_RANGES = 64
+from plumbline.sources.ranges import overlapping
 
 
 def parse_depth_lines(lines: DataFrame, sample: str = "NA") -> DataFrame:
@@ -58,31 +56,13 @@ def write_depth_store(blocks: DataFrame, path: str) -> None:
 
 
 def read_depth_store(spark: SparkSession, path: str, targets: IntervalSet | None = None) -> DataFrame:
-    """Blocks of a depth store; with ``targets``, at least all that overlap them and none in bins they do not touch.
+    """Blocks of a depth store; with ``targets``, those that overlap one of them, at any number of targets.
 
-    A few targets, as of a gene list, become range predicates that reach the Parquet scan. More are joined by bin, and
-    the stretches they span on their contigs become the predicates.
+    The places of a few targets, as of a gene list, become range predicates that reach the Parquet scan; of many, the
+    stretches they span on their contigs do. Which blocks overlap is decided by a join either way.
     """
     blocks = spark.read.parquet(path)
-    if targets is None:
-        return blocks
-    usable = targets.intervals.where("t_start < t_end")
-    if targets.n_short + targets.n_long <= MAX_RANGES:
-        return blocks.where(_overlapping(usable.select("contig", "t_start", "t_end").collect()))
-    spans = usable.groupBy("contig").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"))
-    ranges = spans.limit(MAX_RANGES + 1).collect()
-    if len(ranges) <= MAX_RANGES:
-        blocks = blocks.where(_overlapping(ranges))
-    return prune_to_intervals(blocks, targets)
-
-
-def _overlapping(ranges: list) -> Column:
-    wanted = F.lit(False)
-    for t in ranges:
-        wanted = wanted | (
-            (F.col("contig") == t.contig) & (F.col("start") < t.t_end) & (F.col("end") > t.t_start)
-        )
-    return wanted
+    return blocks if targets is None else overlapping(blocks, targets)
 
 
 def _sample(lines: DataFrame, sample: str) -> list:

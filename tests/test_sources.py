@@ -247,7 +247,8 @@ def test_report_files(spark, tmp_path):
     assert tsv[0].split("\t")[:4] == ["sample_name", "target_id", "contig", "start"] and len(rows) == 6
     first = dict(zip(tsv[0].split("\t"), next(r for r in rows if r[:2] == ["S1", "B"])))
     assert (first["mean_depth"], first["pct_zero"], first["coverage_status"]) == ("16.0", "30.0", "DROP_OUT")
-    documents = [json.loads(x) for x in _text(tmp_path / "out.json" / "targets").splitlines()]
+    # a file ends with a line of one blank
+    documents = [json.loads(x) for x in _text(tmp_path / "out.json" / "targets").splitlines() if x.strip()]
     assert len(documents) == 6
     b = next(x for x in documents if x["target_id"] == "B" and x["max_depth"] == 30)
     assert b["histogram"] == {"0": 30, "5": 20, "30": 50}
@@ -360,5 +361,6 @@ def test_depth_store_pushes_the_span_of_many_targets(spark, tmp_path, capsys):
     pushed = next(line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line)
     assert "LessThan(start,4990)" in pushed and "GreaterThan(end,1000)" in pushed
     assert stored.where("contig <> 'c1'").count() == 0
-    overlap = (F.col("contig") == "c1") & (F.col("end") > 1000) & (F.col("start") < 4990)
-    assert stored.count() == blocks.where(overlap).count()
+    # only blocks that overlap a target, though the span of all was sent
+    met = [any(r.start < 40 * i + 1030 and r.end > 40 * i + 1000 for i in range(100)) for r in blocks.where("contig = 'c1'").collect()]
+    assert stored.count() == sum(met) < len(met)
