@@ -142,12 +142,21 @@ def mix(
 
 
 def mixture(mixed: DataFrame) -> DataFrame:
-    """The training order: one row per repeat of ``mixed`` (from ``mix``), with ``_pass`` and the sort keys of its place."""
+    """The training order: one row per repeat of ``mixed`` (from ``mix``), with ``_pass`` and the sort keys of its place.
+
+    Sorted by ``_pass``, ``_turn`` and ``_place`` the rows of a source are a permutation of its documents in each whole pass.
+    """
     passes = mixed.filter("_repeats > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_repeats") - 1)))
     return passes.withColumn("_turn", F.xxhash64(F.lit("turn"), "source", "_block", "_pass")).withColumn("_place", F.xxhash64(F.lit("place"), "doc_id", "_pass"))
 
 
-def mixing_report(docs: DataFrame) -> DataFrame:
-    """``op5_mixing``: (doc_id, source, n_tokens, weight, repeats), one row per document row."""
-    rows = mix(docs, keep=["doc_id", "source"])
-    return rows.select("doc_id", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_repeats").alias("repeats"))
+def mixing_report(docs: DataFrame, entropy: float | None = ENTROPY, max_repeats: float | None = MAX_REPEATS) -> DataFrame:
+    """``op5_mixing``: (doc_id, source, n_tokens, weight, repeats, pass, turn, place), one row per repeat of a document row.
+
+    A row that the mixture does not hold comes once, with 0 repeats and a null pass, turn and place.
+    """
+    rows = stored(mix(docs, entropy, max_repeats, keep=["doc_id", "source"]), "mixed")
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("_pass", "_turn", "_place")]
+    whole = mixture(rows).unionByName(rows.filter("_repeats = 0").select("*", *none))
+    names = {"_n_tokens": "n_tokens", "_weight": "weight", "_repeats": "repeats", "_pass": "pass", "_turn": "turn", "_place": "place"}
+    return whole.select("doc_id", "source", *[F.col(k).alias(v) for k, v in names.items()])

@@ -110,7 +110,8 @@ def op10(spark, d):
 
 @query("op5_mixing")
 def op5(spark, d):
-    return mixing_report(read_table(spark, d, "documents"))
+    # the sources of the tables are nearly of one size; only a target close to the largest entropy moves their weights
+    return mixing_report(read_table(spark, d, "documents"), entropy=0.9999, max_repeats=2.0)
 
 
 OP6 = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),

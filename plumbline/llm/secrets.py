@@ -2,8 +2,9 @@
 
 Strong patterns are reported wherever they occur. Weak parts (an identifier, a secret or an endpoint that alone proves
 nothing) are reported only when complementary parts lie within one scope: an identifier and a secret at most ``scope`` code
-points apart, and an endpoint when it has such a pair's identifier and secret within its scope. Parts meet in an interval
-join on (document, cell), as semi-joins, so no pairs are built.
+points apart, and an endpoint when it has an identifier and a secret within its scope that are each paired, with one
+another or with other parts. Strong parts count as partners. Parts meet in an interval join on (document, cell), as semi-joins,
+so no pairs are built.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ WEAK = [
     ("weak_secret", "secret", r"(?i)(?:pwd|pass|signature|private_?key|credential)[\"']?\x20*[:=]",
      r"""(?i)\b(?:pwd|pass|signature|private_?key|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@#$%^&*-]{6,}"""),
     ("weak_blob", "secret", r"[A-Za-z0-9+/]{40}", r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40,}={0,2}"),
+    ("weak_mail", "id", r"@[A-Za-z0-9]", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("weak_address", "endpoint", r"[0-9]\.[0-9]{1,3}\.[0-9]", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"),
     ("weak_endpoint", "endpoint", r"://|(?i)(?:host|endpoint|server)[\"']?\x20*[:=]",
      r"""(?i)(?:[a-z][a-z0-9+.-]{1,15}://|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9_.:@/?&=%-]{4,}"""),
 ]

@@ -120,7 +120,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], sample:
     got = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast("bigint"), *categories, "text").mapInArrow(work, shape).toArrow()
     n = got.num_rows
     if not n:
-        return [Linear(np.zeros(0, dtype=np.int64), np.zeros(k + 2)) for k in range(len(categories))]
+        # nothing is known to belong to a category
+        return [Linear(np.zeros(0, dtype=np.int64), np.append(np.zeros(k + 1), -30.0)) for k in range(len(categories))]
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     got = got.take(pa.array(order))
     lists = got.column("features").combine_chunks()
@@ -209,7 +210,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     ``rejected`` is a toxicity of at least ``threshold``. Null and empty texts have no features, take the models' constant
     and are never rejected. Repeated rows and null ids are rows like any other. Of labels given twice for one doc_id all
-    count in the fit.
+    count in the fit. Without any labelled text nothing is rejected.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (F.length(F.coalesce("text", F.lit(""))) > 0).alias("has"))
     scored = score_chain(rows, fit_chain(docs, chain_labels(labels), CHAIN), ["doc_id", "has"])

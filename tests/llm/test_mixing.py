@@ -1,9 +1,11 @@
 import math
+import random
 from collections import defaultdict
 
 from llm_data import FOLDER
 
 from plumbline.llm.mixing import mix, mixing_report, mixture, solve_exponent
+from plumbline.llm.queries import QUERIES
 
 
 def check(rows, entropy, max_repeats):
@@ -48,11 +50,71 @@ def test_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = mix(docs, 0.995).collect()
     assert len(rows) == docs.count() and check(rows, 0.995, 4.0) < 1
-    assert mixing_report(docs).count() == len(rows)
     order = mixture(mix(docs, 0.995))
     assert order.count() == sum(r._repeats for r in rows)
 
 
+def brute_exponent(sizes, entropy, max_repeats):
+    """By small steps instead of bisection, from the sizes of single sources."""
+    total, best = sum(sizes), None
+
+    def raw(a):
+        w = [(t / max(sizes)) ** a for t in sizes]
+        return [x / sum(w) for x in w]
+
+    for i in range(10_000, -1, -1):
+        if -sum(x * math.log(x) for x in raw(i / 10_000)) >= entropy * math.log(len(sizes)):
+            best = i
+            break
+    while best < 10_000 and any(x * total > max_repeats * t * (1 + 1e-12) for x, t in zip(raw(best / 10_000), sizes)):
+        best += 1
+    return best / 10_000
+
+
+def test_exponent_against_small_steps():
+    rng = random.Random(1)
+    for _ in range(40):
+        sizes = [float(rng.randint(1, 10_000)) for _ in range(rng.randint(2, 9))]
+        entropy, repeats = rng.uniform(0.5, 1), rng.uniform(1.5, 20)
+        assert abs(solve_exponent([(t, 1) for t in sizes], entropy, repeats) - brute_exponent(sizes, entropy, repeats)) <= 1.01e-4
+
+
+def test_query_moves_weights(spark):
+    """On the given tables the target binds: an exponent below 1, whole and partial passes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = QUERIES["op5_mixing"](spark, "/root/testdata/sf0.1").collect()
+    sizes, weight = defaultdict(int), {}
+    seen = {}
+    for r in rows:
+        assert seen.setdefault(r.doc_id, (r.source, r.n_tokens, r.repeats)) == (r.source, r.n_tokens, r.repeats)
+        weight[r.source] = r.weight
+    assert len(seen) == docs.count()
+    for source, n, _ in seen.values():
+        sizes[source] += n
+    shares = [t / sum(sizes.values()) for t in sizes.values()]
+    entropy = lambda p: -sum(x * math.log(x) for x in p) / math.log(len(p))
+    assert entropy(shares) < 0.9999 - 1e-5 and abs(entropy(list(weight.values())) - 0.9999) < 1e-6
+    assert {r.repeats for r in rows} >= {0, 1, 2}
+
+
+def test_whole_passes_are_permutations(spark, monkeypatch):
+    monkeypatch.setattr("plumbline.llm.mixing.BLOCK_ROWS", 5)
+    data = [(i, "w " * (1 + i % 4), "small" if i < 40 else "large") for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    rows = mixing_report(docs, 0.999, 6.0).collect()
+    orders = defaultdict(list)
+    for r in rows:
+        if r["pass"] is not None:
+            orders[r.source, r["pass"]].append((r.turn, r.place, r.doc_id))
+    whole = [sorted(x) for (s, p), x in sorted(orders.items()) if s == "small"]
+    assert len(whole) >= 4
+    for order in whole[:-1]:
+        assert sorted(d for *_, d in order) == list(range(40))
+    assert len({tuple(d for *_, d in order) for order in whole[:-1]}) == len(whole) - 1
+    assert set(d for *_, d in whole[-1]) <= set(range(40))
+    assert {r["pass"] for r in rows if r.repeats == 0} <= {None}
+
+
 def test_small_cases(spark, monkeypatch):
     monkeypatch.setattr("plumbline.llm.mixing.BLOCK_ROWS", 7)
     data = [(i, "w " * (1 + i % 9), "a" if i % 3 else None, i) for i in range(300)] + [(5, "w " * 6, "a", 1)] * 40

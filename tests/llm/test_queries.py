@@ -1,11 +1,15 @@
 """Queries with a statement against it, and small cases of the operators behind them and of the pipeline."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from llm_data import FOLDER, documents, rows_of
 from oracle import compare, connect
 
 from plumbline.llm import decontaminate as dc
+from plumbline.llm.common import stored
 from plumbline.llm.components import components
 from plumbline.llm.line_dedup import dedup_lines, line_report
 from plumbline.llm.near_dup import drop_near_duplicates, near_duplicates
@@ -83,9 +87,40 @@ def test_lines_near_the_threshold(spark):
 
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
-    assert {"doc_id", "n_tokens", "weight", "repeats"} <= set(rows.columns)
-    ids = [r.doc_id for r in rows.collect()]
-    assert len(ids) == len(set(ids)) and 0.5 * documents(spark).count() < len(ids) < documents(spark).count()
+    assert {"doc_id", "n_tokens", "weight", "repeats", "pass", "turn", "place"} <= set(rows.columns)
+    found = rows.collect()
+    times = Counter(r.doc_id for r in found)
+    assert all(times[r.doc_id] == max(r.repeats, 1) for r in found) and all((r["pass"] is None) == (r.repeats == 0) for r in found)
+    assert 0.5 * documents(spark).count() < len(times) < documents(spark).count()
+    assert all(r.text.strip() for r in found)  # no text is left empty
     docs = documents(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), FOLDER).columns == docs.columns
+
+
+def test_pipeline_stages_on_planted_rows(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    lines = [text(30) for _ in range(4)]
+    near = [" ".join(["other", *x.split()[1:]]) for x in lines]
+    # the same words over other line ends: lines differ, documents are near copies
+    long = text(120).split()
+    cut = lambda at: "\n".join([" ".join(long[:at]), " ".join(long[at:])])
+    rows = [
+        (900_001, "\n".join(lines)), (900_002, "\n".join(lines)), (900_003, "\n".join(near)), (900_004, "\n".join([*lines[:2], text(40)])),
+        (900_005, cut(40)), (900_006, cut(65)), (900_007, None), (900_008, ""), (900_009, " \n"), (None, text(50)), (900_010, text(50)), (900_010, text(50)),
+    ]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "x", 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, block string, weight double")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, FOLDER), name)
+        left[name] = Counter(r.doc_id for r in docs.select("doc_id").collect())
+    ids = {r[0] for r in rows}
+    assert set(left["toxicity"]) == ids
+    assert set(left["line_dedup"]) == ids - {900_002, 900_003}
+    assert set(left["near_duplicates"]) == set(left["decontamination"]) == ids - {900_002, 900_003, 900_006}
+    assert left["near_duplicates"][900_010] == 1 and set(left["mixing"]) == set(left["decontamination"])
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert kept[900_004].text == rows[3][1].split("\n")[2] and kept[900_004].n_chars == len(kept[900_004].text)
+    assert kept[900_007].text is None and kept[900_008].text == "" and kept[900_001].n_tokens == 120
