@@ -107,8 +107,12 @@ def secret_spans(docs: DataFrame, scope: int = 200) -> DataFrame:
     )
     weak_found = linked_parts(stored(parts, "parts"), scope).filter(F.col("rank") >= len(STRONG))
     lists = weak_found.groupBy("doc").agg(F.collect_list(F.struct("start", "rank", "end")).alias("weak"))
-    out = seen.withColumn("key", F.when(F.col("digest").isNotNull(), doc)).join(lists, F.col("key") == F.col("doc"), "left")
-    return out.select("doc_id", F.array_sort("strong").alias("strong"), F.array_sort(F.coalesce("weak", F.array().cast(f"array<{_SPAN}>"))).alias("weak"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    # documents without parts, most of them, do not meet under a null key
+    some = seen.filter("digest IS NOT NULL").withColumn("key", doc).join(lists, F.col("key") == F.col("doc"), "left")
+    some = some.select("doc_id", "strong", F.coalesce("weak", none).alias("weak"))
+    out = some.union(seen.filter("digest IS NULL").select("doc_id", "strong", none))
+    return out.select("doc_id", F.array_sort("strong").alias("strong"), F.array_sort("weak").alias("weak"))
 
 
 def _written(spans: Column) -> Column:
